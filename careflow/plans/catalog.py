@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from careflow.functions import lexicon as L
 from careflow.functions import triage_main as TM
 from careflow.functions import triage_scored as TS
+from careflow.operators import queue as QU
+from careflow.operators import rank as RK
 from careflow.operators import staff as ST
 from careflow.operators import views as V
 from careflow.plans import domain as D
@@ -270,4 +272,156 @@ def q_triage_scored(spark, sf):
 def q_case_distribution(spark, sf):
     """Case counts by level and band."""
     return _triage_scored(spark, sf).groupBy("provisional_ctas_level", "risk_band").agg(F.count(F.lit(1)).alias("n_cases"))
-FLAGSHIP = "facility_live_joined"
+
+
+# --------------------------------------------------------------------------- ranking
+def _sql_haversine(lat1, lon1, lat2, lon2):
+    a = (f"pow(sin(radians({lat2} - {lat1}) / 2), 2) + cos(radians({lat1})) * cos(radians({lat2})) * "
+         f"pow(sin(radians({lon2} - {lon1}) / 2), 2)")
+    return f"round({L.EARTH_RADIUS_KM} * 2 * atan2(sqrt({a}), sqrt(1 - ({a}))), 2)"
+
+
+def _sql_norm(v, lo, hi):
+    return f"(CASE WHEN {v} IS NULL THEN 1.0 WHEN {hi} = {lo} THEN 0.0 ELSE (CAST({v} AS DOUBLE) - {lo}) / ({hi} - {lo}) END)"
+
+
+_AMB = " OR ".join(f"contains(lower(coalesce(odhf_facility_type, '')), {OT.q(m)})" for m in L.AMBULATORY_MARKERS)
+_PEN = f"""CAST(CASE WHEN provisional_ctas_level <= 2 AND ({_AMB}) THEN {L.FIT_PENALTY_EMERGENT_AMBULATORY}
+  WHEN provisional_ctas_level = 3 AND ({_AMB}) THEN {L.FIT_PENALTY_URGENT_AMBULATORY}
+  WHEN provisional_ctas_level IN (4, 5) AND NOT ({_AMB}) THEN {L.FIT_PENALTY_LOW_HOSPITAL} ELSE 0.0 END AS DOUBLE)"""
+_W = L.RANK_WEIGHTS
+SQL_PAIRS = f"""
+  cand AS (SELECT facility_id_normalized, facility_name_raw, address_raw, facility_name, city, odhf_facility_type, latitude, longitude,
+             wait_time_non_priority_minutes, stretcher_occupancy_pct, people_waiting, virtual_queue_depth
+           FROM joined WHERE is_quebec IS NULL OR is_quebec = TRUE),
+  stats AS (SELECT {", ".join(f"min(coalesce(CAST({c} AS DOUBLE), 0.0)) AS _{m}_lo, max(coalesce(CAST({c} AS DOUBLE), 0.0)) AS _{m}_hi" for m, c in RK.METRICS.items())} FROM cand),
+  rkeys AS (SELECT DISTINCT provisional_ctas_level, user_latitude, user_longitude FROM origins),
+  p1 AS (SELECT k.*, c.*, s.*, coalesce({_sql_haversine('k.user_latitude', 'k.user_longitude', 'c.latitude', 'c.longitude')}, 0.0) AS distance_km
+         FROM rkeys k CROSS JOIN cand c CROSS JOIN stats s),
+  p2 AS (SELECT *, min(distance_km) OVER w AS _dist_lo, max(distance_km) OVER w AS _dist_hi FROM p1
+         WINDOW w AS (PARTITION BY provisional_ctas_level, user_latitude, user_longitude)),
+  pairs AS (SELECT *, {_PEN} AS fit_penalty, round_even(
+      CAST({_W[0]} AS DOUBLE) * {_sql_norm('wait_time_non_priority_minutes', '_wait_lo', '_wait_hi')}
+    + CAST({_W[1]} AS DOUBLE) * {_sql_norm('distance_km', '_dist_lo', '_dist_hi')}
+    + CAST({_W[2]} AS DOUBLE) * {_sql_norm('stretcher_occupancy_pct', '_occupancy_lo', '_occupancy_hi')}
+    + CAST({_W[3]} AS DOUBLE) * {_sql_norm('people_waiting', '_waiting_lo', '_waiting_hi')}
+    + CAST({_W[4]} AS DOUBLE) * {_sql_norm('virtual_queue_depth', '_depth_lo', '_depth_hi')}
+    + CAST({_W[5]} AS DOUBLE) * {_PEN}, 4) AS score FROM p2)"""
+
+
+def _rank_sql(body: str) -> str:
+    full = view_sql("SELECT 1")
+    head = full[: full.rindex("SELECT 1")]
+    return head.rstrip() + ",\n" + SQL_PAIRS.strip() + "\n" + body
+
+
+SQL_RECOMMEND = f"""
+  SELECT o.intake_session_id, t.* FROM origins o JOIN (
+    SELECT provisional_ctas_level, user_latitude, user_longitude, rank_position, facility_id_normalized, facility_name_raw, address_raw,
+      facility_name, city, odhf_facility_type, wait_time_non_priority_minutes, people_waiting, stretcher_occupancy_pct, virtual_queue_depth,
+      distance_km, score, fit_penalty,
+      coalesce(wait_time_non_priority_minutes, 0) + CAST(trunc(distance_km * 2) AS INTEGER) + CAST(trunc(coalesce(virtual_queue_depth, 0) * 10) AS INTEGER) AS estimated_total_time_minutes,
+      CASE WHEN fit_penalty <= {L.TYPE_FIT_THRESHOLD} THEN 'high' ELSE 'caution' END AS fit_for_ctas
+    FROM (SELECT *, row_number() OVER (PARTITION BY provisional_ctas_level, user_latitude, user_longitude
+                   ORDER BY score, facility_id_normalized NULLS FIRST, facility_name_raw NULLS FIRST, address_raw NULLS FIRST) AS rank_position
+          FROM (SELECT * REPLACE (max(score) OVER (PARTITION BY provisional_ctas_level, user_latitude, user_longitude, facility_id_normalized) AS score)
+                FROM pairs) _w
+          WHERE NOT (provisional_ctas_level <= 3 AND contains(lower(coalesce(odhf_facility_type, '')), {OT.q(L.ACUITY_FILTER_MARKER)}))) _r
+    WHERE rank_position <= {L.RECOMMENDATIONS_PER_INTAKE}) t
+  ON o.provisional_ctas_level IS NOT DISTINCT FROM t.provisional_ctas_level
+ AND o.user_latitude IS NOT DISTINCT FROM t.user_latitude AND o.user_longitude IS NOT DISTINCT FROM t.user_longitude"""
+SQL_RANK_ORDER = f"""
+  SELECT o.intake_session_id, t.* FROM origins o JOIN (
+    SELECT provisional_ctas_level, user_latitude, user_longitude, rank_position, facility_id_normalized, facility_name_raw, address_raw,
+      distance_km, score, fit_penalty, odhf_facility_type AS facility_type
+    FROM (SELECT *, row_number() OVER (PARTITION BY provisional_ctas_level, user_latitude, user_longitude
+                   ORDER BY fit_penalty, score, facility_id_normalized NULLS FIRST, facility_name_raw NULLS FIRST, address_raw NULLS FIRST) AS rank_position
+          FROM pairs) _r
+    WHERE rank_position <= {L.RECOMMENDATIONS_PER_INTAKE}) t
+  ON o.provisional_ctas_level IS NOT DISTINCT FROM t.provisional_ctas_level
+ AND o.user_latitude IS NOT DISTINCT FROM t.user_latitude AND o.user_longitude IS NOT DISTINCT FROM t.user_longitude"""
+
+
+@register("recommendations", _rank_sql(SQL_RECOMMEND))
+def q_recommendations(spark, sf):
+    """C7 + D8 + E2 + H36-H38 + C8 + B5 + B10 + E4: top 12 facilities for every intake."""
+    return RK.recommend(D.intake_origins(spark, sf), _joined(spark, sf))
+
+
+@register("rank_order", _rank_sql(SQL_RANK_ORDER))
+def q_rank_order(spark, sf):
+    """The (fit_penalty, score) order, first 12 positions per intake."""
+    return RK.rank_order(D.intake_origins(spark, sf), _joined(spark, sf))
+
+
+# --------------------------------------------------------------------------- queue
+@register(
+    "next_position",
+    with_ctes("""
+  SELECT facility_id, coalesce(max(queue_position), 0) + 1 AS next_position FROM vq
+  WHERE queue_status IN ('reserved', 'confirmed', 'called') GROUP BY facility_id"""),
+)
+def q_next_position(spark, sf):
+    """D3."""
+    return QU.next_position(D.virtual_queue(spark, sf))
+
+
+@register(
+    "queue_positions",
+    with_ctes(f"""
+  SELECT request_id, facility_id, created_at, arrival_window_start, arrival_window_end, queue_position,
+    arrival_window_start + to_minutes(CAST(queue_position * {L.MINUTES_PER_POSITION} AS BIGINT)) AS estimated_call_time
+  FROM (SELECT r.*, CAST(coalesce(b.next_position, 1) + row_number() OVER (PARTITION BY r.facility_id ORDER BY r.created_at, r.request_id) - 1 AS INTEGER) AS queue_position
+        FROM requests r LEFT JOIN (SELECT facility_id, coalesce(max(queue_position), 0) + 1 AS next_position FROM vq
+                                   WHERE queue_status IN ('reserved', 'confirmed', 'called') GROUP BY facility_id) b
+        ON r.facility_id = b.facility_id) _p"""),
+)
+def q_queue_positions(spark, sf):
+    """E5 + H41 over every lineitem-derived reservation request."""
+    return QU.assign_positions(D.reservation_requests(spark, sf), D.virtual_queue(spark, sf))
+
+
+@register(
+    "queue_tracking",
+    with_ctes(f"""
+  SELECT q.queue_id, q.queue_position, q.estimated_call_time, q.queue_status, q.arrival_window_start, q.arrival_window_end,
+    fm.facility_name, fm.city, fm.latitude, fm.longitude, d.distance_km, d.remaining_minutes,
+    coalesce(d.distance_km IS NOT NULL AND d.remaining_minutes <= greatest({L.LEAVE_NOW_MIN_MINUTES}, CAST(trunc(d.distance_km * 2) AS INTEGER)), false) AS leave_now_recommendation
+  FROM vq q JOIN patients p ON q.queue_id = p.queue_id JOIN fm ON q.facility_id = fm.facility_id_normalized
+  CROSS JOIN LATERAL (SELECT {_sql_haversine('p.user_latitude', 'p.user_longitude', 'fm.latitude', 'fm.longitude')} AS distance_km,
+      greatest(0, CAST(floor(date_sub('second', TIMESTAMP '{NOW}', q.estimated_call_time) / 60.0) AS INTEGER)) AS remaining_minutes) d"""),
+)
+def q_queue_tracking(spark, sf):
+    """C4 + H39 + H40 + H9 for every reservation."""
+    vq = D.virtual_queue(spark, sf)
+    pts = D.queue_patients(spark, sf).select("queue_id", "user_latitude", "user_longitude")
+    return QU.track_queue(vq.join(pts, "queue_id"), D.facility_master(spark, sf), now_col())
+
+
+@register(
+    "reservation_windows",
+    with_ctes(f"""
+  SELECT request_id, created_at, ui_start, ui_start + INTERVAL {L.UI_WINDOW_LENGTH_MINUTES} MINUTE AS ui_end,
+    legacy_start, legacy_start + INTERVAL {L.UI_WINDOW_LENGTH_MINUTES} MINUTE AS legacy_end
+  FROM (SELECT request_id, created_at,
+          date_trunc('hour', created_at) + to_minutes(CAST(ceil(minute(created_at) / {L.UI_WINDOW_ROUND_MINUTES}.0) * {L.UI_WINDOW_ROUND_MINUTES} AS BIGINT)) AS ui_start,
+          created_at + INTERVAL {L.LEGACY_WINDOW_OFFSET_MINUTES} MINUTE AS legacy_start
+        FROM requests) _w"""),
+)
+def q_reservation_windows(spark, sf):
+    """Default arrival windows (browser and legacy rules) for every request time."""
+    r = D.reservation_requests(spark, sf)
+    ui_s, ui_e = QU.default_window_ui(F.col("created_at"))
+    lg_s, lg_e = QU.default_window_legacy(F.col("created_at"))
+    return r.select("request_id", "created_at", ui_s.alias("ui_start"), ui_e.alias("ui_end"), lg_s.alias("legacy_start"), lg_e.alias("legacy_end"))
+
+
+@register("contact_rows")
+def q_contact_rows(spark, sf):
+    """Encrypted contact rows (AES-GCM with a random IV, so checked by row count and round trip)."""
+    vq = D.virtual_queue(spark, sf).join(D.queue_patients(spark, sf), "queue_id")
+    return QU.contact_rows(vq, CONTACT_KEY)
+
+
+CONTACT_KEY = "0123456789abcdef0123456789abcdef"  # demo key; production passes a secret Column
+FLAGSHIP = "recommendations"

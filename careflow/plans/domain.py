@@ -176,6 +176,21 @@ def virtual_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def queue_patients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per reservation: patient location (NULL every 13th) and contact details from the customer row."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    k = F.col("o_orderkey")
+    j = o.join(c, o.o_custkey == c.c_custkey, "left")
+    return j.select(
+        F.concat(F.lit("q_"), _s(k)).alias("queue_id"),
+        F.when(k % 13 == 0, F.lit(None)).otherwise(F.lit(45.0) + ((k * 7) % 100).cast("double") / F.lit(100.0)).alias("user_latitude"),
+        F.when(k % 13 == 0, F.lit(None)).otherwise(F.lit(-73.0) - ((k * 11) % 100).cast("double") / F.lit(100.0)).alias("user_longitude"),
+        F.when(k % 4 == 0, F.lit(None)).otherwise(F.concat(F.lower(F.regexp_replace(F.col("c_name"), "#", ".")), F.lit("@example.org"))).alias("contact_value"),
+        F.when(k % 2 == 0, F.lit("email")).alias("channel_type"),
+    )
+
+
 def reservation_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """New queue reservations (the large-volume variant): one per lineitem."""
     li = table(spark, sf_dir, "lineitem")

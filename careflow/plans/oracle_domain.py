@@ -84,6 +84,13 @@ CTES = {
          WHEN o_orderstatus = 'P' THEN 'confirmed' ELSE 'completed' END AS queue_status,
     o_orderdate AS created_at
   FROM orders""",
+    "patients": """
+  SELECT 'q_' || CAST(o_orderkey AS VARCHAR) AS queue_id,
+    CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE CAST(45.0 AS DOUBLE) + CAST((o_orderkey * 7) % 100 AS DOUBLE) / CAST(100.0 AS DOUBLE) END AS user_latitude,
+    CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE CAST(-73.0 AS DOUBLE) - CAST((o_orderkey * 11) % 100 AS DOUBLE) / CAST(100.0 AS DOUBLE) END AS user_longitude,
+    CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE lower(replace(c_name, '#', '.')) || '@example.org' END AS contact_value,
+    CASE WHEN o_orderkey % 2 = 0 THEN 'email' END AS channel_type
+  FROM orders LEFT JOIN customer ON o_custkey = c_custkey""",
     "requests": f"""
   SELECT 'r_' || CAST(l_orderkey AS VARCHAR) || '_' || CAST(l_linenumber AS VARCHAR) AS request_id,
     'fac_' || CAST(l_suppkey AS VARCHAR) AS facility_id,
