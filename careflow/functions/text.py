@@ -43,8 +43,9 @@ def normalize_scored(c) -> Column:
     """H2: NFKD-style fold, drop other non-ASCII, lower, [^a-z0-9\\s] -> space, collapse."""
     s = _lower_ascii_folded(F.coalesce(_col(c), F.lit("")))
     s = F.regexp_replace(s, r"[^\x00-\x7F]", "")
-    s = F.regexp_replace(s, r"[^a-z0-9 \t\n\x0B\f\r]", " ")
-    return F.trim(F.regexp_replace(s, WS + "+", " "))
+    # with only ASCII left, "each non-alnum -> space, then collapse whitespace
+    # runs" is the same as "each run of non-alnum -> one space": one pass
+    return F.trim(F.regexp_replace(s, NON_ALNUM, " "))
 
 
 def normalize_identifier(c) -> Column:

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from careflow.functions import lexicon as L
 from careflow.functions.text import normalize_identifier
+from careflow.plans.sizing import spread
 
 AGE_GROUPS = ["adult", "child", "older_adult", "infant"]
 STORED_CATEGORIES = ["infection", "injury", "respiratory", "cardiac", "neurological", "digestive", "immune"]
@@ -236,11 +237,12 @@ def intake_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     pos = (did % len(L.SCENARIOS) + 1).cast("int")
     en = F.element_at(F.array(*[F.lit(s[1]) for s in L.SCENARIOS]), pos)
     fr = F.element_at(F.array(*[F.lit(s[2]) for s in L.SCENARIOS]), pos)
-    return d.select(
+    out = d.select(
         F.concat(F.lit("doc_"), _s(did)).alias("intake_session_id"),
         F.concat(F.when(F.col("lang") == "fr", fr).otherwise(en), F.lit(". "), F.col("text")).alias("raw_text"),
         F.element_at(F.array(*[F.lit(a) for a in AGE_GROUPS]), (did % 4 + 1).cast("int")).alias("age_group"),
     )
+    return spread(out)
 
 
 def intake_origins(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,3 +25,22 @@ def broadcast_if_small(df: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES) -> D
     if size is not None and size <= max_bytes:
         return F.broadcast(df)
     return df
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin rows over at least the session's parallelism before CPU-heavy row work.
+
+    Text scoring costs hundreds of passes over every string, far more than
+    moving the string once, so when the input arrives in fewer partitions
+    than there are cores (a few large files, one row group each) the rows are
+    spread first. When the scan is already split finer (the normal case for a
+    large table) the plan is returned unchanged: no extra shuffle.
+    """
+    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    try:
+        have = df.rdd.getNumPartitions() if not df.isStreaming else want
+    except Exception:
+        return df
+    if have >= want:
+        return df
+    return df.repartition(want)
