@@ -425,3 +425,7 @@ def q_contact_rows(spark, sf):
 
 CONTACT_KEY = "0123456789abcdef0123456789abcdef"  # demo key; production passes a secret Column
 FLAGSHIP = "recommendations"
+
+
+# further query families register themselves on import
+from careflow.plans import catalog_rules  # noqa: E402,F401
