@@ -430,3 +430,4 @@ FLAGSHIP = "recommendations"
 # further query families register themselves on import
 from careflow.plans import catalog_rules  # noqa: E402,F401
 from careflow.plans import catalog_text  # noqa: E402,F401
+from careflow.plans import catalog_ingest  # noqa: E402,F401

@@ -307,3 +307,71 @@ __all__ = [
     "reservation_requests", "intake_sessions", "intake_texts", "intake_origins", "staff_scope",
     "register_raw", "table", "normalize_identifier",
 ]
+
+
+# ---------------------------------------------------------------- emergency-room pages
+ER_SCRAPED_AT = "2024-01-01 06:00:00"
+ER_MAX_BLOCKS = 3
+
+
+def _li(text: Column) -> Column:
+    return F.concat(F.lit('<li class="hopital-item">'), text, F.lit("</li>"))
+
+
+def _hhmm(minutes: Column, pad_hours: bool) -> Column:
+    h = _s(F.floor(minutes / 60))
+    return F.concat(F.lpad(h, 2, "0") if pad_hours else h, F.lit(":"), F.lpad(_s(minutes % 60), 2, "0"))
+
+
+def _er_block(p: Column, j: Column) -> Column:
+    """One hospital block of page p, position j (see the SQL twin in oracle_domain)."""
+    site = F.floor(p / 2) * 3 + j
+    name = F.concat(F.when(site % 6 == 0, F.lit("CHU Sainte-Justine &amp; ")).otherwise(F.lit("Hôpital ")), site_name(site))
+    labels = L.METRIC_LABELS
+    wait = _hhmm((p * 7 + j * 13) % 600, True)
+    waiting = F.when((p + j) % 9 == 0, F.lit("n/a")).otherwise(_s((p + j) % 40))
+    total = F.when(j == 2, F.concat(F.lit("1,"), F.lpad(_s((p * 3 + j) % 90), 3, "0"))).otherwise(_s((p * 3 + j) % 90))
+    occ = F.concat(_s((p * 11 + j) % 150), F.when(j == 3, F.lit(",5 %")).otherwise(F.lit(" %")))
+    room = _hhmm((p + 5 * j) % 500, False)
+    stretcher = _s((p * 17 + j) % 2000)
+    total_label = F.when(j == 1, F.lit(f"<strong>{labels['total_people_er']}</strong>")).otherwise(F.lit(labels["total_people_er"]))
+    items = F.concat(
+        _li(F.concat(F.lit(labels["wait_time_non_priority_minutes"] + " : "), wait)),
+        _li(F.concat(F.lit(labels["people_waiting"] + " : "), waiting)),
+        _li(F.concat(total_label, F.lit(" : "), total)),
+        _li(F.concat(F.lit(labels["stretcher_occupancy_pct"] + " : "), occ)),
+        F.when(site % 5 == 0, _li(F.lit(labels["stretcher_occupancy_pct"] + " : 12 %"))).otherwise(F.lit("")),
+        F.when(site % 7 == 0, _li(F.lit("Data unavailable"))).otherwise(F.lit("")),
+        _li(F.concat(F.lit(labels["avg_wait_room_minutes_prev_day"] + " : "), room)),
+        _li(F.concat(F.lit(labels["avg_stretcher_wait_minutes_prev_day"] + " : "), stretcher)),
+    )
+    address = F.when(site % 11 == 0, F.lit("")).otherwise(
+        F.concat(F.lit('<div class="adresse">'), site_address(site), F.lit("<br>Région "), _s(site % 5), F.lit("</div>"))
+    )
+    return F.concat(
+        F.lit('<div class="hospital_element"><ul><li class="title"><span class="font-weight-bold">'), name,
+        F.lit("</span></li>"), items, F.lit("</ul>"), address, F.lit("</div>"),
+    )
+
+
+def _er_anchors(p: Column) -> Column:
+    n = F.transform(F.sequence(F.lit(1), F.lit(3)), lambda k: F.when(k <= p % 3 + 1, F.concat(
+        F.lit('<a data-page="'), _s(k), F.lit('" href="/en/er?page='), _s(k), F.lit('">'), _s(k), F.lit("</a>"))).otherwise(F.lit("")))
+    extra = F.concat(
+        F.when(p % 4 == 0, F.lit(f'<a href="{L.SITE_PREFIX}/en/er?page=9" data-page="9">9</a>')).otherwise(F.lit("")),
+        F.when(p % 5 == 0, F.lit('<a data-page="0" href="">0</a>')).otherwise(F.lit("")),
+    )
+    return F.concat(F.lit("<nav>"), F.array_join(n, ""), extra, F.lit("</nav>"))
+
+
+def er_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Emergency-room status pages: each driver page with 0-3 hospital blocks and pagination links before ``</body>``.
+
+    Consecutive pages share sites (page p lists sites 3*floor(p/2)+1..), so the
+    first-page-wins deduplication has work to do; every 11th site has no address.
+    """
+    pg = table(spark, sf_dir, "pages")
+    p = F.col("page_id")
+    blocks = F.transform(F.sequence(F.lit(1), F.lit(ER_MAX_BLOCKS)), lambda j: F.when(j <= p % 4, _er_block(p, j)).otherwise(F.lit("")))
+    html = F.concat(F.substring_index(F.col("html"), "</body>", 1), F.array_join(blocks, ""), _er_anchors(p), F.lit("</body></html>"))
+    return spread(pg.select("page_id", "url", html.alias("html")))
