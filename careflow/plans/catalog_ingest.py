@@ -189,3 +189,77 @@ def q_er_pages_bronze(spark, sf):
 def q_er_page_links(spark, sf):
     """A8 + G2: the page URL set (own URL plus pagination links) of every page."""
     return ER.page_links(D.er_pages(spark, sf))
+
+
+# --------------------------------------------------------------------------- matching, overrides, upsert
+from pyspark.sql import functions as F  # noqa: E402
+
+from careflow.operators import match as MT  # noqa: E402
+from careflow.plans.oracle_domain import with_ctes  # noqa: E402
+
+
+def _register_candidates(spark, sf):
+    return D.facility_master(spark, sf).withColumn("register_order", F.col("index").cast("long"))
+
+
+@register("fuzzy_match")
+def q_fuzzy_match(spark, sf):
+    """C5 + E3: best register row for every live site (token-set ratios; LCS in a pandas UDF). Checked against brute force in tests."""
+    return MT.fuzzy_match(D.live_status(spark, sf), _register_candidates(spark, sf))
+
+
+SQL_OVERRIDDEN = """
+  SELECT m.facility_name_raw, m.address_raw,
+    CASE WHEN o.hit THEN o.oid ELSE m.matched_facility_id END AS matched_facility_id,
+    CASE WHEN o.hit THEN o.oname ELSE m.matched_facility_name END AS matched_facility_name,
+    CASE WHEN o.hit THEN 1.0 ELSE m.match_confidence END AS match_confidence,
+    CASE WHEN o.hit THEN 'manual_override' ELSE m.match_method END AS match_method,
+    CASE WHEN o.hit THEN true ELSE m.manually_validated END AS manually_validated, m.matched_at
+  FROM fmatch m LEFT JOIN (
+    SELECT facility_name_raw, address_raw, matched_facility_id AS oid, matched_facility_name AS oname, true AS hit FROM (
+      SELECT *, row_number() OVER (PARTITION BY facility_name_raw, address_raw ORDER BY updated_at DESC, matched_facility_id DESC) AS rn
+      FROM overrides) _o WHERE rn = 1) o
+  ON m.facility_name_raw = o.facility_name_raw AND m.address_raw = o.address_raw"""
+
+
+@register("match_overrides", with_ctes(SQL_OVERRIDDEN))
+def q_match_overrides(spark, sf):
+    """Manual overrides (latest version per key) applied to every match row."""
+    return MT.apply_overrides(D.facility_match(spark, sf), D.manual_overrides(spark, sf))
+
+
+def _pending_sites(gold):
+    """New live sites from the page scrape, inserted unmatched until reviewed."""
+    return gold.select(*MT.MATCH_KEY, "scraped_at").groupBy(*MT.MATCH_KEY).agg(F.max("scraped_at").alias("matched_at")).select(
+        *MT.MATCH_KEY, F.lit(None).cast("string").alias("matched_facility_id"), F.lit(None).cast("string").alias("matched_facility_name"),
+        F.lit(0.0).alias("match_confidence"), F.lit("pending").alias("match_method"), F.lit(False).alias("manually_validated"), "matched_at")
+
+
+def _match_upsert_sql() -> str:
+    ctes = with_ctes("SELECT 1").removeprefix("WITH ").rsplit("\nSELECT 1", 1)[0]
+    return (
+        f"WITH erp AS ({SQL_ER_PAGES}),\nrec AS ({SQL_RECORDS}),\n{ctes},\novr AS ({SQL_OVERRIDDEN}),\n"
+        """src AS (
+  SELECT * FROM ovr WHERE match_method = 'manual_override'
+  UNION ALL
+  SELECT facility_name_raw, address_raw, CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), 0.0, 'pending', false, max(scraped_at)
+  FROM rec GROUP BY facility_name_raw, address_raw)
+SELECT t.* FROM fmatch t WHERE NOT EXISTS (
+  SELECT 1 FROM src s WHERE s.facility_name_raw = t.facility_name_raw AND s.address_raw = t.address_raw)
+UNION ALL SELECT * FROM src""")
+
+
+@register("match_upsert", _match_upsert_sql())
+def q_match_upsert(spark, sf):
+    """Overridden matches update, newly scraped sites insert; every other stored match is kept."""
+    ovr = MT.apply_overrides(D.facility_match(spark, sf), D.manual_overrides(spark, sf))
+    src = ovr.filter(F.col("match_method") == "manual_override").unionByName(_pending_sites(_records(spark, sf)))
+    return MT.upsert(D.facility_match(spark, sf), src)
+
+
+@register("match_refresh")
+def q_match_refresh(spark, sf):
+    """L1 refresh: scraped sites fuzzy-matched to the register, overrides applied, upserted into the stored matches."""
+    gold = ER.gold_rows(_records(spark, sf))
+    new = MT.apply_overrides(MT.fuzzy_match(gold, _register_candidates(spark, sf)), D.manual_overrides(spark, sf))
+    return MT.upsert(D.facility_match(spark, sf), new)
