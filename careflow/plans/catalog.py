@@ -432,3 +432,4 @@ from careflow.plans import catalog_rules  # noqa: E402,F401
 from careflow.plans import catalog_text  # noqa: E402,F401
 from careflow.plans import catalog_ingest  # noqa: E402,F401
 from careflow.plans import catalog_more  # noqa: E402,F401
+from careflow.plans import catalog_streams  # noqa: E402,F401

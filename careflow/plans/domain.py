@@ -99,7 +99,11 @@ def site_address(user_id: Column) -> Column:
 
 def live_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gold live-status snapshots (12 columns), one per event."""
-    e = table(spark, sf_dir, "events")
+    return live_status_from(table(spark, sf_dir, "events"))
+
+
+def live_status_from(e: DataFrame) -> DataFrame:
+    """The live-status projection of an events frame (batch or streaming)."""
     v = F.col("value")
     et = F.col("event_type")
     return e.select(
@@ -154,7 +158,11 @@ def manual_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------- queue
 def virtual_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders")
+    return virtual_queue_from(table(spark, sf_dir, "orders"))
+
+
+def virtual_queue_from(o: DataFrame) -> DataFrame:
+    """The virtual-queue projection of an orders frame (batch or streaming)."""
     k = F.col("o_orderkey")
     start = _minutes(F.col("o_orderdate"), (k % 96) * 15)
     status = (
@@ -232,7 +240,11 @@ def intake_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def intake_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Free-text intakes for triage: a scenario sentence (doc_id mod 26) then the whole document."""
-    d = table(spark, sf_dir, "documents")
+    return intake_texts_from(table(spark, sf_dir, "documents"))
+
+
+def intake_texts_from(d: DataFrame) -> DataFrame:
+    """The intake-text projection of a documents frame (batch or streaming)."""
     did = F.col("doc_id")
     pos = (did % len(L.SCENARIOS) + 1).cast("int")
     en = F.element_at(F.array(*[F.lit(s[1]) for s in L.SCENARIOS]), pos)
@@ -370,7 +382,11 @@ def er_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     Consecutive pages share sites (page p lists sites 3*floor(p/2)+1..), so the
     first-page-wins deduplication has work to do; every 11th site has no address.
     """
-    pg = table(spark, sf_dir, "pages")
+    return er_pages_from(table(spark, sf_dir, "pages"))
+
+
+def er_pages_from(pg: DataFrame) -> DataFrame:
+    """The emergency-room page derivation of a pages frame (batch or streaming)."""
     p = F.col("page_id")
     blocks = F.transform(F.sequence(F.lit(1), F.lit(ER_MAX_BLOCKS)), lambda j: F.when(j <= p % 4, _er_block(p, j)).otherwise(F.lit("")))
     html = F.concat(F.substring_index(F.col("html"), "</body>", 1), F.array_join(blocks, ""), _er_anchors(p), F.lit("</body></html>"))
