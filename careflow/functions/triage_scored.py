@@ -328,3 +328,19 @@ def validate_decisions(df: DataFrame) -> DataFrame:
     expected = _lits(L.EXPECTED_KEYS)
     missing = F.transform(F.array_except(expected, present), lambda k: F.concat(F.lit("missing:"), k))
     return df.withColumn("violations", F.concat(missing, F.array_compact(F.array(*checks))))
+
+
+def level_view(df: DataFrame, text_col: str = "raw_text", age_col: str | None = "age_group", duration_col: str | None = None) -> DataFrame:
+    """H35 partial view: provisional level and label."""
+    return triage_scored(df, text_col, age_col, duration_col).select(*df.columns, "provisional_ctas_level", "provisional_ctas_label")
+
+
+def risk_view(df: DataFrame, text_col: str = "raw_text", age_col: str | None = "age_group", duration_col: str | None = None) -> DataFrame:
+    """H35 partial view: risk score and band."""
+    return triage_scored(df, text_col, age_col, duration_col).select(*df.columns, "risk_score", "risk_band")
+
+
+def policy_view(df: DataFrame, text_col: str = "raw_text", age_col: str | None = "age_group", duration_col: str | None = None) -> DataFrame:
+    """H35 partial view: queue policy triple."""
+    return triage_scored(df, text_col, age_col, duration_col).select(
+        *df.columns, "queue_eligible", "recommended_facility_type", "recommended_urgency_band")
