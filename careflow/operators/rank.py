@@ -73,8 +73,10 @@ def _candidates(live_joined: DataFrame) -> DataFrame:
 def score_pairs(requests: DataFrame, live_joined: DataFrame) -> DataFrame:
     """Every in-region candidate row scored for every distinct request key."""
     cand = _candidates(live_joined)
-    stats = F.broadcast(domain_min_max(cand))  # exactly one row
-    cand = cand.join(stats, how="inner", on=F.lit(True))
+    # D8 is one global row: computed once as a scalar subquery and attached as constants, no join
+    stats = domain_min_max(cand)
+    packed = stats.select(F.struct(*stats.columns).alias("s")).scalar()
+    cand = cand.withColumn("_stats", packed).select("*", "_stats.*").drop("_stats")
     keys = requests.select(*REQUEST_KEY).distinct()
     pairs = keys.join(broadcast_if_small(cand), how="inner", on=F.lit(True))
     lvl = F.col("provisional_ctas_level")
