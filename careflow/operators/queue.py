@@ -28,7 +28,7 @@ def call_time(window_start: Column, position: Column) -> Column:
     return F.timestamp_add("MINUTE", (position * L.MINUTES_PER_POSITION).cast("int"), window_start)
 
 
-def assign_positions(requests: DataFrame, queue: DataFrame, bucket_unit: str = "day") -> DataFrame:
+def assign_positions(requests: DataFrame, queue: DataFrame, bucket_unit: str = "hour") -> DataFrame:
     """E5: position = base (D3, else 1) + dense rank within the facility by (created_at, request_id) - 1.
 
     Skew-safe numbering: a facility's requests are split into time buckets;
