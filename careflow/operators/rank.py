@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from careflow.functions import lexicon as L
 from careflow.functions.text import haversine_km
 from careflow.operators.views import in_region_or_unknown
-from careflow.plans.sizing import broadcast_if_small
+from careflow.plans.sizing import pair_all
 
 REQUEST_KEY = ["provisional_ctas_level", "user_latitude", "user_longitude"]
 ROW_KEY = ["facility_id_normalized", "facility_name_raw", "address_raw"]
@@ -78,7 +78,7 @@ def score_pairs(requests: DataFrame, live_joined: DataFrame) -> DataFrame:
     packed = stats.select(F.struct(*stats.columns).alias("s")).scalar()
     cand = cand.withColumn("_stats", packed).select("*", "_stats.*").drop("_stats")
     keys = requests.select(*REQUEST_KEY).distinct()
-    pairs = keys.join(broadcast_if_small(cand), how="inner", on=F.lit(True))
+    pairs = pair_all(keys, cand)
     lvl = F.col("provisional_ctas_level")
     pairs = pairs.withColumn(
         "distance_km",

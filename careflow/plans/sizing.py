@@ -44,3 +44,20 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     if have >= want:
         return df
     return df.repartition(want)
+
+
+def pair_all(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Every row of ``left`` with every row of ``right``, for two *bounded* sides (keys x a register).
+
+    Used only where the operator's definition scores every combination
+    (ranking every in-region facility for a request key, matching a site
+    against every register row). The smaller side under the broadcast bound
+    is broadcast and the other side streams past it; if neither is under the
+    bound the pairing is left to Spark's planner.
+    """
+    lb, rb = estimated_bytes(left), estimated_bytes(right)
+    if rb is not None and rb <= MAX_BROADCAST_BYTES and (lb is None or rb <= lb):
+        return left.join(F.broadcast(right), how="cross")
+    if lb is not None and lb <= MAX_BROADCAST_BYTES:
+        return F.broadcast(left).join(right, how="cross")
+    return left.join(right, how="cross")
