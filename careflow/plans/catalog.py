@@ -125,6 +125,12 @@ def q_latest_status(spark, sf):
     return _latest(spark, sf)
 
 
+@register("latest_status_maxby", view_sql("SELECT * FROM latest"))
+def q_latest_status_maxby(spark, sf):
+    """E1, aggregate form: max_by over a (scraped_at, scrape_id) key instead of row_number() = 1."""
+    return V.live_latest(D.live_status(spark, sf), method="max_by")
+
+
 @register("queue_depth", view_sql("SELECT * FROM depth"))
 def q_queue_depth(spark, sf):
     """D1 + B3."""
