@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from careflow.functions import lexicon as L
 from careflow.functions.text import normalize_main
-from careflow.plans.sizing import broadcast_if_small, pair_all, spread
+from careflow.plans.sizing import broadcast_if_small, pair_all
 
 MATCH_KEY = ["facility_name_raw", "address_raw"]
 
@@ -106,7 +106,7 @@ def fuzzy_match(live: DataFrame, register: DataFrame, order_col: str = "register
         tokens(normalize_main(F.col("facility_name"))).alias("_rnt"), tokens(normalize_main(F.col("full_address"))).alias("_rat"),
         F.when(F.coalesce(F.col("city"), F.lit("")) != "", normalize_main(F.col("city"))).alias("_rc"),
     )
-    pairs = pair_all(spread(cand), site_side)
+    pairs = pair_all(cand, site_side)
     pairs = with_token_set_ratio(pairs, "_lnt", "_rnt", "_name_score")
     pairs = with_token_set_ratio(pairs, "_lat", "_rat", "_addr_score")
     city = F.when(F.col("_rc").isNotNull() & F.col("_la").contains(F.col("_rc")), F.lit(100.0)).otherwise(F.lit(0.0))

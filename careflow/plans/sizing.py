@@ -15,7 +15,8 @@ MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 
 def estimated_bytes(df: DataFrame) -> int | None:
     try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+        return int(str(size))  # a Python int through py4j, or a JVM BigInt
     except Exception:  # estimate unavailable (e.g. remote session)
         return None
 
@@ -54,10 +55,19 @@ def pair_all(left: DataFrame, right: DataFrame) -> DataFrame:
     against every register row). The smaller side under the broadcast bound
     is broadcast and the other side streams past it; if neither is under the
     bound the pairing is left to Spark's planner.
+
+    The pair work is far larger than either input, so the streamed side is
+    round-robined over the session's parallelism first (a grouped result
+    would otherwise be coalesced into one partition by adaptive execution).
     """
     lb, rb = estimated_bytes(left), estimated_bytes(right)
     if rb is not None and rb <= MAX_BROADCAST_BYTES and (lb is None or rb <= lb):
-        return left.join(F.broadcast(right), how="cross")
-    if lb is not None and lb <= MAX_BROADCAST_BYTES:
-        return F.broadcast(left).join(right, how="cross")
-    return left.join(right, how="cross")
+        small, stream = right, left
+    elif lb is not None and lb <= MAX_BROADCAST_BYTES:
+        small, stream = left, right
+    else:
+        return left.join(right, how="cross")
+    # the streamed side is itself a bounded input (a register, request keys); the pair work is |stream| x |small|,
+    # so it is always round-robined over every core (an explicit count is never coalesced by adaptive execution)
+    stream = stream.repartition(stream.sparkSession.sparkContext.defaultParallelism)
+    return stream.join(F.broadcast(small), how="cross")
