@@ -45,3 +45,23 @@ def q_refresh_stream_matches(spark, sf):
 def q_score_stream(spark, sf):
     """Scored decisions for a stream of intake texts."""
     return ST.run_scores(spark, sf)
+
+
+_SQL_DEPTH_WINDOWS = with_ctes("""
+  SELECT facility_id, date_trunc('hour', created_at) AS window_start, count(*) AS active_queue_count,
+    avg(date_sub('minute', created_at, coalesce(estimated_call_time, created_at))) AS avg_queue_delay_minutes
+  FROM vq WHERE queue_status IN ('reserved', 'confirmed', 'called') GROUP BY facility_id, date_trunc('hour', created_at)""")
+
+
+@register("queue_depth_windows", _SQL_DEPTH_WINDOWS)
+def q_queue_depth_windows(spark, sf):
+    """S3 batch twin: active queue per facility and hourly event-time window."""
+    from careflow.plans import domain as D
+
+    return ST.windowed_depth(D.virtual_queue(spark, sf))
+
+
+@register("queue_depth_windows_stream", _SQL_DEPTH_WINDOWS)
+def q_queue_depth_windows_stream(spark, sf):
+    """S3: the same windows from a watermarked stream (update mode, merged into a versioned table)."""
+    return ST.run_windowed_depth(spark, sf)

@@ -180,3 +180,32 @@ def run_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = score_stream(D.intake_texts_from(table_stream(spark, sf_dir, "documents")))
     _run(s.writeStream.outputMode("append").format("parquet").option("path", root + "/table"), root + "/checkpoint")
     return spark.read.parquet(root + "/table")
+
+
+# --------------------------------------------------------------------------- S3, event-time windows
+DEPTH_WINDOW = "1 hour"
+DEPTH_LATENESS = "2 hours"
+
+
+def windowed_depth(queue: DataFrame, window: str = DEPTH_WINDOW, lateness: str | None = None) -> DataFrame:
+    """Active-queue rows and average call delay per facility and event-time window of ``created_at``.
+
+    Batch and streaming share this definition; a stream passes ``lateness`` so
+    the state of closed windows is dropped once the watermark passes them.
+    """
+    q = V.active_queue(queue).withColumn("created_at", F.col("created_at").cast("timestamp"))
+    if lateness:
+        q = q.withWatermark("created_at", lateness)
+    delay = F.timestamp_diff("MINUTE", F.col("created_at"), F.coalesce(F.col("estimated_call_time").cast("timestamp"), F.col("created_at")))
+    g = q.groupBy("facility_id", F.window("created_at", window).alias("w")).agg(
+        F.count(F.lit(1)).alias("active_queue_count"), F.avg(delay).alias("avg_queue_delay_minutes"))
+    return g.select("facility_id", F.col("w.start").alias("window_start"), "active_queue_count", "avg_queue_delay_minutes")
+
+
+def run_windowed_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = work_dir(spark, "depth-windows")
+    agg = windowed_depth(D.virtual_queue_from(table_stream(spark, sf_dir, "orders")), lateness=DEPTH_LATENESS)
+    w = agg.writeStream.outputMode("update").foreachBatch(
+        lambda df, bid: merge_into_versioned(df, bid, root + "/table", ["facility_id", "window_start"]))
+    _run(w, root + "/checkpoint")
+    return read_versioned(spark, root + "/table")

@@ -40,3 +40,29 @@ def test_merge_is_idempotent_on_replay(spark, tmp_path):
     ST.merge_into_versioned(b1.withColumn("wait_time_non_priority_minutes", F.lit(7)), 1, root, ST.LIVE_KEY)  # replayed batch 1
     rows = ST.read_versioned(spark, root).collect()
     assert [(r["scrape_id"], r["wait_time_non_priority_minutes"]) for r in rows] == [("s2", 2)]
+
+
+QUEUE_SCHEMA = "facility_id string, queue_status string, created_at timestamp_ntz, estimated_call_time timestamp_ntz"
+
+
+def test_windowed_depth_drops_rows_behind_watermark(spark, tmp_path):
+    src, root = str(tmp_path / "q"), str(tmp_path / "out")
+    t = dt.datetime
+
+    def run():
+        stream = spark.readStream.schema(QUEUE_SCHEMA).option("recursiveFileLookup", True).parquet(src)
+        w = ST.windowed_depth(stream, lateness="2 hours").writeStream.outputMode("update").foreachBatch(
+            lambda df, bid: ST.merge_into_versioned(df, bid, root + "/table", ["facility_id", "window_start"]))
+        ST._run(w, root + "/ck")
+
+    spark.createDataFrame([("f1", "reserved", t(2024, 1, 1, 10, 5), None), ("f1", "called", t(2024, 1, 1, 14, 0), t(2024, 1, 1, 14, 30))],
+                          QUEUE_SCHEMA).coalesce(1).write.parquet(src + "/b1")
+    run()  # watermark is now 14:00 - 2 h = 12:00
+    spark.createDataFrame([("f1", "reserved", t(2024, 1, 1, 9, 30), None),    # window ends 10:00, behind the watermark: dropped
+                           ("f1", "confirmed", t(2024, 1, 1, 13, 10), None),  # inside it: counted
+                           ("f1", "completed", t(2024, 1, 1, 14, 20), None)], # not active
+                          QUEUE_SCHEMA).coalesce(1).write.parquet(src + "/b2")
+    run()  # resumes from the checkpoint: only the new file is read
+    got = {(r["window_start"].hour, r["active_queue_count"], r["avg_queue_delay_minutes"])
+           for r in ST.read_versioned(spark, root + "/table").collect()}
+    assert got == {(10, 1, 0.0), (13, 1, 0.0), (14, 1, 30.0)}
