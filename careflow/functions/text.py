@@ -33,9 +33,12 @@ def _lower_ascii_folded(c) -> Column:
 
 def normalize_main(c) -> Column:
     """H1: transliterate, lower, runs of non [a-z0-9] -> one space, trim; NULL -> ''."""
-    s = _lower_ascii_folded(F.coalesce(_col(c), F.lit("")))
+    single = [(a, b) for a, b in L.TRANSLIT_EXTRA if len(b) == 1]
+    s = F.translate(F.lower(F.coalesce(_col(c), F.lit(""))), L.ACCENTED + "".join(a for a, _ in single),
+                    L.ACCENTED_BASE + "".join(b for _, b in single))
     for src, dst in L.TRANSLIT_EXTRA:
-        s = F.replace(s, F.lit(src), F.lit(dst))
+        if len(dst) > 1:  # one-to-two letters: a replace pass each
+            s = F.replace(s, F.lit(src), F.lit(dst))
     return F.trim(F.regexp_replace(s, NON_ALNUM, " "))
 
 

@@ -63,3 +63,8 @@ def test_text_parsers(spark):
     r = df.select(parse_duration_to_minutes(F.col("a")).alias("a"), parse_metric_int(F.col("b")).alias("b"),
                   parse_duration_to_hours_main(normalize_main(F.col("c"))).alias("c"), normalize_main(F.col("d")).alias("d")).first()
     assert r["a"] == 330 and r["b"] == 1 and r["c"] == 48.0 and r["d"] == "hopital oeuvre saint"
+
+
+def test_transliteration(spark):
+    df = spark.createDataFrame([("Ødegård Łódź Straße Þór Æsir đ",)], "t string")
+    assert df.select(normalize_main(F.col("t")).alias("n")).first()["n"] == "odegard lodz strasse thor aesir d"
