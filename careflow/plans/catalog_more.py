@@ -14,7 +14,6 @@ from careflow.plans import oracle_text as OT
 from careflow.plans.catalog import (
     SQL_RECOMMEND,
     _dashboard,
-    _joined,
     _rank_sql,
     _secure,
     now_col,
@@ -133,8 +132,6 @@ def q_published_views(spark, sf):
     return spark.sql("SELECT user_name, facility_id, incoming_queue_count FROM vw_staff_dashboard_secure")
 
 
-__all__ = ["_joined"]
-
 
 @register(
     "contact_roundtrip",

@@ -9,7 +9,7 @@ from careflow.operators import rules as RU
 from careflow.plans import domain as D
 from careflow.plans import oracle_text as OT
 from careflow.plans.catalog import SQL_TRIAGE_MAIN, SQL_TRIAGE_SCORED, _triage_main, _triage_scored, register
-from careflow.plans.oracle_domain import CTES, QUEBEC, T0, with_ctes
+from careflow.plans.oracle_domain import QUEBEC, T0, with_ctes
 from careflow.sources import reference as REF
 from careflow.sources import register as RG
 
@@ -171,5 +171,3 @@ def q_sql_functions(spark, sf):
         ctas_label_from_level(provisional_ctas_level) AS ctas_label_sql, risk_band_from_score(risk_score) AS risk_band_sql
       FROM careflow_scored_intakes""")
 
-
-__all__ = ["CTES"]

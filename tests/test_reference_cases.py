@@ -1,7 +1,5 @@
 """The literal cases the reference's own suites pin (triage, ranking), plus small unit checks."""
 
-import datetime as dt
-
 from pyspark.sql import functions as F
 
 from careflow.functions import triage_main as TM
