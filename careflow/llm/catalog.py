@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from careflow.llm import langid, packing, token_counts
+from careflow.llm import jaccard_join, langid, packing, substring_dedup, token_counts
 
 QUERIES = {
     "op2_language_id": langid.op2_language_id,
+    "op3_substring_dedup": substring_dedup.op3_substring_dedup,
+    "op8_jaccard_join": jaccard_join.op8_jaccard_join,
     "op9_token_counts": token_counts.op9_token_counts,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op3_substring_dedup": substring_dedup.ORACLE_SQL,
+    "op8_jaccard_join": jaccard_join.ORACLE_SQL,
+}
