@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from careflow.llm import jaccard_join, langid, packing, substring_dedup, token_counts
+from careflow.llm import decontaminate, jaccard_join, langid, packing, substring_dedup, token_counts
 
 QUERIES = {
+    "op1_decontamination": decontaminate.op1_decontamination,
     "op2_language_id": langid.op2_language_id,
     "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op8_jaccard_join": jaccard_join.op8_jaccard_join,
@@ -13,6 +14,7 @@ QUERIES = {
 }
 
 ORACLE: dict[str, str] = {
+    "op1_decontamination": decontaminate.ORACLE_SQL,
     "op3_substring_dedup": substring_dedup.ORACLE_SQL,
     "op8_jaccard_join": jaccard_join.ORACLE_SQL,
 }
