@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from careflow.llm.common import row_key, staged, table
 
-SHINGLE, BANDS, MIN_CONTAINMENT = 3, 24, 0.8
+SHINGLE, BANDS, MIN_CONTAINMENT = 3, 24, 0.85
 CLASSES = (8, 16, 32, 64, 128, 256)
 #: Templates (rows) up to which their values are built into the plan.
 MAX_TEMPLATES = 2_000
@@ -110,7 +110,9 @@ def scan(docs: DataFrame, templates: DataFrame, id_col: str = "doc_id", text_col
     )
     signed = windows.select("doc", "row", "window", "start", F.posexplode(min_hashes(F.col("held"))).alias("band", "value"))
     pairs = signed.join(F.broadcast(bands), ["window", "band", "value"]).select("doc", "row", "window", "start", "license").distinct()
-    checked = pairs.join(windows, ["doc", "row", "window", "start"]).join(F.broadcast(known.select("license", "window", "hashes", "size")), ["license", "window"])
+    again = pairs.select("license", *(F.col(c).alias(f"_{c}") for c in ("doc", "row", "window", "start")))
+    place = F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("row") == F.col("_row")) & (F.col("window") == F.col("_window")) & (F.col("start") == F.col("_start"))
+    checked = windows.join(again, place).drop("_doc", "_row", "_window", "_start").join(F.broadcast(known.select("license", "window", "hashes", "size")), ["license", "window"])
     checked = checked.withColumn("containment", F.size(F.array_intersect("held", "hashes")) / F.col("size")).filter(F.col("containment") >= MIN_CONTAINMENT)
     return checked.groupBy("doc", "row", "license").agg(F.countDistinct("window", "start").alias("windows"), F.min("start").alias("first_word"), F.max("containment").alias("containment"))
 
