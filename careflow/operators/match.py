@@ -11,14 +11,14 @@ it is broadcast when its estimated size is under the bound; the register
 streams past it partition by partition. Token arrays, set algebra, lengths
 and the ratio arithmetic are JVM expressions; only the longest common
 subsequence of the two leftover token strings runs in Python, as an
-Arrow-batched pandas UDF with a bit-parallel LCS. The best row per site is a
-``max_by`` aggregate (partial aggregation before the shuffle).
+Arrow-batched pandas UDF with a bit-parallel LCS. The best row per site is
+``row_number() = 1``, limited in every task before the shuffle.
 """
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -113,8 +113,9 @@ def fuzzy_match(live: DataFrame, register: DataFrame, order_col: str = "register
     score = (F.lit(L.MATCH_WEIGHTS[0]) * F.col("_name_score") + F.lit(L.MATCH_WEIGHTS[1]) * F.col("_addr_score")
              + F.lit(L.MATCH_WEIGHTS[2]) * city)
     scored = pairs.withColumn("_score", score)
-    best = F.max_by(F.struct("_score", "_rid", "_rname"), F.struct(F.col("_score"), -F.col("_ord")))
-    top = scored.groupBy(*MATCH_KEY).agg(best.alias("_b"))
+    best = Window.partitionBy(*MATCH_KEY).orderBy(F.col("_score").desc(), F.col("_ord").asc())
+    top = scored.withColumn("_rn", F.row_number().over(best)).filter("_rn = 1").select(
+        *MATCH_KEY, F.struct("_score", "_rid", "_rname").alias("_b"))
     # a site with no register row at all keeps the reference's "no_match" row
     j = sites.join(top, MATCH_KEY, "left")
     sc = F.col("_b._score")
@@ -132,9 +133,9 @@ def fuzzy_match(live: DataFrame, register: DataFrame, order_col: str = "register
 
 def latest_overrides(overrides: DataFrame) -> DataFrame:
     """One override per key: the most recently updated (then highest target id) wins."""
-    best = F.max_by(F.struct("matched_facility_id", "matched_facility_name"), F.struct("updated_at", "matched_facility_id"))
-    return overrides.groupBy(*MATCH_KEY).agg(best.alias("_o")).select(
-        *MATCH_KEY, F.col("_o.matched_facility_id").alias("_oid"), F.col("_o.matched_facility_name").alias("_oname"))
+    w = Window.partitionBy(*MATCH_KEY).orderBy(F.col("updated_at").desc_nulls_last(), F.col("matched_facility_id").desc_nulls_last())
+    return overrides.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").select(
+        *MATCH_KEY, F.col("matched_facility_id").alias("_oid"), F.col("matched_facility_name").alias("_oname"))
 
 
 def apply_overrides(matches: DataFrame, overrides: DataFrame) -> DataFrame:
@@ -156,19 +157,17 @@ def apply_overrides(matches: DataFrame, overrides: DataFrame) -> DataFrame:
 def upsert(target: DataFrame, source: DataFrame, keys: list[str] = MATCH_KEY) -> DataFrame:
     """MERGE as a plan: source rows replace target rows with equal keys, other source rows are inserted.
 
-    Key equality is ``=``, so NULL keys never match (such target rows stay,
-    such source rows are inserted). A key present twice in the source makes
-    the job fail, like a MERGE with several source matches. The duplicate
-    check is a grouped count (combined map-side), not a window.
-    """
+    One full outer join, so target and source are each computed once. Key equality is ``=``, so NULL keys never
+    match (such target rows stay, such source rows are inserted). A key present twice in the source makes the job
+    fail, like a MERGE with several source matches; the count runs over the join's own partitioning and sees source
+    rows alone, which are unique when it passes."""
     has_keys = F.lit(True)
     for k in keys:
         has_keys = has_keys & F.col(k).isNotNull()
-    others = [c for c in target.columns if c not in keys]
-    keyed = source.filter(has_keys).groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.any_value(F.struct(*others)).alias("_r"))
-    checked = keyed.select(
-        *keys, F.when(F.col("_n") > 1, F.raise_error(F.lit("upsert: duplicate source key"))).otherwise(F.col("_r")).alias("_r")
-    ).select(*keys, "_r.*")
-    kept = target.join(keyed.select(*keys), keys, "left_anti")
-    return kept.unionByName(checked.select(*target.columns)).unionByName(source.filter(~has_keys).select(*target.columns))
+    twice = (F.count(F.lit(1)).over(Window.partitionBy(*keys)) > 1) & has_keys
+    new = source.select(*[F.col(c).alias(f"_s_{c}") for c in target.columns], F.when(twice, F.raise_error(F.lit("upsert: duplicate source key")).cast("boolean")).otherwise(F.lit(True)).alias("_s"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & (F.col(k) == F.col(f"_s_{k}"))
+    j = target.join(new, same, "full_outer")
+    return j.select(*[F.when(F.col("_s"), F.col(f"_s_{c}")).otherwise(F.col(c)).alias(c) for c in target.columns])

@@ -34,16 +34,20 @@ def assign_positions(requests: DataFrame, queue: DataFrame, bucket_unit: str = "
     Skew-safe numbering: a facility's requests are split into time buckets;
     per-bucket counts (a small aggregate) give each bucket its offset by a
     running sum, and rows are numbered within (facility, bucket). No task ever
-    holds all requests of a hot facility.
+    holds all requests of a hot facility. Requests without a creation time are
+    numbered last in their facility, requests without a facility among
+    themselves.
     """
     bucket = F.date_trunc(bucket_unit, F.col("created_at"))
     req = requests.withColumn("_bucket", bucket)
     counts = req.groupBy("facility_id", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    wrun = Window.partitionBy("facility_id").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_offset", F.coalesce(F.sum("_n").over(wrun), F.lit(0))).drop("_n")
+    wrun = Window.partitionBy("facility_id").orderBy(F.col("_bucket").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(
+        F.col("facility_id").alias("_ofid"), F.col("_bucket").alias("_obucket"), F.coalesce(F.sum("_n").over(wrun), F.lit(0)).alias("_offset"))
     base = next_position(queue).withColumnRenamed("facility_id", "_bid")
     win = Window.partitionBy("facility_id", "_bucket").orderBy("created_at", "request_id")
-    numbered = req.withColumn("_rn", F.row_number().over(win)).join(offsets, ["facility_id", "_bucket"])
+    numbered = req.withColumn("_rn", F.row_number().over(win)).join(
+        offsets, F.col("facility_id").eqNullSafe(F.col("_ofid")) & F.col("_bucket").eqNullSafe(F.col("_obucket")))
     j = numbered.join(base, numbered.facility_id == base._bid, "left")
     pos = (F.coalesce(F.col("next_position"), F.lit(1)) + F.col("_offset") + F.col("_rn") - 1).cast("int")
     return j.select(

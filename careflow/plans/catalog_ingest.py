@@ -62,9 +62,9 @@ def _anchors_sql(p: str) -> str:
 
 
 SQL_ER_PAGES = f"""
-  SELECT page_id, url, split_part(html, '</body>', 1)
+  SELECT page_id, url, CASE WHEN contains(html, '</body>') THEN left(html, length(html) - length(split_part(html, '</body>', -1)) - 7) ELSE html END
     || array_to_string(list_transform(range(1, {D.ER_MAX_BLOCKS + 1}), lambda j: CASE WHEN j <= page_id % 4 THEN {_block_sql('page_id', 'j')} ELSE '' END), '')
-    || {_anchors_sql('page_id')} || '</body></html>' AS html
+    || {_anchors_sql('page_id')} || '</body>' || CASE WHEN contains(html, '</body>') THEN split_part(html, '</body>', -1) ELSE '</html>' END AS html
   FROM pages"""
 
 
@@ -126,7 +126,7 @@ SQL_FIRST = f"""
     SELECT *, row_number() OVER (PARTITION BY facility_name_raw, address_raw ORDER BY source_url, page_id, block_pos) AS rn
     FROM ({SQL_BLOCKS}) _b) _f WHERE rn = 1"""
 SQL_RECORDS = f"""
-  SELECT *, 'scrape_' || substr(sha256(concat_ws(chr(1), source_url, CAST(block_pos AS VARCHAR))), 1, 16) AS scrape_id,
+  SELECT *, 'scrape_' || substr(sha256(concat_ws(chr(1), source_url, CAST(page_id AS VARCHAR), CAST(block_pos AS VARCHAR), '{D.ER_SCRAPED_AT}')), 1, 16) AS scrape_id,
     TIMESTAMP '{D.ER_SCRAPED_AT}' AS scraped_at
   FROM ({SQL_FIRST}) _r"""
 _GOLD = ", ".join(ER.GOLD_COLUMNS)

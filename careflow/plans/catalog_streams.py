@@ -11,13 +11,13 @@ from careflow.streaming import streams as ST
 
 @register("latest_stream", view_sql("SELECT * FROM latest"))
 def q_latest_stream(spark, sf):
-    """Newest snapshot per site kept by a streaming aggregate and merged into a versioned table."""
+    """Newest snapshot per site kept by a streaming aggregate and merged into a keyed table."""
     return ST.run_latest(spark, sf)
 
 
 @register("queue_depth_stream", view_sql("SELECT * FROM depth"))
 def q_queue_depth_stream(spark, sf):
-    """S3: streaming queue depth per facility, merged into a versioned table."""
+    """S3: streaming queue depth per facility, merged into a keyed table."""
     return ST.run_depth(spark, sf)
 
 
@@ -38,7 +38,7 @@ def q_refresh_stream_gold(spark, sf):
 def q_refresh_stream_matches(spark, sf):
     """The match table after the streamed refresh (stored matches, fuzzy matches of new sites, overrides)."""
     root = ST.run_refresh(spark, sf)
-    return ST.read_versioned(spark, f"{root}/matches")
+    return ST.read_keyed(spark, f"{root}/matches")
 
 
 @register("score_stream", with_ctes(SQL_TRIAGE_SCORED))
@@ -63,5 +63,5 @@ def q_queue_depth_windows(spark, sf):
 
 @register("queue_depth_windows_stream", _SQL_DEPTH_WINDOWS)
 def q_queue_depth_windows_stream(spark, sf):
-    """S3: the same windows from a watermarked stream (update mode, merged into a versioned table)."""
+    """S3: the same windows from a watermarked stream (update mode, merged into a keyed table)."""
     return ST.run_windowed_depth(spark, sf)

@@ -3,7 +3,7 @@
 The care-access tables (facility register, live emergency-room status,
 matches, virtual queue, stored intakes, staff scope) do not exist in the test
 data, so they are derived deterministically, by arithmetic both Spark and the
-SQL oracle repeat exactly (``careflow.plans.oracle`` holds the SQL twins):
+SQL oracle repeat exactly (``careflow.plans.oracle_domain`` holds the SQL twins):
 
 * facility_master  <- supplier x nation x region (one facility per supplier)
 * live status      <- events (one scrape row per event; site = user_id)
@@ -389,5 +389,8 @@ def er_pages_from(pg: DataFrame) -> DataFrame:
     """The emergency-room page derivation of a pages frame (batch or streaming)."""
     p = F.col("page_id")
     blocks = F.transform(F.sequence(F.lit(1), F.lit(ER_MAX_BLOCKS)), lambda j: F.when(j <= p % 4, _er_block(p, j)).otherwise(F.lit("")))
-    html = F.concat(F.substring_index(F.col("html"), "</body>", 1), F.array_join(blocks, ""), _er_anchors(p), F.lit("</body></html>"))
+    page, end = F.col("html"), "</body>"
+    tail = F.when(page.contains(end), F.substring_index(page, end, -1))  # what follows the last one stays
+    head = F.coalesce(F.substr(page, F.lit(1), F.length(page) - F.length(tail) - len(end)), page)
+    html = F.concat(head, F.array_join(blocks, ""), _er_anchors(p), F.lit(end), F.coalesce(tail, F.lit("</html>")))
     return spread(pg.select("page_id", "url", html.alias("html")))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import re
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -33,14 +35,28 @@ def get_session(master: str | None = None, shuffle_partitions: int = 8, app: str
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by spark.checkpoint.dir.
+    """The shared checkpoint folder named by spark.checkpoint.dir.
 
-    The cluster's setting is always respected; a private folder is created
-    only when nothing is configured (local runs and tests).
+    The cluster's setting is always respected. A private folder is made only
+    in a local session (one machine, as in tests); on a cluster without the
+    setting this fails, since executors do not see each other's disks.
     """
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
-        conf_dir = tempfile.mkdtemp(prefix="careflow-ckpt-", dir="/tmp")
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        conf_dir = tempfile.mkdtemp(prefix="careflow-ckpt-")
         spark.conf.set("spark.checkpoint.dir", conf_dir)
     spark.sparkContext.setCheckpointDir(conf_dir)
     return conf_dir
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors (once a session), for launchers that do not install it there."""
+    sc = spark.sparkContext
+    if getattr(sc, "_careflow_shipped", False):
+        return
+    folder = os.path.dirname(os.path.abspath(__file__))
+    with tempfile.TemporaryDirectory() as tmp:
+        sc.addPyFile(shutil.make_archive(os.path.join(tmp, "careflow_src"), "zip", os.path.dirname(folder), os.path.basename(folder)))
+    sc._careflow_shipped = True

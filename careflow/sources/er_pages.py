@@ -10,9 +10,9 @@ Plan:
   value parsing (H4-H6), deduplication (A9), and the bronze/silver/gold
   projections (A10-A12).
 * A9 keeps, per (name, address), the block of the first page in URL order
-  and the first block in document order. It is a ``min_by`` aggregate, which
-  combines map-side before the shuffle, so a site repeated on a large share
-  of all pages does not pile up in one task.
+  and the first block in document order: ``row_number() = 1``, for which
+  Catalyst limits every map task to one row per site before the shuffle, so a
+  site repeated on a large share of all pages does not pile up in one task.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from __future__ import annotations
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -60,7 +60,8 @@ GOLD_COLUMNS = ["scrape_id", "facility_name_raw", "address_raw", "region", *METR
 
 
 class _BlockWalker(HTMLParser):
-    """Collects hospital blocks; only elements inside a block are tracked."""
+    """Collects hospital blocks. A block may lie in another (both count, and the outer one holds the inner one's
+    items); a block that is still open when the page ends is closed there."""
 
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
@@ -70,78 +71,74 @@ class _BlockWalker(HTMLParser):
             if ch == "\n":
                 self.line_starts.append(i + 1)
         self.blocks: list[dict] = []
-        self.cur: dict | None = None
-        self.stack: list[tuple[str, set]] = []  # open elements inside the current block
+        self.open: list[dict] = []  # open blocks, outermost first
+        self.stack: list[tuple[str, set]] = []  # open elements from the outermost open block on
 
     def _offset(self) -> int:
         line, col = self.getpos()
         return self.line_starts[line - 1] + col
 
-    def _inside(self, tag: str, cls: str) -> bool:
-        return any(t == tag and cls in c for t, c in self.stack)
-
     def handle_starttag(self, tag, attrs):
         classes = set()
         for k, v in attrs:
             if k == "class" and v:
                 classes = set(v.split())
-        if self.cur is None:
-            if tag == "div" and BLOCK_CLASS in classes:
-                self.cur = {"start": self._offset(), "title": None, "address": None, "items": [], "depth": 1,
-                            "t_on": False, "a_on": False, "i_on": None}
+        starts = tag == "div" and BLOCK_CLASS in classes
+        if not self.open and not starts:
             return
         if tag in VOID:
             return
-        if tag == "div":
-            self.cur["depth"] += 1
         self.stack.append((tag, classes))
-        c = self.cur
-        if c["title"] is None and TITLE_TEXT in classes and self._inside("li", TITLE_LI):
-            c["title"], c["t_on"], c["t_depth"] = [], True, len(self.stack)
-        if c["address"] is None and tag == "div" and ADDRESS_DIV in classes:
-            c["address"], c["a_on"], c["a_depth"] = [], True, len(self.stack)
-        if tag == "li" and METRIC_LI in classes:
-            c["i_on"], c["i_depth"] = [], len(self.stack)
+        depth = len(self.stack)
+        for c in self.open:
+            if c["title"] is None and TITLE_TEXT in classes and any(t == "li" and TITLE_LI in k for t, k in self.stack[c["depth"]:]):
+                c["title"], c["t_depth"] = [], depth
+            if c["address"] is None and tag == "div" and ADDRESS_DIV in classes:
+                c["address"], c["a_depth"] = [], depth
+            if tag == "li" and METRIC_LI in classes:
+                c["items"].append([])
+                c["i_depths"].append((depth, c["items"][-1]))
+        if starts:
+            self.open.append({"start": self._offset(), "depth": depth, "title": None, "address": None, "items": [],
+                              "t_depth": 0, "a_depth": 0, "i_depths": []})
 
     def handle_endtag(self, tag):
-        c = self.cur
-        if c is None or tag in VOID:
+        if not self.open or tag in VOID:
             return
-        if tag == "div":
-            c["depth"] -= 1
-            if c["depth"] == 0:
-                end = self.html.find(">", self._offset()) + 1
-                c["fragment"] = self.html[c["start"]:end]
-                self.blocks.append(c)
-                self.cur, self.stack = None, []
-                return
         # close the innermost open element with this name (and anything left open inside it)
         for i in range(len(self.stack) - 1, -1, -1):
             if self.stack[i][0] == tag:
-                del self.stack[i:]
-                break
-        depth = len(self.stack)
-        if c["t_on"] and depth < c["t_depth"]:
-            c["t_on"] = False
-        if c["a_on"] and depth < c["a_depth"]:
-            c["a_on"] = False
-        if c["i_on"] is not None and depth < c["i_depth"]:
-            c["items"].append(" ".join(c["i_on"]))
-            c["i_on"] = None
+                self._cut(i, self.html.find(">", self._offset()) + 1)
+                return
+
+    def _cut(self, depth: int, end: int) -> None:
+        """Elements beyond ``depth`` are closed; blocks among them end at ``end`` of the source."""
+        del self.stack[depth:]
+        while self.open and self.open[-1]["depth"] > depth:
+            c = self.open.pop()
+            c["fragment"] = self.html[c["start"]:end]
+            self.blocks.append(c)
+        for c in self.open:
+            c["t_depth"] = c["t_depth"] if c["t_depth"] <= depth else 0
+            c["a_depth"] = c["a_depth"] if c["a_depth"] <= depth else 0
+            c["i_depths"] = [x for x in c["i_depths"] if x[0] <= depth]
 
     def handle_data(self, data):
-        c = self.cur
-        if c is None:
-            return
         s = data.strip()
         if not s:
             return
-        if c["t_on"]:
-            c["title"].append(s)
-        if c["a_on"]:
-            c["address"].append(s)
-        if c["i_on"] is not None:
-            c["i_on"].append(s)
+        for c in self.open:
+            if c["t_depth"]:
+                c["title"].append(s)
+            if c["a_depth"]:
+                c["address"].append(s)
+            for _, item in c["i_depths"]:
+                item.append(s)
+
+    def close(self):
+        super().close()
+        self._cut(0, len(self.html))
+        self.blocks.sort(key=lambda c: c["start"])
 
 
 def _walk_pages(batches):
@@ -154,7 +151,7 @@ def _walk_pages(batches):
             for pos, b in enumerate(w.blocks):
                 if b["title"] is None or b["address"] is None:
                     continue
-                rows.append((page_id, url, pos, "".join(b["title"]), b["address"], b["items"], b["fragment"]))
+                rows.append((page_id, url, pos, "".join(b["title"]), b["address"], [" ".join(x) for x in b["items"]], b["fragment"]))
         yield pd.DataFrame(rows, columns=BLOCK_SCHEMA.fieldNames())
 
 
@@ -197,17 +194,19 @@ def parse_blocks(blocks: DataFrame) -> DataFrame:
 
 
 def first_per_site(records: DataFrame) -> DataFrame:
-    """Per (name, address) the record of the first page in URL order, first block within the page."""
-    keys = ["facility_name_raw", "address_raw"]
-    rest = [c for c in records.columns if c not in keys]
-    best = F.min_by(F.struct(*rest), F.struct("source_url", "block_pos"))
-    return records.groupBy(*keys).agg(best.alias("_r")).select(*keys, "_r.*")
+    """Per (name, address) the record of the first page in URL order (then page id), first block within the page."""
+    w = Window.partitionBy("facility_name_raw", "address_raw").orderBy(
+        *[F.col(c).asc_nulls_last() for c in ("source_url", "page_id", "block_pos")])
+    return records.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 
 def with_scrape(records: DataFrame, scraped_at: str | Column) -> DataFrame:
-    """Deterministic scrape id (H44 over url and block position) and the refresh time parameter."""
+    """The refresh time parameter, and a deterministic scrape id (H44 over url, page, block position and that time:
+    a later crawl of a page makes ids of its own)."""
     ts = scraped_at if isinstance(scraped_at, Column) else F.to_timestamp_ntz(F.lit(scraped_at))
-    return records.withColumns({"scrape_id": make_id("scrape", "source_url", "block_pos"), "scraped_at": ts})
+    out = records.withColumn("scraped_at", ts)
+    crawl = F.date_format("scraped_at", "yyyy-MM-dd HH:mm:ss")
+    return out.withColumn("scrape_id", make_id("scrape", "source_url", "page_id", "block_pos", crawl))
 
 
 def gold_rows(records: DataFrame) -> DataFrame:

@@ -118,15 +118,18 @@ def read_register_csv(spark: SparkSession, path: str, encoding: str = "UTF-8") -
     return spark.read.option("header", True).option("encoding", encoding).option("inferSchema", False).csv(path)
 
 
-def decode_fallback(content: Column, fallback_charset: str = "ISO-8859-1") -> Column:
-    """A3: bytes -> text: UTF-8 (BOM stripped) when the bytes are valid UTF-8, else the fallback charset.
+# Bytes 0x80-0x9F of windows-1252 by rule; the five bytes without a letter there stay control characters.
+_C1 = "".join(map(chr, range(0x80, 0xA0)))
+_CP1252 = "".join(bytes([b]).decode("cp1252", "ignore") or chr(b) for b in range(0x80, 0xA0))
 
-    The reference falls back to windows-1252; Spark 4 accepts that name only
-    with ``spark.sql.legacy.javaCharsets=true``. ISO-8859-1 (the default here)
-    differs from it only in bytes 0x80-0x9F.
-    """
+
+def decode_fallback(content: Column) -> Column:
+    """A3: bytes -> text: UTF-8 (BOM stripped) when the bytes are valid UTF-8, else windows-1252.
+
+    Spark 4 accepts the name windows-1252 only with a legacy setting; it is ISO-8859-1 but for bytes 0x80-0x9F,
+    which a ``translate`` maps after decoding."""
     utf8 = F.regexp_replace(F.decode(content, "UTF-8"), "^\ufeff", "")
-    return F.when(F.is_valid_utf8(content.cast("string")), utf8).otherwise(F.decode(content, fallback_charset))
+    return F.when(F.is_valid_utf8(content.cast("string")), utf8).otherwise(F.translate(F.decode(content, "ISO-8859-1"), _C1, _CP1252))
 
 
 def optional_table(spark: SparkSession, name: str, schema: T.StructType) -> DataFrame:

@@ -19,6 +19,7 @@ from __future__ import annotations
 import csv
 import io
 import zipfile
+from itertools import batched
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -62,9 +63,8 @@ def _decode(raw: bytes) -> str:
     raise ValueError("undecodable CSV")
 
 
-def _expand(batches):
+def _records(batches):
     for pdf in batches:
-        out = []
         for path, content in zip(pdf["path"], pdf["content"]):
             with zipfile.ZipFile(io.BytesIO(content)) as zf:
                 member = next((n for n in zf.namelist() if n.lower().endswith(".csv")), None)
@@ -72,12 +72,13 @@ def _expand(batches):
                     continue
                 reader = csv.reader(io.StringIO(_decode(zf.read(member))))
                 header = next(reader, [])
-                for i, values in enumerate(reader):
-                    rec: dict[str, str] = {}
-                    for h, v in zip(header, values):
-                        rec[h.lower()] = v
-                    out.append((path, member, i, rec))
-        yield pd.DataFrame(out, columns=ARCHIVE_RECORD_SCHEMA.fieldNames())
+                for i, values in enumerate(v for v in reader if v):  # a blank line is no record
+                    yield path, member, i, {h.lower(): v for h, v in zip(header, values)}
+
+
+def _expand(batches):
+    for rows in batched(_records(batches), 4096):  # a frame at a time, however many records the archives hold
+        yield pd.DataFrame(list(rows), columns=ARCHIVE_RECORD_SCHEMA.fieldNames())
 
 
 def archive_records(spark: SparkSession, path_glob: str) -> DataFrame:

@@ -1,19 +1,20 @@
 """Structured Streaming forms of the refresh, latest-status, queue-depth and dedup operators.
 
-Each stream reads the same tables as its batch twin as a file stream, applies
-the same projection, and keeps its result in a *versioned table* under the
-shared checkpoint folder: a micro-batch merges its rows into the newest
-version and writes the next version to a new folder (a path is never read and
-overwritten by the same job). Stream state (aggregates, dedup keys) lives in
-Spark's state store under the query's checkpoint location, so a lost executor
-or a restarted driver resumes from the last committed batch.
+Each stream reads the same tables as its batch twin as a file stream (a table
+is one Parquet file or a folder of part files) and applies the same
+projection. Results of aggregates go to a Parquet table that is partitioned by
+a hash bucket of its keys: a micro-batch rewrites only the buckets that its
+rows fall in. Stream state (aggregates, dedup keys) lives in Spark's state
+store under the query's checkpoint folder. Every run takes its folder as a
+parameter: run again with the same folder, a stream goes on from the last
+committed batch, and a replayed batch writes the same rows again.
 
 * S2 latest: streaming ``max_by`` per (name, address) in update mode; a late
   snapshot only replaces a stored one when its (scraped_at, scrape_id) is
   newer, because the state keeps the maximum.
 * S3 depth: streaming count/avg per facility over active queue rows.
-* S4 dedup: ``dropDuplicatesWithinWatermark`` on (name, address), first
-  arrival kept; equals the batch first-per-site result for in-order input.
+* S4 dedup: first arrival per (name, address); with a delay, the state of a
+  key is dropped once the watermark passes it, and later rows count anew.
 * S1 refresh: page stream -> parse -> per micro-batch (one crawl) first
   record per site -> append gold/silver/bronze, match and upsert matches.
 * J9 score stream: stateless scored triage of arriving intake texts.
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,12 +39,12 @@ LIVE_KEY = ["facility_name_raw", "address_raw"]
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str, max_files_per_trigger: int | None = None) -> DataFrame:
-    """File stream over ``<sf_dir>/<name>.parquet`` (and any later files of that name), schema taken from the table."""
+    """File stream over ``<sf_dir>/<name>.parquet``, one file or a folder of part files; schema taken from the table."""
     schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    r = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*.parquet")
+    r = spark.readStream.schema(schema)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    return r.parquet(sf_dir)
+    return r.parquet(f"{sf_dir}/{name}[.]parquet")  # as a pattern, a single file is accepted too
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
@@ -50,46 +52,50 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-# --------------------------------------------------------------------------- versioned tables
-def _path(spark: SparkSession, path: str):
-    jp = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return jp.getFileSystem(spark._jsc.hadoopConfiguration()), jp
+# --------------------------------------------------------------------------- keyed tables
+BUCKETS = 32
 
 
-def _committed(spark: SparkSession, path: str) -> bool:
-    fs, p = _path(spark, path.rstrip("/") + "/_SUCCESS")
-    return bool(fs.exists(p))
+def _exists(spark: SparkSession, path: str) -> bool:
+    try:
+        spark.read.parquet(path)
+    except AnalysisException:
+        return False
+    return True
 
 
-def _versions(spark: SparkSession, root: str) -> list[str]:
-    fs, p = _path(spark, root)
-    if not fs.exists(p):
-        return []
-    names = [st.getPath().getName() for st in fs.listStatus(p) if st.isDirectory()]
-    return sorted(n for n in names if n.startswith("v=") and _committed(spark, f"{root}/{n}"))
+def read_keyed(spark: SparkSession, root: str) -> DataFrame | None:
+    """A keyed table's rows (None when nothing was written yet)."""
+    return spark.read.parquet(f"{root}/rows").drop("_bucket") if _exists(spark, f"{root}/rows") else None
 
 
-def read_versioned(spark: SparkSession, root: str) -> DataFrame | None:
-    """Newest committed version of a versioned table (None when nothing was written yet)."""
-    vs = _versions(spark, root)
-    return spark.read.parquet(f"{root}/{vs[-1]}") if vs else None
+def merge_keyed(batch: DataFrame, batch_id: int, root: str, keys: list[str]) -> None:
+    """Upsert a micro-batch (unique keys) into a keyed table: only the buckets that hold its keys are rewritten.
 
-
-def merge_into_versioned(batch: DataFrame, batch_id: int, root: str, keys: list[str]) -> None:
-    """Upsert a micro-batch (unique keys) into the newest version and commit it as version ``batch_id``."""
+    The merged buckets are first written beside the table, so that no job overwrites what it reads; replaying a
+    batch writes the same rows."""
     spark = batch.sparkSession
-    target_dir = f"{root}/v={batch_id:09d}"
-    if _committed(spark, target_dir):
-        return  # batch already committed before a restart: idempotent replay
-    current = read_versioned(spark, root)
-    merged = batch if current is None else MT.upsert(current, batch, keys)
-    merged.write.mode("overwrite").parquet(target_dir)
-
-
-def seed_versioned(df: DataFrame, root: str) -> None:
-    """Write the initial contents of a versioned table (sorts before every batch version)."""
-    if not _versions(df.sparkSession, root):
-        df.write.mode("overwrite").parquet(f"{root}/v=-00000001")
+    incoming = batch.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")).persist()
+    try:
+        touched = [r["_bucket"] for r in incoming.select("_bucket").distinct().collect()]  # BUCKETS at most
+        if not touched:
+            return
+        merged = incoming
+        if _exists(spark, f"{root}/rows"):
+            current = spark.read.parquet(f"{root}/rows").filter(F.col("_bucket").isin(touched))
+            merged = MT.upsert(current.select(*incoming.columns), incoming, keys)
+        beside = f"{root}/merging/{batch_id:09d}"
+        merged.repartition("_bucket").write.mode("overwrite").parquet(beside)
+        new = spark.read.schema(merged.schema).parquet(beside)
+        new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(f"{root}/rows")
+    finally:
+        incoming.unpersist()
+
+
+def seed_keyed(df: DataFrame, root: str, keys: list[str]) -> None:
+    """Write the initial rows of a keyed table, unless it has rows already (a restart)."""
+    if not _exists(df.sparkSession, f"{root}/rows"):
+        merge_keyed(df, 0, root, keys)
 
 
 def _run(query_writer, checkpoint: str):
@@ -106,12 +112,12 @@ def latest_stream(live: DataFrame) -> DataFrame:
     return live.groupBy(*LIVE_KEY).agg(best.alias("_r")).select(*LIVE_KEY, "_r.*")
 
 
-def run_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    root = work_dir(spark, "latest")
-    agg = latest_stream(D.live_status_from(table_stream(spark, sf_dir, "events")))
-    w = agg.writeStream.outputMode("update").foreachBatch(lambda df, bid: merge_into_versioned(df, bid, root + "/table", LIVE_KEY))
+def run_latest(spark: SparkSession, sf_dir: str, root: str | None = None, files: int | None = None) -> DataFrame:
+    root = root or work_dir(spark, "latest")
+    agg = latest_stream(D.live_status_from(table_stream(spark, sf_dir, "events", files)))
+    w = agg.writeStream.outputMode("update").foreachBatch(lambda df, bid: merge_keyed(df, bid, root + "/table", LIVE_KEY))
     _run(w, root + "/checkpoint")
-    return read_versioned(spark, root + "/table")
+    return read_keyed(spark, root + "/table")
 
 
 # --------------------------------------------------------------------------- S3
@@ -120,23 +126,27 @@ def depth_stream(queue: DataFrame) -> DataFrame:
     return V.queue_depth(queue)
 
 
-def run_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    root = work_dir(spark, "depth")
-    agg = depth_stream(D.virtual_queue_from(table_stream(spark, sf_dir, "orders")))
-    w = agg.writeStream.outputMode("update").foreachBatch(lambda df, bid: merge_into_versioned(df, bid, root + "/table", ["facility_id"]))
+def run_depth(spark: SparkSession, sf_dir: str, root: str | None = None, files: int | None = None) -> DataFrame:
+    root = root or work_dir(spark, "depth")
+    agg = depth_stream(D.virtual_queue_from(table_stream(spark, sf_dir, "orders", files)))
+    w = agg.writeStream.outputMode("update").foreachBatch(lambda df, bid: merge_keyed(df, bid, root + "/table", ["facility_id"]))
     _run(w, root + "/checkpoint")
-    return read_versioned(spark, root + "/table")
+    return read_keyed(spark, root + "/table")
 
 
 # --------------------------------------------------------------------------- S4
-def dedup_stream(live: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """First arrival per (name, address) within the watermark delay."""
+def dedup_stream(live: DataFrame, delay: str | None = None) -> DataFrame:
+    """First arrival per (name, address), for good or, with ``delay``, within that watermark delay.
+
+    Without a delay the state holds one key per site ever seen, as many as the table of sites has rows."""
+    if delay is None:
+        return live.dropDuplicates(LIVE_KEY)
     return live.withWatermark("scraped_at", delay).dropDuplicatesWithinWatermark(LIVE_KEY)
 
 
-def run_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    root = work_dir(spark, "dedup")
-    live = D.live_status_from(table_stream(spark, sf_dir, "events")).withColumn("scraped_at", F.col("scraped_at").cast("timestamp"))
+def run_dedup(spark: SparkSession, sf_dir: str, root: str | None = None, files: int | None = None) -> DataFrame:
+    root = root or work_dir(spark, "dedup")
+    live = D.live_status_from(table_stream(spark, sf_dir, "events", files)).withColumn("scraped_at", F.col("scraped_at").cast("timestamp"))
     w = dedup_stream(live).writeStream.outputMode("append").format("parquet").option("path", root + "/table")
     _run(w, root + "/checkpoint")
     return spark.read.parquet(root + "/table")
@@ -149,21 +159,19 @@ def refresh_batch(batch: DataFrame, batch_id: int, root: str, register: DataFram
     records = ER.with_scrape(ER.first_per_site(ER.parse_blocks(batch)), scraped_at)
     part = f"batch_id={batch_id:09d}"
     for name, rows in (("gold", ER.gold_rows(records)), ("silver", ER.silver_rows(records)), ("bronze", ER.bronze_rows(records))):
-        out = f"{root}/{name}/{part}"
-        if not _committed(spark, out):
-            rows.write.mode("overwrite").parquet(out)
+        rows.write.mode("overwrite").parquet(f"{root}/{name}/{part}")  # a replayed batch writes its folder again
     gold = spark.read.parquet(f"{root}/gold/{part}")  # reread the written layer: cuts lineage
     new = MT.apply_overrides(MT.fuzzy_match(gold, register), overrides)
-    merge_into_versioned(new, batch_id, f"{root}/matches", MT.MATCH_KEY)
+    merge_keyed(new, batch_id, f"{root}/matches", MT.MATCH_KEY)
 
 
-def run_refresh(spark: SparkSession, sf_dir: str) -> str:
+def run_refresh(spark: SparkSession, sf_dir: str, root: str | None = None, files: int | None = None) -> str:
     """Stream the pages table through the refresh; returns the folder holding gold/silver/bronze/matches."""
-    root = work_dir(spark, "refresh")
+    root = root or work_dir(spark, "refresh")
     register = D.facility_master(spark, sf_dir).withColumn("register_order", F.col("index").cast("long"))
-    seed_versioned(D.facility_match(spark, sf_dir), f"{root}/matches")
+    seed_keyed(D.facility_match(spark, sf_dir), f"{root}/matches", MT.MATCH_KEY)
     overrides = D.manual_overrides(spark, sf_dir)
-    blocks = ER.html_blocks(D.er_pages_from(table_stream(spark, sf_dir, "pages")))
+    blocks = ER.html_blocks(D.er_pages_from(table_stream(spark, sf_dir, "pages", files)))
     w = blocks.writeStream.foreachBatch(lambda df, bid: refresh_batch(df, bid, root, register, overrides, D.ER_SCRAPED_AT))
     _run(w, root + "/checkpoint")
     return root
@@ -175,9 +183,9 @@ def score_stream(intakes: DataFrame) -> DataFrame:
     return TS.triage_scored(intakes, "raw_text", "age_group", None).select("intake_session_id", *TS.DECISION_COLUMNS)
 
 
-def run_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    root = work_dir(spark, "scores")
-    s = score_stream(D.intake_texts_from(table_stream(spark, sf_dir, "documents")))
+def run_scores(spark: SparkSession, sf_dir: str, root: str | None = None, files: int | None = None) -> DataFrame:
+    root = root or work_dir(spark, "scores")
+    s = score_stream(D.intake_texts_from(table_stream(spark, sf_dir, "documents", files)))
     _run(s.writeStream.outputMode("append").format("parquet").option("path", root + "/table"), root + "/checkpoint")
     return spark.read.parquet(root + "/table")
 
@@ -202,10 +210,11 @@ def windowed_depth(queue: DataFrame, window: str = DEPTH_WINDOW, lateness: str |
     return g.select("facility_id", F.col("w.start").alias("window_start"), "active_queue_count", "avg_queue_delay_minutes")
 
 
-def run_windowed_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    root = work_dir(spark, "depth-windows")
-    agg = windowed_depth(D.virtual_queue_from(table_stream(spark, sf_dir, "orders")), lateness=DEPTH_LATENESS)
+def run_windowed_depth(spark: SparkSession, sf_dir: str, root: str | None = None, files: int | None = None, lateness: str | None = None) -> DataFrame:
+    """A backfill arrives in any order, so it runs without a lateness bound; a live stream passes DEPTH_LATENESS."""
+    root = root or work_dir(spark, "depth-windows")
+    agg = windowed_depth(D.virtual_queue_from(table_stream(spark, sf_dir, "orders", files)), lateness=lateness)
     w = agg.writeStream.outputMode("update").foreachBatch(
-        lambda df, bid: merge_into_versioned(df, bid, root + "/table", ["facility_id", "window_start"]))
+        lambda df, bid: merge_keyed(df, bid, root + "/table", ["facility_id", "window_start"]))
     _run(w, root + "/checkpoint")
-    return read_versioned(spark, root + "/table")
+    return read_keyed(spark, root + "/table")

@@ -1,9 +1,13 @@
-"""Streaming twins across several micro-batches, including a late snapshot."""
+"""Streaming twins across several micro-batches: late rows, restarts, replays, tables of part files."""
 
 import datetime as dt
 
+import pytest
+from conftest import SF_SMALL
 from pyspark.sql import functions as F
 
+import __spark_entry__ as E
+from careflow.plans import domain as D
 from careflow.streaming import streams as ST
 
 LIVE_SCHEMA = "scrape_id string, facility_name_raw string, address_raw string, wait_time_non_priority_minutes int, scraped_at timestamp_ntz"
@@ -23,23 +27,25 @@ def test_latest_stream_keeps_newest_across_batches(spark, tmp_path):
     root = str(tmp_path / "out")
     stream = spark.readStream.schema(LIVE_SCHEMA).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(src)
     agg = ST.latest_stream(stream)
-    w = agg.writeStream.outputMode("update").foreachBatch(lambda df, bid: ST.merge_into_versioned(df, bid, root + "/table", ST.LIVE_KEY))
+    w = agg.writeStream.outputMode("update").foreachBatch(lambda df, bid: ST.merge_keyed(df, bid, root + "/table", ST.LIVE_KEY))
     ST._run(w, root + "/ck")
-    got = {r["facility_name_raw"]: (r["scrape_id"], r["wait_time_non_priority_minutes"]) for r in ST.read_versioned(spark, root + "/table").collect()}
+    got = {r["facility_name_raw"]: (r["scrape_id"], r["wait_time_non_priority_minutes"]) for r in ST.read_keyed(spark, root + "/table").collect()}
     assert got == {"A": ("s1", 10), "B": ("s4", 25), "C": ("s5", 5)}
-    assert len(ST._versions(spark, root + "/table")) >= 2  # one version per micro-batch
 
 
-def test_merge_is_idempotent_on_replay(spark, tmp_path):
+def test_merge_replaces_rows_and_rewrites_touched_buckets_only(spark, tmp_path):
     root = str(tmp_path / "t")
     t = dt.datetime(2024, 1, 1)
-    b0 = spark.createDataFrame([("s1", "A", "x", 1, t)], LIVE_SCHEMA)
-    ST.merge_into_versioned(b0, 0, root, ST.LIVE_KEY)
-    b1 = spark.createDataFrame([("s2", "A", "x", 2, t)], LIVE_SCHEMA)
-    ST.merge_into_versioned(b1, 1, root, ST.LIVE_KEY)
-    ST.merge_into_versioned(b1.withColumn("wait_time_non_priority_minutes", F.lit(7)), 1, root, ST.LIVE_KEY)  # replayed batch 1
-    rows = ST.read_versioned(spark, root).collect()
-    assert [(r["scrape_id"], r["wait_time_non_priority_minutes"]) for r in rows] == [("s2", 2)]
+    many = spark.createDataFrame([(f"s{i}", f"site {i}", "x", i, t) for i in range(200)], LIVE_SCHEMA)
+    ST.merge_keyed(many, 0, root, ST.LIVE_KEY)
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "t" / "rows").rglob("part-*.parquet")}
+    b1 = spark.createDataFrame([("new", "site 7", "x", 2, t)], LIVE_SCHEMA)
+    ST.merge_keyed(b1, 1, root, ST.LIVE_KEY)
+    ST.merge_keyed(b1, 1, root, ST.LIVE_KEY)  # replayed batch
+    rows = {r["facility_name_raw"]: r["scrape_id"] for r in ST.read_keyed(spark, root).collect()}
+    assert rows == {f"site {i}": "new" if i == 7 else f"s{i}" for i in range(200)}
+    kept = [p for p in before if p.exists() and p.stat().st_mtime_ns == before[p]]
+    assert len(kept) == len(before) - 1 and len(before) > 10
 
 
 QUEUE_SCHEMA = "facility_id string, queue_status string, created_at timestamp_ntz, estimated_call_time timestamp_ntz"
@@ -52,7 +58,7 @@ def test_windowed_depth_drops_rows_behind_watermark(spark, tmp_path):
     def run():
         stream = spark.readStream.schema(QUEUE_SCHEMA).option("recursiveFileLookup", True).parquet(src)
         w = ST.windowed_depth(stream, lateness="2 hours").writeStream.outputMode("update").foreachBatch(
-            lambda df, bid: ST.merge_into_versioned(df, bid, root + "/table", ["facility_id", "window_start"]))
+            lambda df, bid: ST.merge_keyed(df, bid, root + "/table", ["facility_id", "window_start"]))
         ST._run(w, root + "/ck")
 
     spark.createDataFrame([("f1", "reserved", t(2024, 1, 1, 10, 5), None), ("f1", "called", t(2024, 1, 1, 14, 0), t(2024, 1, 1, 14, 30))],
@@ -64,5 +70,64 @@ def test_windowed_depth_drops_rows_behind_watermark(spark, tmp_path):
                           QUEUE_SCHEMA).coalesce(1).write.parquet(src + "/b2")
     run()  # resumes from the checkpoint: only the new file is read
     got = {(r["window_start"].hour, r["active_queue_count"], r["avg_queue_delay_minutes"])
-           for r in ST.read_versioned(spark, root + "/table").collect()}
+           for r in ST.read_keyed(spark, root + "/table").collect()}
     assert got == {(10, 1, 0.0), (13, 1, 0.0), (14, 1, 30.0)}
+
+
+@pytest.fixture(scope="module")
+def parts_dir(spark, tmp_path_factory):
+    """The smallest tables, the streamed ones as folders of three part files in mixed order."""
+    out = str(tmp_path_factory.mktemp("parts"))
+    for name in ("events", "orders", "pages", "documents", "supplier", "nation", "region"):
+        df = spark.read.parquet(f"{SF_SMALL}/{name}.parquet")
+        n = 3 if name in ("events", "orders", "pages", "documents") else 1
+        (df.repartition(n, F.rand(1)) if n > 1 else df.coalesce(1)).write.parquet(f"{out}/{name}.parquet")
+    return out
+
+
+def _rows(df):
+    cols = sorted(df.columns)
+    return sorted(map(repr, (tuple(r) for r in df.select(*cols).collect())))
+
+
+@pytest.mark.parametrize("stream,batch", [
+    (ST.run_latest, "latest_status"), (ST.run_depth, "queue_depth"), (ST.run_windowed_depth, "queue_depth_windows"), (ST.run_scores, "triage_scored"),
+])
+def test_streams_over_part_files_equal_batch(spark, parts_dir, stream, batch):
+    want = E.queries()[batch](spark, parts_dir)
+    got = stream(spark, parts_dir, files=1)
+    assert _rows(got.select(*want.columns)) == _rows(want) and want.count() > 5
+
+
+def test_dedup_stream_keeps_one_row_of_each_site(spark, parts_dir):
+    live = D.live_status(spark, parts_dir).withColumn("scraped_at", F.col("scraped_at").cast("timestamp"))
+    got = ST.run_dedup(spark, parts_dir, files=1)
+    assert got.count() == got.select(*ST.LIVE_KEY).distinct().count() == live.select(*ST.LIVE_KEY).distinct().count()
+    assert got.select(*live.columns).subtract(live).count() == 0  # whole rows of the input
+
+
+def test_a_stream_goes_on_in_its_folder(spark, parts_dir, tmp_path):
+    """Run, add a part, run again with the same folder: only the new part is read, and the result is the batch's."""
+    import shutil
+
+    src, root = str(tmp_path / "src"), str(tmp_path / "run")
+    shutil.copytree(f"{parts_dir}/events.parquet", f"{src}/events.parquet")
+    parts = sorted((tmp_path / "src" / "events.parquet").glob("part-*.parquet"))
+    held = parts[-1].rename(tmp_path / "held.parquet")
+    ST.run_latest(spark, src, root=root, files=1)
+    held.rename(parts[-1])
+    got = ST.run_latest(spark, src, root=root, files=1)
+    want = E.queries()["latest_status"](spark, src)
+    assert _rows(got.select(*want.columns)) == _rows(want)
+    batches = len(list((tmp_path / "run" / "checkpoint" / "commits").glob("[0-9]*")))
+    assert batches == len(parts)
+
+
+def test_refresh_over_part_files_keeps_every_site(spark, parts_dir):
+    root = ST.run_refresh(spark, parts_dir, files=1)
+    gold = spark.read.parquet(f"{root}/gold")
+    assert gold.filter("batch_id >= 0").select("batch_id").distinct().count() == 3
+    want = E.queries()["er_pages_gold"](spark, parts_dir)
+    assert gold.select(*ST.LIVE_KEY).distinct().count() == want.count()
+    matches = ST.read_keyed(spark, f"{root}/matches")
+    assert matches.select(*ST.LIVE_KEY).distinct().count() == matches.count()
