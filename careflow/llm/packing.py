@@ -15,10 +15,12 @@ on its own; an empty table gives no rows; equal lengths are placed in order of b
 from __future__ import annotations
 
 import os
+import struct
 import zlib
 from collections.abc import Iterator
 from itertools import batched
 
+import numpy as np
 import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 
 from careflow.llm.common import batches_of, rows_of, staged, table
 
-#: Words a worker keeps at most; a full table is emptied, which changes no result.
+#: Words that a worker keeps at most, as they stand and without marks; a full table is emptied, which changes no result.
 CACHE_ENTRIES = 1_000_000
 #: Plan rows up to which the plan is broadcast (under 4 MB); beyond it the slots are joined by shuffle.
 BROADCAST_PLAN_ROWS = 65_536
@@ -34,24 +36,65 @@ BROADCAST_PLAN_ROWS = 65_536
 
 class WordEncoder:
     """Little-endian 32-bit ids of a text, word by word: this tokenizer drops white space, and neither its
-    normalizer nor its pieces reach over it."""
+    normalizer nor its pieces reach over it. A word of letters with a full stop or comma behind it is those letters
+    and that mark (letters and marks are never one pre-token), so words that differ in that alone, or in the case of
+    A-Z, are encoded once."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.encoder = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {"": b""}
+        self.stems: dict[str, bytes] = {}
+        self.ends_word = np.zeros(self.encoder.get_vocab_size(), bool)
+        self.ends_word[[i for piece, i in self.encoder.get_vocab().items() if piece.endswith("</w>")]] = True
+        self.marks = dict(zip(".,", self._encode([".", ","]).values()))
+
+    def _encode(self, words: list[str]) -> dict[str, bytes]:
+        found = self.encoder.encode_batch_fast(words, add_special_tokens=False)
+        return {w: struct.pack(f"<{len(e.ids)}I", *e.ids) for w, e in zip(words, found)}
+
+    def _encode_letters(self, stems: list[str]) -> dict[str, bytes]:
+        """As one text: a run of letters is one pre-token, and its last id alone ends a word."""
+        ids = np.array(self.encoder.encode(" ".join(stems), add_special_tokens=False).ids, "<u4")
+        ends = 4 * (np.flatnonzero(self.ends_word[ids]) + 1)
+        if len(ends) != len(stems):
+            return self._encode(stems)
+        raw, ends = ids.tobytes(), ends.tolist()
+        return {s: raw[a:b] for s, a, b in zip(stems, [0, *ends], ends)}
+
+    def _learn(self, new: set[str]) -> None:
+        parts, odd, marks = [], [], self.marks
+        for w in new:
+            mark = marks.get(w[-1], b"")
+            stem = w[:-1] if mark else w
+            if stem.isascii() and stem.isalpha():
+                parts.append((w, stem.lower(), mark))
+            elif stem.isalpha() and stem.lower().isalpha():  # folding may turn a letter into a letter and an accent
+                parts.append((w, stem, mark))
+            else:
+                odd.append(w)
+        if len(self.stems) >= CACHE_ENTRIES:
+            self.stems.clear()
+        stems = self.stems
+        for some in batched({s for _, s, _ in parts if s not in stems}, 4096):
+            stems.update(self._encode_letters(list(some)))
+        self.words.update((w, stems[s] + m) for w, s, m in parts)
+        if odd:
+            self.words.update(self._encode(odd))
 
     def ids(self, text: str) -> bytes:
         words = text.replace("\n", " ").split(" ")
-        known = self.known
-        if len(known) >= CACHE_ENTRIES:
-            known.clear()
-        for new in batched(dict.fromkeys(w for w in words if w not in known), 4096):
-            for w, e in zip(new, self.encoder.encode_batch_fast(list(new), add_special_tokens=False)):
-                known[w] = pa.array(e.ids, pa.uint32()).buffers()[1].to_pybytes()[: 4 * len(e.ids)] if e.ids else b""
-        return b"".join(map(known.__getitem__, words))
+        if len(self.words) >= CACHE_ENTRIES:
+            self.words = {"": b""}
+        ids = list(map(self.words.get, words))
+        if None in ids:
+            new = [i for i, known in enumerate(ids) if known is None]
+            self._learn({words[i] for i in new})
+            for i in new:
+                ids[i] = self.words[words[i]]
+        return b"".join(ids)
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
