@@ -9,25 +9,27 @@ oracle) derives its expressions from them.
 from __future__ import annotations
 
 # --------------------------------------------------------------------------
-# FIXED VALUES: transliteration used by text normalization.
-# Letters that decompose under NFKD to one ASCII base letter are derived by
-# rule (lower-case Latin-1 Supplement and Latin Extended-A, U+00E0-U+017F).
-def _decomposable() -> tuple[str, str]:
+# Transliteration used by text normalization, derived by rule: every character
+# whose NFKD form has an ASCII part stands for that part (accented, full-width,
+# mathematical and circled letters and digits, superscripts, fractions,
+# ligatures, wide blanks, ...), with no upper code limit.
+def _foldable() -> tuple[dict[str, str], dict[str, str]]:
+    import sys
     import unicodedata
 
-    src, dst = [], []
-    for code in range(0xE0, 0x180):
+    single, several = {}, {}
+    for code in range(0x80, sys.maxunicode + 1):
         ch = chr(code)
-        if ch != ch.lower():
-            continue
-        base = unicodedata.normalize("NFKD", ch).encode("ascii", "ignore").decode("ascii")
-        if len(base) == 1 and base.isalpha() and base != ch:
-            src.append(ch)
-            dst.append(base)
-    return "".join(src), "".join(dst)
+        if unicodedata.decomposition(ch):
+            base = unicodedata.normalize("NFKD", ch).encode("ascii", "ignore").decode("ascii")
+            if base:
+                (single if len(base) == 1 else several)[ch] = base
+    return single, several
 
 
-ACCENTED, ACCENTED_BASE = _decomposable()
+FOLD, FOLD_SEVERAL = _foldable()
+# Combining marks: a decomposed accent disappears with them.
+MARKS = r"\p{M}+"
 # Letters with no NFKD decomposition; the "main" normalizer transliterates
 # them, the "scored" normalizer deletes them.
 TRANSLIT_EXTRA = (

@@ -26,16 +26,24 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def _lower_ascii_folded(c) -> Column:
-    """lower-case, then fold decomposable accented letters to ASCII."""
-    return F.translate(F.lower(_col(c)), L.ACCENTED, L.ACCENTED_BASE)
+def _folded(c, more: dict[str, str]) -> Column:
+    """Lower-case ASCII parts: characters that stand for one ASCII character in one translate pass, those that stand
+    for several one by one, in texts that hold any."""
+    several = F.create_map(*(F.lit(x) for pair in L.FOLD_SEVERAL.items() for x in pair))
+    c = F.when(
+        c.rlike("[" + "".join(L.FOLD_SEVERAL) + "]"),
+        F.array_join(F.transform(F.regexp_extract_all(c, F.lit("(?s)(.)"), 1), lambda ch: F.coalesce(F.try_element_at(several, ch), ch)), ""),
+    ).otherwise(c)
+    one = L.FOLD | more
+    return F.lower(F.translate(c, "".join(one), "".join(one.values())))
 
 
 def normalize_main(c) -> Column:
     """H1: transliterate, lower, runs of non [a-z0-9] -> one space, trim; NULL -> ''."""
-    single = [(a, b) for a, b in L.TRANSLIT_EXTRA if len(b) == 1]
-    s = F.translate(F.lower(F.coalesce(_col(c), F.lit(""))), L.ACCENTED + "".join(a for a, _ in single),
-                    L.ACCENTED_BASE + "".join(b for _, b in single))
+    single = {a: b for a, b in L.TRANSLIT_EXTRA if len(b) == 1}
+    upper = {a.upper(): b for a, b in single.items()}
+    s = F.regexp_replace(F.coalesce(_col(c), F.lit("")), L.MARKS, "")
+    s = _folded(s, single | upper)
     for src, dst in L.TRANSLIT_EXTRA:
         if len(dst) > 1:  # one-to-two letters: a replace pass each
             s = F.replace(s, F.lit(src), F.lit(dst))
@@ -43,9 +51,8 @@ def normalize_main(c) -> Column:
 
 
 def normalize_scored(c) -> Column:
-    """H2: NFKD-style fold, drop other non-ASCII, lower, [^a-z0-9\\s] -> space, collapse."""
-    s = _lower_ascii_folded(F.coalesce(_col(c), F.lit("")))
-    s = F.regexp_replace(s, r"[^\x00-\x7F]", "")
+    """H2: NFKD fold, drop other non-ASCII, lower, [^a-z0-9\\s] -> space, collapse."""
+    s = F.regexp_replace(_folded(F.coalesce(_col(c), F.lit("")), {}), r"[^\x00-\x7F]", "")
     # with only ASCII left, "each non-alnum -> space, then collapse whitespace
     # runs" is the same as "each run of non-alnum -> one space": one pass
     return F.trim(F.regexp_replace(s, NON_ALNUM, " "))

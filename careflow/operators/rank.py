@@ -3,12 +3,13 @@
 Plan shape (see README, "Scale"):
 * the ranking of a facility depends on an intake only through its request
   key (CTAS level, patient latitude, longitude), so intakes are first reduced
-  to their distinct request keys;
-* request keys are paired with the in-region candidate rows; the candidate
-  side is broadcast only when its estimated size is under a bound, otherwise
-  Spark plans the pairing itself;
-* the intake-independent min/max domains (D8) are one global aggregate row;
-* per request key a window computes the distance domain, the worst-copy score
+  to their distinct request keys, hash-partitioned by that key;
+* the in-region candidate rows (the facility register with its live state) are
+  computed once, staged, counted, and broadcast to the keys: the pairs keep
+  the keys' partitioning, so no pair is ever shuffled;
+* the intake-independent min/max domains (D8) are one aggregate over the
+  staged candidates;
+* per request key a window computes the distance domain, the worst-copy values
   (C8) and the top 12 (E4); the result is joined back to every intake by an
   equi-join on the request key.
 """
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from careflow.functions import lexicon as L
 from careflow.functions.text import haversine_km
 from careflow.operators.views import in_region_or_unknown
-from careflow.plans.sizing import pair_all
+from careflow.plans.sizing import staged
 
 REQUEST_KEY = ["provisional_ctas_level", "user_latitude", "user_longitude"]
 ROW_KEY = ["facility_id_normalized", "facility_name_raw", "address_raw"]
@@ -31,6 +32,10 @@ METRICS = {  # output name -> candidate column
     "waiting": "people_waiting",
     "depth": "virtual_queue_depth",
 }
+#: Further columns of a recommendation.
+SHOWN = ["total_people_er", "avg_wait_room_minutes_prev_day", "avg_stretcher_wait_minutes_prev_day"]
+#: Candidate rows (about 300 bytes each) up to which they are broadcast.
+MAX_CANDIDATES = 500_000
 
 
 def fit_penalty(level: Column, facility_type: Column) -> Column:
@@ -66,25 +71,30 @@ def domain_min_max(candidates: DataFrame) -> DataFrame:
 
 
 def _candidates(live_joined: DataFrame) -> DataFrame:
-    cols = ROW_KEY + ["facility_name", "city", "odhf_facility_type", "latitude", "longitude"] + list(METRICS.values())
-    return in_region_or_unknown(live_joined).select(*cols)
+    cols = ROW_KEY + ["facility_name", "city", "odhf_facility_type", "latitude", "longitude"] + list(METRICS.values()) + SHOWN
+    rows = staged(in_region_or_unknown(live_joined).select(*cols), "rank-candidates")
+    if (n := rows.count()) > MAX_CANDIDATES:
+        raise ValueError(f"{n} candidate rows; ranking pairs every request with at most {MAX_CANDIDATES} of them, which are broadcast")
+    return rows
 
 
-def score_pairs(requests: DataFrame, live_joined: DataFrame) -> DataFrame:
+def score_pairs(keys: DataFrame, live_joined: DataFrame) -> DataFrame:
     """Every in-region candidate row scored for every distinct request key."""
     cand = _candidates(live_joined)
-    # D8 is one global row: computed once as a scalar subquery and attached as constants, no join
-    stats = domain_min_max(cand)
-    packed = stats.select(F.struct(*stats.columns).alias("s")).scalar()
-    cand = cand.withColumn("_stats", packed).select("*", "_stats.*").drop("_stats")
-    keys = requests.select(*REQUEST_KEY).distinct()
-    pairs = pair_all(keys, cand)
+    stats = domain_min_max(cand).first().asDict()  # one row
+    cand = cand.withColumns({k: F.lit(v).cast("double") for k, v in stats.items()})
+    parts = keys.sparkSession.sparkContext.defaultParallelism
+    # the partitioning by request key holds for all that follows (an explicit count is not coalesced)
+    parts = max(parts, int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # one text column stands for the key: windows normalize doubles, and would not see a partitioning by them as theirs
+    one = F.concat_ws("|", *[F.coalesce((F.col(c) + 0).cast("string"), F.lit("-")) for c in REQUEST_KEY])
+    pairs = keys.select(*REQUEST_KEY).distinct().withColumn("_key", one).repartition(parts, "_key").join(F.broadcast(cand), how="cross")
     lvl = F.col("provisional_ctas_level")
     pairs = pairs.withColumn(
         "distance_km",
         F.coalesce(haversine_km(F.col("user_latitude"), F.col("user_longitude"), F.col("latitude"), F.col("longitude")), F.lit(0.0)),
     )
-    w = Window.partitionBy(*REQUEST_KEY)
+    w = Window.partitionBy("_key")
     pairs = pairs.withColumns({"_dist_lo": F.min("distance_km").over(w), "_dist_hi": F.max("distance_km").over(w)})
     n = lambda m: minmax_normalize(F.col(METRICS[m]), F.col(f"_{m}_lo"), F.col(f"_{m}_hi"))
     pen = fit_penalty(lvl, F.col("odhf_facility_type"))
@@ -100,22 +110,23 @@ def score_pairs(requests: DataFrame, live_joined: DataFrame) -> DataFrame:
     return pairs.withColumns({"fit_penalty": pen, "score": F.bround(raw, 4)})
 
 
-def rank_order(requests: DataFrame, live_joined: DataFrame, k: int = L.RECOMMENDATIONS_PER_INTAKE) -> DataFrame:
-    """Per intake, candidates ordered by (fit_penalty, score); first k positions of that order."""
-    pairs = score_pairs(requests, live_joined)
-    w = Window.partitionBy(*REQUEST_KEY).orderBy("fit_penalty", "score", *[F.col(c).asc_nulls_first() for c in ROW_KEY])
-    top = pairs.withColumn("rank_position", F.row_number().over(w)).filter(F.col("rank_position") <= k)
-    out = top.select(*REQUEST_KEY, "rank_position", *ROW_KEY, "distance_km", "score", "fit_penalty", F.col("odhf_facility_type").alias("facility_type"))
-    return _attach(requests, out)
+def rank_order(request: tuple[int, float | None, float | None], live_joined: DataFrame) -> DataFrame:
+    """All candidates for one request (level, latitude, longitude), ordered by (fit_penalty, score)."""
+    spark = live_joined.sparkSession
+    key = spark.createDataFrame([request], "provisional_ctas_level int, user_latitude double, user_longitude double")
+    w = Window.partitionBy("_key").orderBy("fit_penalty", "score", *[F.col(c).asc_nulls_first() for c in ROW_KEY])
+    return score_pairs(key, live_joined).withColumn("rank_position", F.row_number().over(w)).select(
+        "rank_position", *ROW_KEY, "distance_km", "score", "fit_penalty", F.col("odhf_facility_type").alias("facility_type"))
 
 
 def recommend(requests: DataFrame, live_joined: DataFrame, k: int = L.RECOMMENDATIONS_PER_INTAKE) -> DataFrame:
     """Per intake: worst-copy rank values (C8), acuity filter (B5), enrichment (H38, B10), top k by score."""
     pairs = score_pairs(requests, live_joined)
     lvl = F.col("provisional_ctas_level")
-    # Several candidate rows of one facility take the values of its worst-ranked copy
-    worst = Window.partitionBy(*REQUEST_KEY, "facility_id_normalized")
-    pairs = pairs.withColumn("score", F.max("score").over(worst))
+    # Several candidate rows of one facility take the score, penalty and distance of its worst-ranked copy
+    copies = Window.partitionBy("_key", "facility_id_normalized")
+    pairs = pairs.withColumn("_worst", F.max(F.struct("fit_penalty", "score", "distance_km")).over(copies))
+    pairs = pairs.withColumns({c: F.col(f"_worst.{c}") for c in ("fit_penalty", "score", "distance_km")})
     # Runs after scoring, so dropped rows still shaped the min/max domains
     t = F.lower(F.coalesce(F.col("odhf_facility_type"), F.lit("")))
     pairs = pairs.filter(~((lvl <= 3) & t.contains(L.ACUITY_FILTER_MARKER)))
@@ -130,11 +141,12 @@ def recommend(requests: DataFrame, live_joined: DataFrame, k: int = L.RECOMMENDA
             "fit_for_ctas": F.when(F.col("fit_penalty") <= L.TYPE_FIT_THRESHOLD, F.lit("high")).otherwise(F.lit("caution")),
         }
     )
-    w = Window.partitionBy(*REQUEST_KEY).orderBy("score", *[F.col(c).asc_nulls_first() for c in ROW_KEY])
+    w = Window.partitionBy("_key").orderBy("score", *[F.col(c).asc_nulls_first() for c in ROW_KEY])
     top = pairs.withColumn("rank_position", F.row_number().over(w)).filter(F.col("rank_position") <= k)
     out = top.select(
         *REQUEST_KEY, "rank_position", *ROW_KEY, "facility_name", "city", "odhf_facility_type",
         "wait_time_non_priority_minutes", "people_waiting", "stretcher_occupancy_pct", "virtual_queue_depth",
+        *SHOWN, "latitude", "longitude",
         "distance_km", "score", "fit_penalty", "estimated_total_time_minutes", "fit_for_ctas",
     )
     return _attach(requests, out)

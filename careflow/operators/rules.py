@@ -1,13 +1,12 @@
 """Table-driven rules (C9, C10) and the two SQL scalar functions.
 
-C9 attaches the rules row of each CTAS level by an equi-join with the
-five-row rules table (broadcast; it is reference data of fixed size).
-
-C10 flags each text with the keywords it contains. The keyword table is
-folded into one array value by a scalar subquery (computed once, shipped to
-every task as a constant), and each row keeps the entries its normalized text
-contains with a higher-order ``filter``: the text stream is never shuffled and
-no pair rows are produced.
+C9 attaches the rules row of each CTAS level by an equi-join with the rules
+table (reference data; broadcast if its estimated size is under the bound).
+
+C10 flags each text with the keywords it contains. The keyword table is read
+on the driver, up to a bound, and becomes one substring test per keyword over
+the text's normalized column, which is computed once: the text stream is never
+shuffled and no pair rows are produced.
 """
 
 from __future__ import annotations
@@ -17,46 +16,61 @@ from pyspark.sql import functions as F
 
 from careflow.functions import lexicon as L
 from careflow.functions.text import normalize_main, normalize_scored
+from careflow.plans.sizing import broadcast_if_small
+
+
+#: Keyword rows up to which a table is built into the plan, one substring test each.
+MAX_KEYWORDS = 5_000
 
 
 def attach_rules(df: DataFrame, rules: DataFrame, level_col: str = "provisional_ctas_level") -> DataFrame:
     """Left join the rules row of each level (levels outside 1-5 keep NULL rule columns)."""
     r = rules.withColumnRenamed("ctas_level", "_rule_level")
-    return df.join(F.broadcast(r), F.col(level_col) == F.col("_rule_level"), "left").drop("_rule_level")
+    return df.join(broadcast_if_small(r), F.col(level_col) == F.col("_rule_level"), "left").drop("_rule_level")
+
+
+def _keywords(keywords: DataFrame, fields: list[str]) -> list:
+    rows = keywords.select(*fields).limit(MAX_KEYWORDS + 1).collect()
+    if len(rows) > MAX_KEYWORDS:
+        raise ValueError(f"more than {MAX_KEYWORDS} keywords: join the texts' tokens with the table instead")
+    return rows
 
 
-def _keyword_array(keywords: DataFrame, fields: list[str]) -> Column:
-    return keywords.agg(F.collect_list(F.struct(*fields)).alias("kw")).scalar()
+def _sum(columns: list[Column]) -> Column:
+    total = F.lit(0)
+    for c in columns:
+        total = total + c
+    return total
 
 
 def keyword_flags_main(df: DataFrame, keywords: DataFrame, text_col: str = "raw_text") -> DataFrame:
     """C10 (main table): flags = sorted distinct flag labels of contained keywords; weight = sum of their weights."""
-    kws = _keyword_array(keywords, ["keyword", "flag_label", "severity_weight"])
-    norm = normalize_main(F.col(text_col))
-    out = df.withColumn("_kw", kws).withColumn("_hits", F.filter("_kw", lambda k: norm.contains(k["keyword"]))).drop("_kw")
-    return out.withColumns(
+    rows = _keywords(keywords, ["keyword", "flag_label", "severity_weight"])
+    hits = [F.col("_norm").contains(k["keyword"]) for k in rows]
+    flags = [F.when(h, F.lit(k["flag_label"])) for h, k in zip(hits, rows)]
+    return df.withColumn("_norm", normalize_main(F.col(text_col))).withColumns(
         {
-            "keyword_flags": F.array_sort(F.array_distinct(F.transform("_hits", lambda k: k["flag_label"]))),
-            "keyword_weight": F.aggregate("_hits", F.lit(0), lambda acc, k: acc + k["severity_weight"]),
-            "keyword_hits": F.size("_hits"),
+            "keyword_flags": F.array_sort(F.array_distinct(F.array_compact(F.array(*flags)))) if rows else F.array().cast("array<string>"),
+            "keyword_weight": _sum([F.when(h, F.lit(k["severity_weight"])).otherwise(0) for h, k in zip(hits, rows)]),
+            "keyword_hits": _sum([h.cast("int") for h in hits]),
         }
-    ).drop("_hits")
+    ).drop("_norm")
 
 
 def keyword_flags_scored(df: DataFrame, keywords: DataFrame, text_col: str = "raw_text") -> DataFrame:
     """C10 (scored table): active phrases contained in the H2-normalized text, by severity class."""
-    kws = _keyword_array(keywords.filter(F.col("active_flag")), ["keyword_id", "normalized_phrase", "severity_class"])
-    norm = normalize_scored(F.col(text_col))
-    out = df.withColumn("_kw", kws).withColumn("_hits", F.filter("_kw", lambda k: norm.contains(k["normalized_phrase"]))).drop("_kw")
-    cls = lambda c: F.size(F.filter("_hits", lambda k: k["severity_class"] == c))
-    return out.withColumns(
+    rows = _keywords(keywords.filter(F.col("active_flag")), ["keyword_id", "normalized_phrase", "severity_class"])
+    hits = [F.col("_norm").contains(k["normalized_phrase"]) for k in rows]
+    ids = [F.when(h, F.lit(k["keyword_id"])) for h, k in zip(hits, rows)]
+    of = lambda c: _sum([h.cast("int") for h, k in zip(hits, rows) if k["severity_class"] == c])
+    return df.withColumn("_norm", normalize_scored(F.col(text_col))).withColumns(
         {
-            "matched_keyword_ids": F.array_sort(F.transform("_hits", lambda k: k["keyword_id"])),
-            "strong_emergency_hits": cls("strong_emergency"),
-            "serious_concern_hits": cls("serious_concern"),
-            "mild_concern_hits": cls("mild_concern"),
+            "matched_keyword_ids": F.array_sort(F.array_compact(F.array(*ids))) if rows else F.array().cast("array<string>"),
+            "strong_emergency_hits": of("strong_emergency"),
+            "serious_concern_hits": of("serious_concern"),
+            "mild_concern_hits": of("mild_concern"),
         }
-    ).drop("_hits")
+    ).drop("_norm")
 
 
 def _case(arms: list[tuple[str, str]], default: str) -> str:

@@ -64,7 +64,16 @@ def staff_answer(dashboard: DataFrame, users: DataFrame, questions: list[str] =
     ``users`` (user_name) lists everyone in scope; users without dashboard rows
     get the fixed no-data sentence.
     """
-    per_user = staff_totals(dashboard).join(top_facility(dashboard), "user_name")
+    # totals and top facility from one pass over the dashboard: sums over a user's rows beside their order
+    user = Window.partitionBy("user_name")
+    top = user.orderBy(F.col("incoming_queue_count").desc(), F.col("avg_stretcher_occupancy_pct").desc_nulls_last(), F.col("facility_id"))
+    low = F.coalesce(F.col("ctas_4_count"), F.lit(0)) + F.coalesce(F.col("ctas_5_count"), F.lit(0))
+    per_user = dashboard.select(
+        "user_name", F.col("facility_id").alias("top_facility_id"), F.col("facility_name").alias("top_facility_name"), F.col("city").alias("top_city"),
+        F.col("incoming_queue_count").alias("top_queue_count"), F.col("avg_live_wait_minutes").alias("top_avg_live_wait_minutes"),
+        F.sum(F.coalesce(F.col("arrivals_next_2h"), F.lit(0))).over(user).alias("total_next_2h"), F.sum(low).over(user).alias("total_ctas_4_5"),
+        F.row_number().over(top).alias("_rn"),
+    ).filter("_rn = 1").drop("_rn")
     base = users.select(F.lower(F.col("user_name")).alias("user_name")).distinct()
     j = base.join(per_user, "user_name", "left").withColumn(
         "question", F.explode(F.array(*[F.lit(x) for x in questions]))

@@ -154,21 +154,36 @@ def staff_queue_secure(
     return j.select(*cols)
 
 
-def staff_dashboard(secure: DataFrame, now: dt.datetime | Column) -> DataFrame:
-    """Per (user,) facility: queue count, arrivals up to now+2h, mean wait/occupancy, CTAS mix.
+def staff_dashboard(queue: DataFrame, intakes: DataFrame, master: DataFrame, live_joined: DataFrame, scope: DataFrame, now: dt.datetime | Column) -> DataFrame:
+    """Per user and facility: queue count, arrivals up to now+2h, mean wait/occupancy, CTAS mix over the secured rows.
 
+    The secured view pairs every queue row of a facility with each of its register, live and scope rows. Here each
+    side is grouped by facility first and the counts are multiplied, so no fact row is ever repeated: a facility's
+    queue rows each meet all its live rows, so counts are products and the means are those of the live rows alone.
     The arrival window has no lower bound and no status filter (faithful).
     """
     now_c = now if isinstance(now, Column) else F.lit(now)
     horizon = F.timestamp_add("HOUR", F.lit(L.DASHBOARD_ARRIVAL_HORIZON_HOURS), now_c)
     lvl = F.col("provisional_ctas_level")
-    keys = (["user_name"] if "user_name" in secure.columns else []) + ["facility_id", "facility_name", "city", "odhf_facility_type"]
-    return secure.groupBy(*keys).agg(
+    counts = ["incoming_queue_count", "arrivals_next_2h", *(f"ctas_{k}_count" for k in range(1, 6))]
+    i = intakes.select(F.col("intake_session_id").alias("_iid"), "provisional_ctas_level")
+    q = queue.select("facility_id", "intake_session_id", "arrival_window_start").join(i, F.col("intake_session_id") == i._iid).groupBy("facility_id").agg(
         F.count(F.lit(1)).alias("incoming_queue_count"),
         F.sum(F.when(F.col("arrival_window_start") <= horizon, 1).otherwise(0)).alias("arrivals_next_2h"),
+        *[F.sum(F.when(lvl == k, 1).otherwise(0)).alias(f"ctas_{k}_count") for k in range(1, 6)],
+    )
+    live = live_joined.groupBy(F.col("facility_id_normalized").alias("_lid")).agg(
+        F.count(F.lit(1)).alias("_rows"),
         F.avg("wait_time_non_priority_minutes").alias("avg_live_wait_minutes"),
         F.avg("stretcher_occupancy_pct").alias("avg_stretcher_occupancy_pct"),
-        *[F.sum(F.when(lvl == k, 1).otherwise(0)).alias(f"ctas_{k}_count") for k in range(1, 6)],
+    )
+    fm = master.groupBy(F.col("facility_id_normalized").alias("_fid"), "facility_name", "city", "odhf_facility_type").agg(F.count(F.lit(1)).alias("_copies"))
+    s = scope_for(scope, None)
+    j = fm.join(q, F.col("_fid") == q.facility_id).join(live, F.col("_fid") == live._lid, "left").join(s, F.col("_fid") == s._sid)
+    times = F.col("_copies") * F.coalesce(F.col("_rows"), F.lit(1))
+    return j.select(
+        "user_name", "facility_id", "facility_name", "city", "odhf_facility_type", *[(F.col(c) * times).alias(c) for c in counts],
+        "avg_live_wait_minutes", "avg_stretcher_occupancy_pct",
     )
 
 
@@ -187,4 +202,4 @@ def register_views(spark, live, queue, master, match, intakes, scope, now) -> No
     depth.createOrReplaceTempView("vw_virtual_queue_depth")
     joined.createOrReplaceTempView("vw_facility_live_joined")
     secure.createOrReplaceTempView("vw_staff_queue_secure")
-    staff_dashboard(secure, now).createOrReplaceTempView("vw_staff_dashboard_secure")
+    staff_dashboard(queue, intakes, master, joined, scope, now).createOrReplaceTempView("vw_staff_dashboard_secure")

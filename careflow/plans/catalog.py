@@ -7,6 +7,8 @@ independent DuckDB SQL for the same result, with identical column names.
 
 from __future__ import annotations
 
+import secrets
+
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -65,7 +67,10 @@ def _secure(spark, sf):
 
 
 def _dashboard(spark, sf):
-    return V.staff_dashboard(_secure(spark, sf), now_col())
+    return V.staff_dashboard(
+        D.virtual_queue(spark, sf), D.intake_sessions(spark, sf), D.facility_master(spark, sf), _joined(spark, sf),
+        D.staff_scope(spark, sf), now_col(),
+    )
 
 
 SQL_LATEST = """
@@ -298,7 +303,8 @@ _PEN = f"""CAST(CASE WHEN provisional_ctas_level <= 2 AND ({_AMB}) THEN {L.FIT_P
 _W = L.RANK_WEIGHTS
 SQL_PAIRS = f"""
   cand AS (SELECT facility_id_normalized, facility_name_raw, address_raw, facility_name, city, odhf_facility_type, latitude, longitude,
-             wait_time_non_priority_minutes, stretcher_occupancy_pct, people_waiting, virtual_queue_depth
+             wait_time_non_priority_minutes, stretcher_occupancy_pct, people_waiting, virtual_queue_depth, total_people_er,
+             avg_wait_room_minutes_prev_day, avg_stretcher_wait_minutes_prev_day
            FROM joined WHERE is_quebec IS NULL OR is_quebec = TRUE),
   stats AS (SELECT {", ".join(f"min(coalesce(CAST({c} AS DOUBLE), 0.0)) AS _{m}_lo, max(coalesce(CAST({c} AS DOUBLE), 0.0)) AS _{m}_hi" for m, c in RK.METRICS.items())} FROM cand),
   rkeys AS (SELECT DISTINCT provisional_ctas_level, user_latitude, user_longitude FROM origins),
@@ -325,27 +331,24 @@ SQL_RECOMMEND = f"""
   SELECT o.intake_session_id, t.* FROM origins o JOIN (
     SELECT provisional_ctas_level, user_latitude, user_longitude, rank_position, facility_id_normalized, facility_name_raw, address_raw,
       facility_name, city, odhf_facility_type, wait_time_non_priority_minutes, people_waiting, stretcher_occupancy_pct, virtual_queue_depth,
-      distance_km, score, fit_penalty,
+      total_people_er, avg_wait_room_minutes_prev_day, avg_stretcher_wait_minutes_prev_day, latitude, longitude, distance_km, score, fit_penalty,
       coalesce(wait_time_non_priority_minutes, 0) + CAST(trunc(distance_km * 2) AS INTEGER) + CAST(trunc(coalesce(virtual_queue_depth, 0) * 10) AS INTEGER) AS estimated_total_time_minutes,
       CASE WHEN fit_penalty <= {L.TYPE_FIT_THRESHOLD} THEN 'high' ELSE 'caution' END AS fit_for_ctas
     FROM (SELECT *, row_number() OVER (PARTITION BY provisional_ctas_level, user_latitude, user_longitude
                    ORDER BY score, facility_id_normalized NULLS FIRST, facility_name_raw NULLS FIRST, address_raw NULLS FIRST) AS rank_position
-          FROM (SELECT * REPLACE (max(score) OVER (PARTITION BY provisional_ctas_level, user_latitude, user_longitude, facility_id_normalized) AS score)
-                FROM pairs) _w
+          FROM (SELECT * REPLACE (worst.s AS score, worst.p AS fit_penalty, worst.d AS distance_km)
+                FROM (SELECT *, max({{'p': fit_penalty, 's': score, 'd': distance_km}}) OVER (
+                        PARTITION BY provisional_ctas_level, user_latitude, user_longitude, facility_id_normalized) AS worst FROM pairs) _c) _w
           WHERE NOT (provisional_ctas_level <= 3 AND contains(lower(coalesce(odhf_facility_type, '')), {OT.q(L.ACUITY_FILTER_MARKER)}))) _r
     WHERE rank_position <= {L.RECOMMENDATIONS_PER_INTAKE}) t
   ON o.provisional_ctas_level IS NOT DISTINCT FROM t.provisional_ctas_level
  AND o.user_latitude IS NOT DISTINCT FROM t.user_latitude AND o.user_longitude IS NOT DISTINCT FROM t.user_longitude"""
-SQL_RANK_ORDER = f"""
-  SELECT o.intake_session_id, t.* FROM origins o JOIN (
-    SELECT provisional_ctas_level, user_latitude, user_longitude, rank_position, facility_id_normalized, facility_name_raw, address_raw,
-      distance_km, score, fit_penalty, odhf_facility_type AS facility_type
-    FROM (SELECT *, row_number() OVER (PARTITION BY provisional_ctas_level, user_latitude, user_longitude
-                   ORDER BY fit_penalty, score, facility_id_normalized NULLS FIRST, facility_name_raw NULLS FIRST, address_raw NULLS FIRST) AS rank_position
-          FROM pairs) _r
-    WHERE rank_position <= {L.RECOMMENDATIONS_PER_INTAKE}) t
-  ON o.provisional_ctas_level IS NOT DISTINCT FROM t.provisional_ctas_level
- AND o.user_latitude IS NOT DISTINCT FROM t.user_latitude AND o.user_longitude IS NOT DISTINCT FROM t.user_longitude"""
+# one request: level 3 at the centre of the derived locations
+RANK_REQUEST = (3, 45.5, -73.5)
+SQL_RANK_ORDER = """
+  SELECT row_number() OVER (ORDER BY fit_penalty, score, facility_id_normalized NULLS FIRST, facility_name_raw NULLS FIRST, address_raw NULLS FIRST) AS rank_position,
+    facility_id_normalized, facility_name_raw, address_raw, distance_km, score, fit_penalty, odhf_facility_type AS facility_type
+  FROM pairs"""
 
 
 @register("recommendations", _rank_sql(SQL_RECOMMEND))
@@ -354,10 +357,13 @@ def q_recommendations(spark, sf):
     return RK.recommend(D.intake_origins(spark, sf), _joined(spark, sf))
 
 
-@register("rank_order", _rank_sql(SQL_RANK_ORDER))
+_ORIGINS_ONE = "rkeys AS (SELECT CAST({} AS INTEGER) AS provisional_ctas_level, CAST({} AS DOUBLE) AS user_latitude, CAST({} AS DOUBLE) AS user_longitude)".format(*RANK_REQUEST)
+
+
+@register("rank_order", _rank_sql(SQL_RANK_ORDER).replace("rkeys AS (SELECT DISTINCT provisional_ctas_level, user_latitude, user_longitude FROM origins)", _ORIGINS_ONE))
 def q_rank_order(spark, sf):
-    """The (fit_penalty, score) order, first 12 positions per intake."""
-    return RK.rank_order(D.intake_origins(spark, sf), _joined(spark, sf))
+    """The whole (fit_penalty, score) order of the candidates for one request."""
+    return RK.rank_order(RANK_REQUEST, _joined(spark, sf))
 
 
 # --------------------------------------------------------------------------- queue
@@ -399,9 +405,7 @@ def q_queue_positions(spark, sf):
 )
 def q_queue_tracking(spark, sf):
     """C4 + H39 + H40 + H9 for every reservation."""
-    vq = D.virtual_queue(spark, sf)
-    pts = D.queue_patients(spark, sf).select("queue_id", "user_latitude", "user_longitude")
-    return QU.track_queue(vq.join(pts, "queue_id"), D.facility_master(spark, sf), now_col())
+    return QU.track_queue(D.queue_with_patients(spark, sf), D.facility_master(spark, sf), now_col())
 
 
 @register(
@@ -422,14 +426,35 @@ def q_reservation_windows(spark, sf):
     return r.select("request_id", "created_at", ui_s.alias("ui_start"), ui_e.alias("ui_end"), lg_s.alias("legacy_start"), lg_e.alias("legacy_end"))
 
 
-@register("contact_rows")
+def contact_key(spark) -> str:
+    """The session's key (`spark.careflow.contactKey`, 32 characters), else one made for this run."""
+    return spark.conf.get("spark.careflow.contactKey", None) or secrets.token_hex(16)
+
+
+_CONTACTS = f"""
+  FROM vq q JOIN patients p ON q.queue_id = p.queue_id
+  WHERE p.contact_value IS NOT NULL AND p.contact_value <> ''
+    AND coalesce(q.notification_preference, '') NOT IN ({", ".join(OT.q(x) for x in L.NO_CONTACT_PREFERENCES)})"""
+_CONTACT_COLUMNS = f"""'contact_' || substr(sha256(q.queue_id), 1, 16) AS contact_id, q.queue_id,
+    coalesce(p.channel_type, q.notification_preference) AS channel_type,
+    q.created_at + INTERVAL {L.CONTACT_RETENTION_DAYS} DAY AS expires_at"""
+
+
+@register("contact_rows", with_ctes(f"SELECT * EXCLUDE n, CAST(n + 2 * ((n - 1) // 76) AS INTEGER) AS encrypted_length FROM (SELECT {_CONTACT_COLUMNS}, CAST(4 * ceil((28 + strlen(p.contact_value)) / 3.0) AS INTEGER) AS n {_CONTACTS}) _e"))
 def q_contact_rows(spark, sf):
-    """Encrypted contact rows (AES-GCM with a random IV, so checked by row count and round trip)."""
-    vq = D.virtual_queue(spark, sf).join(D.queue_patients(spark, sf), "queue_id")
-    return QU.contact_rows(vq, CONTACT_KEY)
+    """Encrypted contact rows; the cipher text has a random IV, so its length (base64 in lines of 76) stands for it here."""
+    enc = QU.contact_rows(D.queue_with_patients(spark, sf), contact_key(spark))
+    return enc.select("contact_id", "queue_id", "channel_type", "expires_at", F.length("encrypted_contact_value").alias("encrypted_length"))
+
+
+@register("contact_roundtrip", with_ctes(f"SELECT {_CONTACT_COLUMNS}, p.contact_value {_CONTACTS}"))
+def q_contact_roundtrip(spark, sf):
+    """Every encrypted contact row decrypted again."""
+    key = contact_key(spark)
+    enc = QU.contact_rows(D.queue_with_patients(spark, sf), key)
+    return QU.decrypt_contact(enc, key).select("contact_id", "queue_id", "channel_type", "contact_value", "expires_at")
 
 
-CONTACT_KEY = "0123456789abcdef0123456789abcdef"  # demo key; production passes a secret Column
 FLAGSHIP = "recommendations"
 
 

@@ -130,24 +130,3 @@ def q_published_views(spark, sf):
     V.register_views(spark, D.live_status(spark, sf), D.virtual_queue(spark, sf), D.facility_master(spark, sf),
                      D.facility_match(spark, sf), D.intake_sessions(spark, sf), D.staff_scope(spark, sf), now_col())
     return spark.sql("SELECT user_name, facility_id, incoming_queue_count FROM vw_staff_dashboard_secure")
-
-
-
-@register(
-    "contact_roundtrip",
-    with_ctes(f"""
-  SELECT 'contact_' || substr(sha256(q.queue_id), 1, 16) AS contact_id, q.queue_id,
-    coalesce(p.channel_type, q.notification_preference) AS channel_type, p.contact_value,
-    q.created_at + INTERVAL {L.CONTACT_RETENTION_DAYS} DAY AS expires_at
-  FROM vq q JOIN patients p ON q.queue_id = p.queue_id
-  WHERE p.contact_value IS NOT NULL AND p.contact_value <> ''
-    AND coalesce(q.notification_preference, '') NOT IN ({", ".join(OT.q(x) for x in L.NO_CONTACT_PREFERENCES)})"""),
-)
-def q_contact_roundtrip(spark, sf):
-    """Every encrypted contact row decrypted again (the ciphertext itself has a random IV)."""
-    from careflow.operators import queue as QU
-    from careflow.plans.catalog import CONTACT_KEY
-
-    vq = D.virtual_queue(spark, sf).join(D.queue_patients(spark, sf), "queue_id")
-    enc = QU.contact_rows(vq, CONTACT_KEY)
-    return QU.decrypt_contact(enc, CONTACT_KEY).select("contact_id", "queue_id", "channel_type", "contact_value", "expires_at")

@@ -9,7 +9,6 @@ from careflow.operators import transcripts as TR
 from careflow.plans import domain as D
 from careflow.plans import oracle_text as OT
 from careflow.plans.catalog import register
-from careflow.plans.sizing import spread
 
 _S = TR.PY_WS
 
@@ -19,7 +18,7 @@ def _strip(x: str) -> str:
 
 
 def _turns(spark, sf):
-    return spread(D.table(spark, sf, "conversations").select("conv_id", "turn", "role", "text"))
+    return D.table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
 
 
 SQL_USER_TEXT = f"""

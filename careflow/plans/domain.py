@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from careflow.functions import lexicon as L
 from careflow.functions.text import normalize_identifier
-from careflow.plans.sizing import spread
+from careflow.plans.sizing import broadcast_if_small, spread
 
 AGE_GROUPS = ["adult", "child", "older_adult", "infant"]
 STORED_CATEGORIES = ["infection", "injury", "respiratory", "cardiac", "neurological", "digestive", "immune"]
@@ -52,7 +52,7 @@ def facility_master(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "supplier")
     n = table(spark, sf_dir, "nation")
     r = table(spark, sf_dir, "region")
-    j = s.join(F.broadcast(n), s.s_nationkey == n.n_nationkey).join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey"))
+    j = s.join(broadcast_if_small(n), s.s_nationkey == n.n_nationkey).join(broadcast_if_small(r), F.col("n_regionkey") == F.col("r_regionkey"))
     k = F.col("s_suppkey")
     ftype = F.when(k % 3 == 0, F.lit("Hospitals")).when(k % 3 == 1, F.lit("Ambulatory health care services"))
     province = F.when(F.col("r_regionkey") % 3 == 0, F.lit("QC")).when(F.col("r_regionkey") % 3 == 1, F.lit("Ontario"))
@@ -163,6 +163,10 @@ def virtual_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def virtual_queue_from(o: DataFrame) -> DataFrame:
     """The virtual-queue projection of an orders frame (batch or streaming)."""
+    return o.select(*_queue_columns())
+
+
+def _queue_columns() -> list[Column]:
     k = F.col("o_orderkey")
     start = _minutes(F.col("o_orderdate"), (k % 96) * 15)
     status = (
@@ -171,7 +175,7 @@ def virtual_queue_from(o: DataFrame) -> DataFrame:
         .when(F.col("o_orderstatus") == "P", F.lit("confirmed"))
         .otherwise(F.lit("completed"))
     )
-    return o.select(
+    return [
         F.concat(F.lit("q_"), _s(k)).alias("queue_id"),
         F.concat(F.lit("doc_"), _s(F.floor(k / QUEUE_INTAKE_RATIO))).alias("intake_session_id"),
         F.concat(F.lit("fac_"), _s(F.floor(F.col("o_custkey") / QUEUE_FACILITY_RATIO))).alias("facility_id"),
@@ -182,17 +186,17 @@ def virtual_queue_from(o: DataFrame) -> DataFrame:
         F.when(k % 3 == 0, F.lit("sms")).when(k % 3 == 1, F.lit("email")).otherwise(F.lit("none")).alias("notification_preference"),
         status.alias("queue_status"),
         F.col("o_orderdate").alias("created_at"),
-    )
+    ]
 
 
-def queue_patients(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per reservation: patient location (NULL every 13th) and contact details from the customer row."""
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+def queue_with_patients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The virtual queue with, per reservation, the patient's location (NULL every 13th) and contact details from the
+    customer row: one scan of the orders."""
+    o = table(spark, sf_dir, "orders")
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
     k = F.col("o_orderkey")
-    j = o.join(c, o.o_custkey == c.c_custkey, "left")
-    return j.select(
-        F.concat(F.lit("q_"), _s(k)).alias("queue_id"),
+    return o.join(c, o.o_custkey == c.c_custkey, "left").select(
+        *_queue_columns(),
         F.when(k % 13 == 0, F.lit(None)).otherwise(F.lit(45.0) + ((k * 7) % 100).cast("double") / F.lit(100.0)).alias("user_latitude"),
         F.when(k % 13 == 0, F.lit(None)).otherwise(F.lit(-73.0) - ((k * 11) % 100).cast("double") / F.lit(100.0)).alias("user_longitude"),
         F.when(k % 4 == 0, F.lit(None)).otherwise(F.concat(F.lower(F.regexp_replace(F.col("c_name"), "#", ".")), F.lit("@example.org"))).alias("contact_value"),
@@ -277,7 +281,7 @@ def staff_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Row-security map: one nurse group per nation (mod 5) and one lead per region."""
     s = table(spark, sf_dir, "supplier")
     n = table(spark, sf_dir, "nation")
-    j = s.join(F.broadcast(n), s.s_nationkey == n.n_nationkey)
+    j = s.join(broadcast_if_small(n), s.s_nationkey == n.n_nationkey)
     fid = F.concat(F.lit("fac_"), _s(F.col("s_suppkey"))).alias("facility_id_normalized")
     created = F.to_timestamp_ntz(F.lit(INGESTED_AT)).alias("created_at")
     nurses = j.select(

@@ -16,16 +16,25 @@ def q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+_SEVERAL = "MAP {" + ", ".join(f"{q(a)}: {q(b)}" for a, b in L.FOLD_SEVERAL.items()) + "}"
+_ONE, _BASE = "".join(L.FOLD), "".join(L.FOLD.values())
+
+
+def _folded(x: str) -> str:
+    spelled = f"array_to_string(list_transform(string_split({x}, ''), lambda c: coalesce({_SEVERAL}[c], c)), '')"
+    c = f"(CASE WHEN regexp_matches({x}, {q('[' + ''.join(L.FOLD_SEVERAL) + ']')}) THEN {spelled} ELSE {x} END)"
+    return f"lower(translate({c}, {q(_ONE)}, {q(_BASE)}))"
+
+
 def norm_main(x: str) -> str:
-    s = f"translate(lower(coalesce({x}, '')), {q(L.ACCENTED)}, {q(L.ACCENTED_BASE)})"
+    s = _folded(f"regexp_replace(coalesce({x}, ''), '{L.MARKS}', '', 'g')")
     for src, dst in L.TRANSLIT_EXTRA:
         s = f"replace({s}, {q(src)}, {q(dst)})"
     return f"trim(regexp_replace({s}, '[^a-z0-9]+', ' ', 'g'))"
 
 
 def norm_scored(x: str) -> str:
-    s = f"translate(lower(coalesce({x}, '')), {q(L.ACCENTED)}, {q(L.ACCENTED_BASE)})"
-    s = f"regexp_replace({s}, '[^\\x00-\\x7F]', '', 'g')"
+    s = f"regexp_replace({_folded(f"coalesce({x}, '')")}, '[^\\x00-\\x7F]', '', 'g')"
     s = f"regexp_replace({s}, '[^a-z0-9 \\t\\n\\x0B\\f\\r]', ' ', 'g')"
     return f"trim(regexp_replace({s}, '{WS}+', ' ', 'g'))"
 

@@ -7,9 +7,13 @@ run) is under a bound; beyond it the hint is withheld and Spark's planner
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from careflow.session import ensure_checkpoint_dir
+
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 
 
@@ -47,27 +51,23 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     return df.repartition(want)
 
 
-def pair_all(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Every row of ``left`` with every row of ``right``, for two *bounded* sides (keys x a register).
+def staged(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` as Parquet under the shared checkpoint folder and read it back: computed once, its size known."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/staged/{label}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
 
-    Used only where the operator's definition scores every combination
-    (ranking every in-region facility for a request key, matching a site
-    against every register row). The smaller side under the broadcast bound
-    is broadcast and the other side streams past it; if neither is under the
-    bound the pairing is left to Spark's planner.
+def pair_all(left: DataFrame, right: DataFrame, max_rows: int = 500_000) -> DataFrame:
+    """Every row of ``left`` with every row of ``right``; ``right`` must be bounded and is broadcast.
 
-    The pair work is far larger than either input, so the streamed side is
-    round-robined over the session's parallelism first (a grouped result
-    would otherwise be coalesced into one partition by adaptive execution).
+    Used only where the operator's definition scores every combination (a site
+    against every register row). ``right`` is staged and counted, so the
+    broadcast rests on its real size; beyond ``max_rows`` this fails. The pair
+    work is far larger than either input, so ``left`` is spread over every core
+    (an explicit count is never coalesced by adaptive execution).
     """
-    lb, rb = estimated_bytes(left), estimated_bytes(right)
-    if rb is not None and rb <= MAX_BROADCAST_BYTES and (lb is None or rb <= lb):
-        small, stream = right, left
-    elif lb is not None and lb <= MAX_BROADCAST_BYTES:
-        small, stream = left, right
-    else:
-        return left.join(right, how="cross")
-    # the streamed side is itself a bounded input (a register, request keys); the pair work is |stream| x |small|,
-    # so it is always round-robined over every core (an explicit count is never coalesced by adaptive execution)
-    stream = stream.repartition(stream.sparkSession.sparkContext.defaultParallelism)
-    return stream.join(F.broadcast(small), how="cross")
+    right = staged(right, "pairs")
+    if (n := right.count()) > max_rows:
+        raise ValueError(f"{n} rows on the bounded side of an all-pairs step, which takes at most {max_rows}")
+    return left.repartition(left.sparkSession.sparkContext.defaultParallelism).join(F.broadcast(right), how="cross")

@@ -43,6 +43,41 @@ def test_scored_cases(spark):
     assert _scored(spark, "Mal de gorge et fievre depuis un jour", "child", 24)["language"] == "fr"
 
 
+def _no_more():
+    return {c: F.lit(None).cast("int") for c in RK.SHOWN}
+
+
+def test_worst_copy_gives_score_penalty_and_distance(spark):
+    """Two copies of facility d, a hospital and a clinic: at level 3 the clinic copy is the worst, for both rows."""
+    cols = ("facility_id_normalized string, facility_name_raw string, address_raw string, facility_name string, city string, "
+            "odhf_facility_type string, latitude double, longitude double, wait_time_non_priority_minutes int, "
+            "stretcher_occupancy_pct double, people_waiting int, virtual_queue_depth int, is_quebec boolean")
+    live = spark.createDataFrame([
+        ("d", "D1", "x", "D", "Montreal", "hospital", 45.0, -73.0, 60, 50.0, 5, 1, True),
+        ("d", "D2", "y", "D", "Montreal", "clinic", 46.0, -73.0, 60, 50.0, 5, 1, True),
+        ("e", "E", "z", "E", "Montreal", "hospital", 45.0, -73.0, 90, 80.0, 9, 4, True),
+    ], cols).withColumns(_no_more())
+    req = spark.createDataFrame([("i1", 3, 45.0, -73.0)], "intake_session_id string, provisional_ctas_level int, user_latitude double, user_longitude double")
+    alone = {r["facility_name_raw"]: r for r in RK.rank_order((3, 45.0, -73.0), live).collect()}
+    got = RK.recommend(req, live).collect()
+    d = [r for r in got if r["facility_id_normalized"] == "d"]
+    assert len(d) == 2 and {r["fit_for_ctas"] for r in d} == {"caution"}
+    assert {(r["fit_penalty"], r["score"], r["distance_km"]) for r in d} == {(alone["D2"]["fit_penalty"], alone["D2"]["score"], alone["D2"]["distance_km"])}
+    assert alone["D1"]["fit_penalty"] == 0.0 and alone["D2"]["distance_km"] > 100
+
+
+def test_pairs_are_not_shuffled(spark):
+    import __spark_entry__ as E
+    from conftest import SF_SMALL
+
+    plan = E.queries()["recommendations"](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString().split("\n")
+    pair = next(i for i, line in enumerate(plan) if "BroadcastNestedLoopJoin" in line)
+    depth = plan[pair].index("BroadcastNestedLoopJoin")
+    above = [line for line in plan[:pair] if "Exchange hashpartitioning" in line and line.index("Exchange") < depth]
+    windows = [i for i, line in enumerate(plan[:pair]) if "Window" in line]
+    assert windows and not any("Exchange" in line for line in plan[windows[0] : pair]) and len(above) <= 1
+
+
 def test_ranking_prefers_hospital_at_level_3(spark):
     cols = ("facility_id_normalized string, facility_name_raw string, address_raw string, facility_name string, city string, "
             "odhf_facility_type string, latitude double, longitude double, wait_time_non_priority_minutes int, "
@@ -51,8 +86,7 @@ def test_ranking_prefers_hospital_at_level_3(spark):
         ("hospital", "H", "h", "Hospital", "Montreal", "hospital", 45.5, -73.5, 120, 95.0, 15, 8, True),
         ("ambulatory", "C", "c", "Clinic", "Montreal", "ambulatory", 45.52, -73.52, 25, 5.0, 2, 1, True),
     ], cols)
-    req = spark.createDataFrame([("i1", 3, 45.51, -73.51)], "intake_session_id string, provisional_ctas_level int, user_latitude double, user_longitude double")
-    first = RK.rank_order(req, live).orderBy("rank_position").first()
+    first = RK.rank_order((3, 45.51, -73.51), live.withColumns(_no_more())).orderBy("rank_position").first()
     assert first["facility_id_normalized"] == "hospital"
 
 
