@@ -316,18 +316,20 @@ def flags_view(df: DataFrame, text_col: str = "raw_text", age_col: str | None =
     return df.withColumn("emergency_flags", emergency_flags(norm, coerce_age_group(age_in)))
 
 
-def validate_decisions(df: DataFrame) -> DataFrame:
-    """One array of violation strings per row (empty when the payload is valid)."""
-    checks = []
-    for key, allowed in L.OUTPUT_ENUMS.items():
-        checks.append(F.when(~F.col(key).isin(*allowed) | F.col(key).isNull(), F.lit(f"enum:{key}")))
-    checks.append(F.when(~F.col("provisional_ctas_level").isin(1, 2, 3, 4, 5), F.lit("enum:provisional_ctas_level")))
-    checks.append(F.when(F.col("duration_hours") < 0, F.lit("range:duration_hours")))
-    checks.append(F.when(~F.col("risk_score").between(0, 100), F.lit("range:risk_score")))
-    present = F.array(*[F.lit(c) for c in df.columns if c in L.EXPECTED_KEYS])
-    expected = _lits(L.EXPECTED_KEYS)
-    missing = F.transform(F.array_except(expected, present), lambda k: F.concat(F.lit("missing:"), k))
-    return df.withColumn("violations", F.concat(missing, F.array_compact(F.array(*checks))))
+def validate_decisions(df: DataFrame, payload: list[str] | None = None) -> DataFrame:
+    """One array of violation strings per row (empty when the payload is valid). ``payload`` names the columns
+    that are the payload (by default those of the contract); others among them are extras."""
+    payload = [c for c in df.columns if c in L.EXPECTED_KEYS] if payload is None else payload
+    df = df.withColumns({c: F.lit(None).cast("string") for c in L.EXPECTED_KEYS if c not in df.columns})
+    known = df.columns
+    has = lambda key, bad, kind: F.when(bad, F.lit(f"{kind}:{key}")) if key in payload else F.lit(None).cast("string")
+    checks = [has(key, ~F.coalesce(F.col(key).isin(*allowed), F.lit(False)), "enum") for key, allowed in L.OUTPUT_ENUMS.items()]
+    checks.append(has("provisional_ctas_level", ~F.coalesce(F.col("provisional_ctas_level").isin(1, 2, 3, 4, 5), F.lit(False)), "enum"))
+    checks.append(has("duration_hours", ~F.coalesce(F.col("duration_hours") >= 0, F.lit(False)), "range"))
+    checks.append(has("risk_score", ~F.coalesce(F.col("risk_score").between(0, 100), F.lit(False)), "range"))
+    shape = [f"missing:{k}" for k in L.EXPECTED_KEYS if k not in payload] + [f"extra:{k}" for k in payload if k not in L.EXPECTED_KEYS]
+    fixed = _lits(shape) if shape else F.array().cast("array<string>")
+    return df.withColumn("violations", F.concat(fixed, F.array_compact(F.array(*checks)))).select(*[c for c in known if c in payload or c not in L.EXPECTED_KEYS], "violations")
 
 
 def level_view(df: DataFrame, text_col: str = "raw_text", age_col: str | None = "age_group", duration_col: str | None = None) -> DataFrame:

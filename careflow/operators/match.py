@@ -7,11 +7,12 @@ row per site (strictly greater wins, so ties go to the earliest register row).
 
 Plan: the sites side is the *distinct* (name, address) keys of the live
 table - one row per emergency room, however many snapshots were scraped - and
-it is broadcast when its estimated size is under the bound; the register
-streams past it partition by partition. Token arrays, set algebra, lengths
-and the ratio arithmetic are JVM expressions; only the longest common
-subsequence of the two leftover token strings runs in Python, as an
-Arrow-batched pandas UDF with a bit-parallel LCS. The best row per site is
+it is broadcast after a count; the register streams past it partition by
+partition. Token arrays, set algebra, lengths and the ratio arithmetic are JVM
+expressions, and so are exact bounds that leave most pairs out; only the
+longest common subsequence of the two leftover token strings of the pairs that
+may be a site's best runs in Python, as an Arrow-batched pandas UDF with a
+bit-parallel LCS. The best row per site is
 ``row_number() = 1``, limited in every task before the shuffle.
 """
 
@@ -54,38 +55,75 @@ def tokens(norm: Column) -> Column:
     return F.array_distinct(F.filter(F.split(norm, " "), lambda t: t != ""))
 
 
-def with_token_set_ratio(df: DataFrame, ta: str, tb: str, out: str) -> DataFrame:
-    """Add ``out`` = token-set ratio (0-100) of the token arrays ``ta`` and ``tb`` (public rapidfuzz definition).
-
-    Intermediate set algebra is materialized as columns so each piece is
-    evaluated once per pair.
-    """
-    p = f"_{out}_"
+def _token_sets(df: DataFrame, ta: str, tb: str, p: str) -> DataFrame:
+    """Set algebra of two token arrays, as columns so each piece is evaluated once per pair: shared length, the two
+    leftovers as sorted strings and their lengths."""
     df = df.withColumns({
         p + "i": F.array_intersect(ta, tb),
         p + "da": F.array_join(F.array_sort(F.array_except(ta, tb)), " "),
         p + "db": F.array_join(F.array_sort(F.array_except(tb, ta)), " "),
     })
-    df = df.withColumns({
+    return df.withColumns({
         p + "s": F.length(F.array_join(p + "i", " ")).cast("double"),
         p + "la": F.length(p + "da").cast("double"),
         p + "lb": F.length(p + "db").cast("double"),
-        p + "lcs": lcs_length(F.col(p + "da"), F.col(p + "db")).cast("double"),
     })
+
+
+def _ratio(ta: str, tb: str, p: str, lcs: Column) -> Column:
+    """Token-set ratio (0-100, public rapidfuzz definition) for a length of the leftovers' common subsequence; it
+    grows with that length."""
     s, la, lb = F.col(p + "s"), F.col(p + "la"), F.col(p + "lb")
     sep = F.when(s > 0, F.lit(1.0)).otherwise(F.lit(0.0))
     sa, sb = s + sep + la, s + sep + lb
-    indel = la + lb - 2 * F.col(p + "lcs")
+    indel = la + lb - 2 * lcs
     base = F.when(sa + sb > 0, F.lit(100.0) - F.lit(100.0) * indel / (sa + sb)).otherwise(F.lit(100.0))
     r_a = F.lit(100.0) - F.lit(100.0) * (sep + la) / (s + sa)
     r_b = F.lit(100.0) - F.lit(100.0) * (sep + lb) / (s + sb)
-    score = (
+    return (
         F.when((F.size(ta) == 0) | (F.size(tb) == 0), F.lit(0.0))
         .when((F.size(p + "i") > 0) & ((la == 0) | (lb == 0)), F.lit(100.0))
         .when(s == 0, base)
         .otherwise(F.greatest(base, r_a, r_b))
     )
-    return df.withColumn(out, score).drop(*[p + x for x in ("i", "da", "db", "s", "la", "lb", "lcs")])
+
+
+def _lcs_bound(p: str) -> Column:
+    """No common subsequence is longer than the letters of either leftover that occur in the other at all."""
+    held = lambda x, y: F.length(x) - F.length(F.call_function("translate", F.col(x), F.col(y), F.lit("")))
+    return F.least(held(p + "da", p + "db"), held(p + "db", p + "da")).cast("double")
+
+
+def with_token_set_ratio(df: DataFrame, ta: str, tb: str, out: str) -> DataFrame:
+    """Add ``out`` = token-set ratio (0-100) of the token arrays ``ta`` and ``tb``."""
+    p = f"_{out}_"
+    df = _token_sets(df, ta, tb, p).withColumn(p + "lcs", lcs_length(F.col(p + "da"), F.col(p + "db")).cast("double"))
+    return df.withColumn(out, _ratio(ta, tb, p, F.col(p + "lcs"))).drop(*[p + x for x in ("i", "da", "db", "s", "la", "lb", "lcs")])
+
+
+def _pair_scores(pairs: DataFrame, lcs) -> Column:
+    """0.55 name + 0.30 address + 0.15 city, with ``lcs(prefix)`` as the length of the common subsequence."""
+    city = F.when(F.col("_rc").isNotNull() & F.col("_la").contains(F.col("_rc")), F.lit(100.0)).otherwise(F.lit(0.0))
+    return (F.lit(L.MATCH_WEIGHTS[0]) * _ratio("_lnt", "_rnt", "_n_", lcs("_n_")) + F.lit(L.MATCH_WEIGHTS[1]) * _ratio("_lat", "_rat", "_a_", lcs("_a_"))
+            + F.lit(L.MATCH_WEIGHTS[2]) * city)
+
+
+def pairs_to_verify(site_side: DataFrame, cand: DataFrame) -> DataFrame:
+    """Site and register pairs whose highest possible score reaches the best lowest score of their site.
+
+    Both bounds are JVM expressions (no common subsequence at all; as long as the letters allow), and the score grows
+    with the subsequence, so the best pair of every site is among them: nothing is lost, and only these pairs go on to
+    the exact length in Python."""
+    bounded = lambda sites: _token_sets(_token_sets(pair_all(cand, sites), "_lnt", "_rnt", "_n_"), "_lat", "_rat", "_a_")
+    lowest = bounded(site_side)
+    floor = lowest.groupBy(*MATCH_KEY).agg(F.max(_pair_scores(lowest, lambda p: F.lit(0.0))).alias("_floor"))
+    same = F.lit(True)
+    for k in MATCH_KEY:
+        same = same & F.col(k).eqNullSafe(F.col(f"_f_{k}"))
+    floor = floor.select(*[F.col(k).alias(f"_f_{k}") for k in MATCH_KEY], "_floor")
+    sites = site_side.join(floor, same).drop(*[f"_f_{k}" for k in MATCH_KEY])
+    pairs = bounded(sites)
+    return pairs.filter(_pair_scores(pairs, _lcs_bound) >= F.col("_floor") - 1e-9)
 
 
 def fuzzy_match(live: DataFrame, register: DataFrame, order_col: str = "register_order") -> DataFrame:
@@ -106,13 +144,9 @@ def fuzzy_match(live: DataFrame, register: DataFrame, order_col: str = "register
         tokens(normalize_main(F.col("facility_name"))).alias("_rnt"), tokens(normalize_main(F.col("full_address"))).alias("_rat"),
         F.when(F.coalesce(F.col("city"), F.lit("")) != "", normalize_main(F.col("city"))).alias("_rc"),
     )
-    pairs = pair_all(cand, site_side)
-    pairs = with_token_set_ratio(pairs, "_lnt", "_rnt", "_name_score")
-    pairs = with_token_set_ratio(pairs, "_lat", "_rat", "_addr_score")
-    city = F.when(F.col("_rc").isNotNull() & F.col("_la").contains(F.col("_rc")), F.lit(100.0)).otherwise(F.lit(0.0))
-    score = (F.lit(L.MATCH_WEIGHTS[0]) * F.col("_name_score") + F.lit(L.MATCH_WEIGHTS[1]) * F.col("_addr_score")
-             + F.lit(L.MATCH_WEIGHTS[2]) * city)
-    scored = pairs.withColumn("_score", score)
+    pairs = pairs_to_verify(site_side, cand)
+    pairs = pairs.withColumns({p + "lcs": lcs_length(F.col(p + "da"), F.col(p + "db")).cast("double") for p in ("_n_", "_a_")})
+    scored = pairs.withColumn("_score", _pair_scores(pairs, lambda p: F.col(p + "lcs")))
     best = Window.partitionBy(*MATCH_KEY).orderBy(F.col("_score").desc(), F.col("_ord").asc())
     top = scored.withColumn("_rn", F.row_number().over(best)).filter("_rn = 1").select(
         *MATCH_KEY, F.struct("_score", "_rid", "_rname").alias("_b"))

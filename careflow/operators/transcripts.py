@@ -60,10 +60,16 @@ def assistant_transcript(turns: DataFrame) -> DataFrame:
     return g.select("conv_id", F.array_join(F.transform("_parts", lambda p: p["t"]), "\n").alias("assistant_text"))
 
 
-def score_conversations(turns: DataFrame) -> DataFrame:
-    """J1 then the scored triage (H34) for every conversation with user text."""
+def score_conversations(turns: DataFrame, inputs: DataFrame | None = None) -> DataFrame:
+    """J1 then the scored triage (H34) for every conversation with user text.
+
+    ``inputs`` (conv_id, patient_age_group, duration_hours; one row per conversation at most) are the request's own
+    age group and duration, which come before what the text says."""
     ut = user_text(turns).filter(F.col("user_text") != "")
-    return TS.triage_scored(ut, "user_text", None, None).select("conv_id", *TS.DECISION_COLUMNS)
+    if inputs is None:
+        return TS.triage_scored(ut, "user_text", None, None).select("conv_id", *TS.DECISION_COLUMNS)
+    own = inputs.select("conv_id", F.col("patient_age_group").alias("_age"), F.col("duration_hours").alias("_hours"))
+    return TS.triage_scored(ut.join(own, "conv_id", "left"), "user_text", "_age", "_hours").select("conv_id", *TS.DECISION_COLUMNS)
 
 
 def history_append(turns: DataFrame, replies: DataFrame, reply_col: str = "reasoning_summary") -> DataFrame:
@@ -76,10 +82,6 @@ def history_append(turns: DataFrame, replies: DataFrame, reply_col: str = "reaso
 
 
 # --------------------------------------------------------------------------- J5, J6
-PAYLOAD_SCHEMA = "provisional_ctas_level INT, risk_band STRING, queue_eligible BOOLEAN"
-PAYLOAD_KEYS = ["provisional_ctas_level", "risk_band", "queue_eligible"]
-
-
 def extract_json(text: Column) -> Column:
     """The text when it is a JSON object, else its greedy '{...}' span when that is one, else NULL."""
     t = py_strip(F.coalesce(text, F.lit("")))
@@ -88,12 +90,16 @@ def extract_json(text: Column) -> Column:
 
 
 def validate_payload(payload: Column) -> Column:
-    """J6 + G4: violation strings (missing keys, enum and range checks); empty when valid."""
-    keys = F.coalesce(F.json_object_keys(payload), F.array().cast("array<string>"))
-    missing = F.transform(F.array_except(F.array(*[F.lit(k) for k in PAYLOAD_KEYS]), keys), lambda k: F.concat(F.lit("missing:"), k))
-    parsed = F.from_json(payload, PAYLOAD_SCHEMA)
-    checks = F.array_compact(F.array(
-        F.when(~parsed["provisional_ctas_level"].between(1, 5), F.lit("range:provisional_ctas_level")),
-        F.when(~parsed["risk_band"].isin(*L.OUTPUT_ENUMS["risk_band"]), F.lit("enum:risk_band")),
-    ))
-    return F.array_sort(F.concat(missing, checks))
+    """J6 + G4: sorted violations of a payload: missing and extra keys, values outside the seven enums and the level's,
+    and the two whole-number ranges; empty when valid."""
+    text = F.array().cast("array<string>")
+    keys, expected = F.coalesce(F.json_object_keys(payload), text), F.array(*[F.lit(k) for k in L.EXPECTED_KEYS])
+    named = lambda kind, ks: F.transform(ks, lambda k: F.concat(F.lit(kind + ":"), k))
+    value = lambda k: F.get_json_object(payload, f"$.{k}")
+    wrong = lambda k, ok: F.array_contains(keys, k) & ~F.coalesce(ok, F.lit(False))
+    whole = lambda k: F.when(value(k).rlike(r"^-?[0-9]+$"), value(k).try_cast("long"))
+    checks = [F.when(wrong(k, value(k).isin(*allowed)), F.lit(f"enum:{k}")) for k, allowed in L.OUTPUT_ENUMS.items()]
+    checks.append(F.when(wrong("provisional_ctas_level", value("provisional_ctas_level").isin(*map(str, L.CTAS_LABELS))), F.lit("enum:provisional_ctas_level")))
+    checks.append(F.when(wrong("duration_hours", whole("duration_hours") >= 0), F.lit("range:duration_hours")))
+    checks.append(F.when(wrong("risk_score", whole("risk_score").between(0, 100)), F.lit("range:risk_score")))
+    return F.array_sort(F.concat(named("missing", F.array_except(expected, keys)), named("extra", F.array_except(keys, expected)), F.array_compact(F.array(*checks))))

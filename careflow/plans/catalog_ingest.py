@@ -202,9 +202,55 @@ def _register_candidates(spark, sf):
     return D.facility_master(spark, sf).withColumn("register_order", F.col("index").cast("long"))
 
 
-@register("fuzzy_match")
+def _tokens_sql(norm: str) -> str:
+    return f"list_distinct(list_filter(string_split({norm}, ' '), lambda t: t <> ''))"
+
+
+def _lcs_sql(a: str, b: str) -> str:
+    """Bit-parallel longest common subsequence over 128-bit masks (leftovers of names and addresses are shorter)."""
+    masks = f"list_transform(range(1, length({b}) + 1), lambda j: coalesce(list_sum(list_transform(range(1, length({a}) + 1), lambda i: CASE WHEN substr({a}, i, 1) = substr({b}, j, 1) THEN 1::HUGEINT << (i - 1)::INTEGER ELSE 0::HUGEINT END)), 0)::HUGEINT)"
+    full = f"((1::HUGEINT << length({a})::INTEGER) - 1)"
+    return f"(CASE WHEN {a} = '' OR {b} = '' THEN 0 ELSE length({a}) - bit_count(list_reduce({masks}, lambda v, m: ((v + (v & m)) | (v - (v & m))) & {full}, {full})) END)"
+
+
+def _ratio_sql(p: str) -> str:
+    s, la, lb, sep = f"{p}_s", f"{p}_la", f"{p}_lb", f"(CASE WHEN {p}_s > 0 THEN 1.0 ELSE 0.0 END)"
+    both = f"(2 * ({s} + {sep}) + {la} + {lb})"
+    base = f"(CASE WHEN {both} > 0 THEN 100.0 - 100.0 * ({la} + {lb} - 2 * {p}_lcs) / {both} ELSE 100.0 END)"
+    one = lambda x: f"(100.0 - 100.0 * ({sep} + {x}) / (2 * {s} + {sep} + {x}))"
+    return f"""(CASE WHEN len({p}_l) = 0 OR len({p}_r) = 0 THEN 0.0 WHEN {p}_n > 0 AND ({la} = 0 OR {lb} = 0) THEN 100.0
+      WHEN {s} = 0 THEN {base} ELSE greatest({base}, {one(la)}, {one(lb)}) END)"""
+
+
+def _fuzzy_ctes(sites: str) -> str:
+    """CTEs that score every site (relation with the key and matched_at) against every register row."""
+    left = lambda p, x, y: f"array_to_string(list_sort(list_filter({p}_{x}, lambda t: NOT list_contains({p}_{y}, t))), ' ') AS {p}_d{x}"
+    return f"""
+  fsite AS (SELECT *, {_tokens_sql(OT.norm_main('facility_name_raw'))} AS n_l, {OT.norm_main('address_raw')} AS la FROM {sites}),
+  freg AS (SELECT facility_id_normalized AS rid, facility_name AS rname, CAST("index" AS BIGINT) AS ord, {_tokens_sql(OT.norm_main('facility_name'))} AS n_r,
+    {_tokens_sql(OT.norm_main('full_address'))} AS a_r, CASE WHEN coalesce(city, '') <> '' THEN {OT.norm_main('city')} END AS rc FROM fm),
+  fp0 AS (SELECT *, {_tokens_sql('la')} AS a_l FROM fsite CROSS JOIN freg),
+  fp1 AS (SELECT *, {", ".join(f"len(list_intersect({p}_l, {p}_r)) AS {p}_n, length(array_to_string(list_intersect({p}_l, {p}_r), ' '))::DOUBLE AS {p}_s, {left(p, 'l', 'r')}, {left(p, 'r', 'l')}" for p in "na")} FROM fp0),
+  fp2 AS (SELECT *, {", ".join(f"length({p}_dl)::DOUBLE AS {p}_la, length({p}_dr)::DOUBLE AS {p}_lb, {_lcs_sql(f'{p}_dl', f'{p}_dr')}::DOUBLE AS {p}_lcs" for p in "na")} FROM fp1),
+  fp3 AS (SELECT *, {L.MATCH_WEIGHTS[0]}::DOUBLE * {_ratio_sql('n')} + {L.MATCH_WEIGHTS[1]}::DOUBLE * {_ratio_sql('a')} + {L.MATCH_WEIGHTS[2]}::DOUBLE * (CASE WHEN rc IS NOT NULL AND contains(la, rc) THEN 100.0 ELSE 0.0 END) AS sc FROM fp2),
+  fuzzy AS (SELECT facility_name_raw, address_raw, rid AS matched_facility_id, rname AS matched_facility_name, round_even(sc / 100.0, 4) AS match_confidence,
+    CASE WHEN sc >= {L.MATCH_EXACTISH_THRESHOLD} THEN 'exactish' ELSE 'fuzzy' END AS match_method, false AS manually_validated, matched_at
+    FROM (SELECT *, row_number() OVER (PARTITION BY facility_name_raw, address_raw ORDER BY sc DESC, ord) AS rn FROM fp3) _q WHERE rn = 1)"""
+
+
+def _with_fuzzy(body: str, sites: str, pages: bool) -> str:
+    head = with_ctes("SELECT 1").removeprefix("WITH ").rsplit("\nSELECT 1", 1)[0]
+    er = f"erp AS ({SQL_ER_PAGES}),\nrec AS ({SQL_RECORDS}),\n" if pages else ""
+    return f"WITH {er}{head},\n{_fuzzy_ctes(sites).strip()}\n{body}"
+
+
+_LIVE_SITES = "(SELECT facility_name_raw, address_raw, max(scraped_at) AS matched_at FROM live GROUP BY facility_name_raw, address_raw)"
+_PAGE_SITES = "(SELECT facility_name_raw, address_raw, max(scraped_at) AS matched_at FROM rec GROUP BY facility_name_raw, address_raw)"
+
+
+@register("fuzzy_match", _with_fuzzy("SELECT * FROM fuzzy", _LIVE_SITES, False))
 def q_fuzzy_match(spark, sf):
-    """C5 + E3: best register row for every live site (token-set ratios; LCS in a pandas UDF). Checked against brute force in tests."""
+    """C5 + E3: best register row for every live site (token-set ratios; LCS in a pandas UDF)."""
     return MT.fuzzy_match(D.live_status(spark, sf), _register_candidates(spark, sf))
 
 
@@ -257,7 +303,15 @@ def q_match_upsert(spark, sf):
     return MT.upsert(D.facility_match(spark, sf), src)
 
 
-@register("match_refresh")
+def match_refresh_sql() -> str:
+    overridden = SQL_OVERRIDDEN.replace("FROM fmatch m", "FROM fuzzy m")
+    return _with_fuzzy(f""", src AS ({overridden})
+SELECT t.* FROM fmatch t WHERE NOT EXISTS (
+  SELECT 1 FROM src s WHERE s.facility_name_raw = t.facility_name_raw AND s.address_raw = t.address_raw)
+UNION ALL SELECT * FROM src""", _PAGE_SITES, True)
+
+
+@register("match_refresh", match_refresh_sql())
 def q_match_refresh(spark, sf):
     """L1 refresh: scraped sites fuzzy-matched to the register, overrides applied, upserted into the stored matches."""
     gold = ER.gold_rows(_records(spark, sf))

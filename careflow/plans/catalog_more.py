@@ -21,7 +21,7 @@ from careflow.plans.catalog import (
     register,
     view_sql,
 )
-from careflow.plans.catalog_text import SQL_DECISIONS, _turns
+from careflow.plans.catalog_text import SQL_DECISIONS, _decisions
 from careflow.plans.oracle_domain import with_ctes
 
 DETAIL_FACILITY = "fac_1"
@@ -99,7 +99,7 @@ def q_intake_lookup(spark, sf):
     req = D.virtual_queue(spark, sf).select("intake_session_id").distinct()
     cols = ["provisional_ctas_level", "recommended_facility_type", "queue_eligible"]
     live = D.intake_sessions(spark, sf).select("intake_session_id", F.struct(*cols).alias("_live"))
-    sim = TR.score_conversations(_turns(spark, sf)).select(
+    sim = _decisions(spark, sf).select(
         F.concat(F.lit("doc_"), F.col("conv_id").cast("string")).alias("intake_session_id"), F.struct(*cols).alias("_sim"))
     j = req.join(live, "intake_session_id", "left").join(sim, "intake_session_id", "left")
     rec = F.coalesce(F.col("_live"), F.col("_sim"))

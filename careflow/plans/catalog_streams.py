@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from careflow.plans.catalog import SQL_TRIAGE_SCORED, register, view_sql
-from careflow.plans.catalog_ingest import _GOLD, _er_sql
+from careflow.plans.catalog_ingest import _GOLD, _er_sql, match_refresh_sql
 from careflow.plans.oracle_domain import with_ctes
 from careflow.sources import er_pages as ER
 from careflow.streaming import streams as ST
@@ -34,7 +34,7 @@ def q_refresh_stream_gold(spark, sf):
     return spark.read.parquet(f"{root}/gold").select(*ER.GOLD_COLUMNS)
 
 
-@register("refresh_stream_matches")
+@register("refresh_stream_matches", match_refresh_sql())
 def q_refresh_stream_matches(spark, sf):
     """The match table after the streamed refresh (stored matches, fuzzy matches of new sites, overrides)."""
     root = ST.run_refresh(spark, sf)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import re
 import shutil
@@ -57,6 +58,8 @@ def ship_package(spark: SparkSession) -> None:
     if getattr(sc, "_careflow_shipped", False):
         return
     folder = os.path.dirname(os.path.abspath(__file__))
-    with tempfile.TemporaryDirectory() as tmp:
-        sc.addPyFile(shutil.make_archive(os.path.join(tmp, "careflow_src"), "zip", os.path.dirname(folder), os.path.basename(folder)))
+    tmp = os.path.realpath(tempfile.mkdtemp(prefix="careflow-src-"))  # the driver serves the archive from here as long as it runs
+    atexit.register(shutil.rmtree, tmp, ignore_errors=True)
+    shutil.copytree(folder, os.path.join(tmp, "src", os.path.basename(folder)), ignore=shutil.ignore_patterns("__pycache__"))
+    sc.addPyFile(shutil.make_archive(os.path.join(tmp, "careflow_src"), "zip", os.path.join(tmp, "src")))
     sc._careflow_shipped = True
