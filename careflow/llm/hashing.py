@@ -3,32 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-#: Words a worker keeps at most with their hashes; a full table is emptied, which changes no result.
-CACHE_ENTRIES = 1_000_000
-
-
-class _Words(dict):
-    def __missing__(self, word: str) -> int:
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_WORDS = _Words()
-
-
-def word_hashes(words: list[str]) -> np.ndarray:
-    if len(_WORDS) > CACHE_ENTRIES:
-        _WORDS.clear()
-    return np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+#: Bytes of text that are hashed at once (about 40 bytes of memory each).
+BLOCK_BYTES = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -40,6 +26,83 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_BLANK = np.zeros(256, bool)
+_BLANK[[0x20, *range(0x09, 0x0E)]] = True
+_BYTES = mix(np.arange(1, 257, dtype=np.uint64) * BASE)
+_FOLDED = _BYTES.copy()
+_FOLDED[65:91] = _BYTES[97:123]
+
+
+class _Powers:
+    """Powers of BASE and of its inverse, grown as needed."""
+
+    up = down = np.ones(1, np.uint64)
+
+    @classmethod
+    def to(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(cls.up) < n:
+            size = max(n, 2 * len(cls.up))
+            cls.up, cls.down = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, b, np.uint64)])) for b in (BASE, BASE_INVERSE))
+        return cls.up, cls.down
+
+
+def _hash_block(data: np.ndarray, cuts: np.ndarray, fold: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of several texts that lie behind each other in ``data`` (UTF-8), text i from cuts[i] to
+    cuts[i + 1]; and for each cut, the number of words before it."""
+    word = ~_BLANK[data]
+    first, last = word.copy(), word.copy()
+    first[1:] &= ~word[:-1]
+    last[:-1] &= ~word[1:]
+    inside = cuts[(cuts > 0) & (cuts < len(data))]
+    first[inside], last[inside - 1] = word[inside], word[inside - 1]
+    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    up, down = _Powers.to(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((_FOLDED if fold else _BYTES)[data] * up[: len(data)], out=sums[1:])
+    hashes = mix(((sums[ends] - sums[starts]) * down[starts]) ^ (ends - starts).astype(np.uint64))
+    return hashes, np.searchsorted(starts, cuts)
+
+
+def word_hashes(text: str | bytes | np.ndarray | None, fold: bool = False) -> np.ndarray:
+    """Hashes of the words of one text (runs of anything but blank and 0x09-0x0D; ``fold``: A-Z as a-z)."""
+    if not isinstance(text, np.ndarray):
+        text = np.frombuffer(text.encode() if isinstance(text, str) else text or b"", np.uint8)
+    out, at = [], 0
+    while len(text) - at > BLOCK_BYTES:  # long texts in blocks that end behind a blank
+        blank = np.flatnonzero(_BLANK[text[at : at + BLOCK_BYTES]])
+        if len(blank):
+            end = at + int(blank[-1]) + 1
+        else:
+            later = np.flatnonzero(_BLANK[text[at + BLOCK_BYTES :]])
+            end = at + BLOCK_BYTES + int(later[0]) + 1 if len(later) else len(text)
+        out.append(_hash_block(text[at:end], np.array([0, end - at]), fold)[0])
+        at = end
+    out.append(_hash_block(text[at:], np.array([0, len(text) - at]), fold)[0])
+    return np.concatenate(out)
+
+
+def hashed_rows(batches: Iterator[pa.RecordBatch], *names: str, fold: bool = False) -> Iterator[tuple]:
+    """(named columns, word hashes of column text) of every row, straight from the Arrow buffers."""
+    for batch in batches:
+        col = batch.column("text").cast(pa.large_string())
+        if col.null_count:
+            col = col.fill_null("")
+        _, offsets, values = col.buffers()
+        at = np.frombuffer(offsets, np.int64)[col.offset : col.offset + len(col) + 1] if len(col) else np.zeros(1, np.int64)
+        data = np.frombuffer(values, np.uint8) if values is not None and values.size else np.zeros(0, np.uint8)
+        row = 0
+        while row < len(col):
+            end = max(row + 1, min(int(np.searchsorted(at, at[row] + BLOCK_BYTES, "right")) - 1, row + 4096))
+            keys = zip(*(batch.column(n).slice(row, end - row).to_pylist() for n in names))
+            if at[end] - at[row] > BLOCK_BYTES:
+                yield *next(keys), word_hashes(data[at[row] : at[end]], fold)
+            else:
+                hashes, cuts = _hash_block(data[at[row] : at[end]], at[row : end + 1] - at[row], fold)
+                for k, a, b in zip(keys, cuts.tolist(), cuts[1:].tolist()):
+                    yield *k, hashes[a:b]
+            row = end
+
+
 def rolling(w: np.ndarray, k: int) -> np.ndarray:
     """Hash of each k consecutive words."""
     m = len(w) - k + 1
@@ -49,20 +112,21 @@ def rolling(w: np.ndarray, k: int) -> np.ndarray:
     return mix(h)
 
 
+def sequence_hash(h: np.ndarray) -> np.uint64:
+    """One hash of an ordered run of hashes and its length."""
+    up, _ = _Powers.to(len(h))
+    return mix((h * up[: len(h)]).sum(dtype=np.uint64, keepdims=True) ^ np.uint64(len(h)))[0]
+
+
 class Spans:
     """Hashes of arbitrary word spans of one text by prefix sums; equal word sequences hash alike at any place."""
 
-    _powers = (np.ones(1, np.uint64), np.ones(1, np.uint64))
-
     def __init__(self, w: np.ndarray):
-        n = len(w) + 1
-        if len(Spans._powers[0]) < n:
-            size = max(n, 2 * len(Spans._powers[0]))
-            Spans._powers = tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, b, np.uint64)])) for b in (BASE, BASE_INVERSE))
-        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(w * Spans._powers[0][: n - 1], dtype=np.uint64)])
+        up, self.down = _Powers.to(len(w) + 1)
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(w * up[: len(w)], dtype=np.uint64)])
 
     def hash(self, start: np.ndarray, length) -> np.ndarray:
-        return mix((self.sums[start + length] - self.sums[start]) * Spans._powers[1][start])
+        return mix((self.sums[start + length] - self.sums[start]) * self.down[start])
 
 
 SKETCH_BITS = 20
@@ -79,9 +143,14 @@ def count_sketch(docs: DataFrame, keys: Callable[[Iterator[pa.RecordBatch]], Ite
     ddl = "shard int, task int, counts binary"
 
     def count(batches):
-        total = np.zeros(1 << SKETCH_BITS, np.int64)
-        for some in keys(batches):
-            total += np.bincount((some >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total))
+        total, some, held = np.zeros(1 << SKETCH_BITS, np.int64), [], 0
+        for more in chain(keys(batches), [None]):
+            if more is not None:
+                some.append(more)
+                held += len(more)
+            if some and (more is None or held > 1 << SKETCH_BITS):
+                total += np.bincount(counter_of(np.concatenate(some)), minlength=len(total))
+                some, held = [], 0
         if total.any():
             parts = total.reshape(_SHARDS, -1)
             task = TaskContext.get().partitionId()
@@ -109,6 +178,51 @@ def counter_of(keys: np.ndarray) -> np.ndarray:
     return (keys >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
+#: Hashes that a task counts at once (32 MB).
+COUNT_BLOCK = 1 << 22
+
+
+def frequent_keys(docs: DataFrame, keys: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]]) -> DataFrame:
+    """(k, n): keys that occur twice or more in a block of COUNT_BLOCK keys of a task, with the sum of those counts.
+
+    Of a key's F occurrences at most one a block goes uncounted, so n >= F minus the number of blocks. Keys that are
+    rare everywhere never leave their task."""
+    schema = pa.schema([("k", pa.int64()), ("n", pa.int64())])
+
+    def count(batches):
+        some, held = [], 0
+        for more in chain(keys(batches), [None]):
+            if more is not None:
+                some.append(more)
+                held += len(more)
+            if some and (more is None or held >= COUNT_BLOCK):
+                k, n = np.unique(np.concatenate(some), return_counts=True)
+                k, n, some, held = k[n > 1].view(np.int64), n[n > 1], [], 0
+                for at in range(0, len(k), 65_536):
+                    yield pa.record_batch([pa.array(k[at : at + 65_536]), pa.array(n[at : at + 65_536])], schema=schema)
+
+    return docs.mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
+
+
+MASK_BITS = 26
+
+
+def key_mask(keys: DataFrame) -> np.ndarray:
+    """Bits of all keys (a long column ``k``) in a mask of fixed size (8 MB): a key without its bit is none of them.
+    A full mask keeps everything, so it saves work and decides nothing."""
+    bit = F.pmod("k", F.lit(1 << MASK_BITS)) + 1
+    rows = keys.groupBy(F.bitmap_bucket_number(bit).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("m")).collect()
+    mask = np.zeros(1 << (MASK_BITS - 3), np.uint8)
+    for r in rows:  # 2^MASK_BITS / 32768 rows of 4 KB at most
+        mask[(r["b"] - 1) * 4096 : r["b"] * 4096] = np.frombuffer(r["m"], np.uint8)
+    return mask
+
+
+def in_mask(mask: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    bit = keys.view(np.int64) & ((1 << MASK_BITS) - 1)
+    return (mask[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 > 0
+
+
 class Columns:
     """Collects numpy columns of many small results into Arrow batches of some tens of thousands of rows."""
 

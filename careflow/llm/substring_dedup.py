@@ -31,16 +31,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from careflow.llm.common import batches_of, row_key, rows_of, split_words, staged, table
-from careflow.llm.hashing import Columns, Spans, count_sketch, counter_of, hot_counters, mix, rolling, word_hashes
+from careflow.llm.common import row_key, split_words, staged, table
+from careflow.llm.hashing import Columns, Spans, count_sketch, counter_of, hashed_rows, hot_counters, mix, rolling
 
 SPAN, K = 50, 10
 SALTS = 64
 
 
-def _paths(words: list[str], span: int, k: int):
-    """The paths of a text: anchor hash, hash of the path's words, first window, number of windows."""
-    w = word_hashes(words)
+def _paths(w: np.ndarray, span: int, k: int):
+    """The paths of a text's word hashes: anchor hash, hash of the path's words, first window, number of windows."""
     grams = rolling(w, k)
     at = np.lib.stride_tricks.sliding_window_view(grams, span - k + 1).argmin(axis=1)
     anchor = np.arange(len(at)) + at
@@ -52,10 +51,9 @@ def _paths(words: list[str], span: int, k: int):
 
 
 def _each(batches: Iterator[pa.RecordBatch], span: int, k: int):
-    for doc, row, text in rows_of(batches, "doc", "row", "text"):
-        words = split_words(text)
-        if len(words) >= span:
-            yield doc, row, *_paths(words, span, k)
+    for doc, row, w in hashed_rows(batches, "doc", "row"):
+        if len(w) >= span:
+            yield doc, row, *_paths(w, span, k)
 
 
 def path_records(docs: DataFrame, span: int, k: int) -> DataFrame:
@@ -92,8 +90,8 @@ def branching_edges(docs: DataFrame, firsts: DataFrame, span: int) -> DataFrame:
 
     def edges(batches):
         out = Columns(schema)
-        for doc, text, paths in rows_of(batches, "doc", "text", "paths"):
-            spans = Spans(word_hashes(split_words(text)))
+        for doc, paths, w in hashed_rows(batches, "doc", "paths"):
+            spans = Spans(w)
             h, c, lo, many = (np.array([p[x] for p in paths], np.int64) for x in ("h", "c", "lo", "many"))
             at = np.concatenate([np.arange(m) for m in many])
             if out.add(np.repeat(h, many), np.repeat(c, many), np.full(len(at), doc), at, spans.hash(np.repeat(lo, many) + at, span)):
@@ -113,12 +111,13 @@ def repeated_windows(docs: DataFrame, span: int = SPAN, k: int = K) -> DataFrame
 
     whole = paths.join(known.filter(~F.col("branching")).select("h", "c", "first"), ["h", "c"]).filter("first < doc")
     split = paths.join(known.filter("branching").select("h", "c", "first"), ["h", "c"])
-    edges = staged(branching_edges(docs, split.filter("first = doc"), span).distinct(), "edges")
+    edges = staged(branching_edges(docs, split.filter("first = doc"), span), "edges")
     least = edges.groupBy("h", "e").agg(F.min("first").alias("least"), F.count("*").alias("n"))
     # an edge that one class alone has is repeated among that class's own copies at most: its least is the class's first
     of_class = edges.join(least.filter("n > 1"), ["h", "e"], "left").groupBy("h", "c").agg(
         F.collect_list(F.struct("at", F.coalesce("least", "first").alias("least"))).alias("edges")  # at most span - k + 1
     )
+    of_class = staged(of_class, "class_edges")  # so that the join below shuffles both sides and a hot class can be split
     hits = split.join(of_class, ["h", "c"]).withColumn("hits", F.expr("transform(filter(edges, x -> x.least < doc), x -> x.at)")).filter(F.size("hits") > 0)
     run = lambda df, hits: df.select("doc", "row", F.struct("lo", "many", hits.cast("array<int>").alias("hits")).alias("run"))
     return run(whole, F.lit(None)).unionByName(run(hits, F.col("hits"))).groupBy("doc", "row").agg(F.collect_list("run").alias("runs"))
