@@ -29,19 +29,20 @@ UNITS = (
     "km|kilometers?|kilometres?|m|meters?|metres?|cm|mm|mi|miles?|ft|feet|foot|in|inch|inches|yards?|kg|kilograms?|g|grams?|mg|lbs?|pounds?|oz|ounces?|tons?|"
     "l|liters?|litres?|ml|gallons?|h|hours?|min|minutes?|s|seconds?|days?|weeks?|months?|years?|dollars?|euros?|cents?|usd|eur|percent|degrees?"
 )
-BLANKS = r"[\x20\x09-\x0D]+"
+BLANKS = r"[\x20\x09-\x0D\x{E001}-\x{E003}]+"
 MARKS = NAME + NUMBER + UNIT
 PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'’‘“”«»„…–—¿¡"
-#: Benchmark windows up to which they are broadcast (about 200 bytes each).
-BROADCAST_WINDOWS = 200_000
+#: Benchmark windows up to which they are broadcast (about 200 bytes each), and distinct ones up to which documents'
+#: windows are looked up in a set of literals before they become rows. Beyond either, the same join does the work.
+BROADCAST_WINDOWS, LITERAL_WINDOWS = 200_000, 20_000
 _NAME = rf"([^.!?:\x20] )\p{{Lu}}\p{{L}}+"
 _NUMBER = r"[0-9]+(?:[.,:/][0-9]+)*"
 _UNIT = rf"({NUMBER} ?)(?:{UNITS})([^\p{{L}}]|$)"
 
 
 def flat(text: Column) -> Column:
-    """The text with marks taken out and every run of blanks as one space."""
-    return F.trim(F.regexp_replace(F.translate(text, MARKS, ""), BLANKS, " "))
+    """The text with every run of blanks (and placeholder characters of its own) as one space."""
+    return F.trim(F.regexp_replace(text, BLANKS, " "))
 
 
 def template(line: Column) -> Column:
@@ -52,27 +53,33 @@ def template(line: Column) -> Column:
     return F.translate(F.regexp_replace(line, _UNIT, f"$1{UNIT}$2"), PUNCTUATION, "")
 
 
-def windows(texts: DataFrame, width: int) -> DataFrame:
-    """Per window: the columns but text, pos, win (canonical words), raw (the words as they are, if any is a
-    placeholder). texts: any columns and text."""
+def windows(texts: DataFrame, width: int, with_win: bool = False, only: list[int] | None = None) -> DataFrame:
+    """Per window: the columns but text, pos, h (hash of its canonical words), raw (the words as they are, if any is a
+    placeholder) and, if asked for, win (the canonical words). texts: any columns and text. ``only``: hashes of the
+    windows that are wanted."""
     keys = [c for c in texts.columns if c != "text"]
     lines = texts.filter(F.col("text").isNotNull()).select(*keys, flat(F.col("text")).alias("line"))
-    words = lines.select(*keys, F.split("line", " ").alias("rw"), F.split(template(F.col("line")), " ").alias("cw"))
-    # both arrays are used twice below, so that the optimizer keeps them as columns instead of splitting once a window;
-    # no filter on their sizes, since it would be pushed down with a second copy of the whole template expression
-    starts = F.when(F.size("cw") >= width, F.sequence(F.lit(1), F.size("cw") - (width - 1)))
-    joined = words.select(*keys, "rw", F.transform(starts, lambda i: F.array_join(F.slice("cw", i, width), " ")).alias("wins"))
-    has = lambda w: F.contains(w, F.lit(NUMBER)) | F.contains(w, F.lit(NAME)) | F.contains(w, F.lit(UNIT))
-    one = lambda w, i: F.struct(i.alias("pos"), w.alias("win"), F.when(has(w), F.array_join(F.slice("rw", i + 1, F.least(F.size("rw"), F.lit(width))), " ")).alias("raw"))
-    return joined.select(*keys, F.explode(F.transform("wins", one)).alias("w")).select(*keys, "w.pos", "w.win", "w.raw")
+    canonical = lines.select(*keys, "line", template(F.col("line")).alias("t"))
+    words = canonical.select(*keys, F.split("line", " ").alias("rw"), F.split("t", " ").alias("cw"), F.col("t").rlike(f"[{MARKS}]").alias("marked"))
+    hashed = words.select(*keys, "rw", "cw", "marked", F.transform("cw", lambda w: F.xxhash64(w)).alias("wh"))
+    # what a lambda reads is used elsewhere too, so that the optimizer keeps it as a column and does not compute it once
+    # a window; there is no filter on sizes, since it would be pushed down with a second copy of the whole template
+    starts = F.when(F.size("wh") >= width, F.sequence(F.lit(1), F.size("wh") - (width - 1)))
+    h = lambda i: F.xxhash64(F.slice("wh", i, width))
+    if only is not None:
+        starts = F.filter(starts, lambda i: h(i).isin(only))
+    win = lambda i: F.array_join(F.slice("cw", i, F.least(F.size("cw"), F.lit(width))), " ")
+    raw = lambda i: F.when(F.col("marked") & win(i).rlike(f"[{MARKS}]"), F.array_join(F.slice("rw", i, F.least(F.size("rw"), F.lit(width))), " "))
+    one = lambda i: F.struct(i.alias("pos"), h(i).alias("h"), raw(i).alias("raw"), *([win(i).alias("win")] if with_win else []))
+    return hashed.select(*keys, F.explode(F.transform(starts, one)).alias("w")).select(*keys, "w.*")
 
 
 def benchmark_windows(items: DataFrame, width: int, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """(h, item, ipos, iwin, iraw, n_windows) for the usable windows of distinct item texts."""
     texts = items.filter(F.col(text_col).isNotNull()).groupBy(F.col(text_col).alias("text")).agg(F.min(id_col).alias("item"))
     marks = F.length("win") - F.length(F.translate("win", MARKS, ""))
-    usable = windows(texts, width).withColumn("plain", F.size(F.filter(F.split("win", " "), lambda w: w.rlike(r"^[^\x{E001}-\x{E003}]+$")))).filter(F.col("plain") >= marks)
-    usable = usable.select(F.xxhash64("win").alias("h"), "item", F.col("pos").alias("ipos"), F.col("win").alias("iwin"), F.col("raw").alias("iraw"))
+    usable = windows(texts, width, with_win=True).withColumn("plain", F.size(F.filter(F.split("win", " "), lambda w: w.rlike(r"^[^\x{E001}-\x{E003}]+$")))).filter(F.col("plain") >= marks)
+    usable = usable.select("h", "item", F.col("pos").alias("ipos"), F.col("win").alias("iwin"), F.col("raw").alias("iraw"))
     return usable.join(usable.groupBy("item").agg(F.count("*").alias("n_windows")), "item")
 
 
@@ -85,10 +92,12 @@ def _values(raw: str, win: str) -> Column:
 def leaks(docs: DataFrame, items: DataFrame, width: int = WIDTH, min_share: float = MIN_SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, row, item, n_windows, n_matched) of leaking documents; row is the hash of the document's text."""
     bench = staged(benchmark_windows(items, width), "benchmark")
+    hashes = [r["h"] for r in bench.select("h").distinct().limit(LITERAL_WINDOWS + 1).collect()]
+    only = hashes if len(hashes) <= LITERAL_WINDOWS else None
     if bench.count() <= BROADCAST_WINDOWS:
         bench = F.broadcast(bench)
     texts = docs.select(F.col(id_col).alias("doc"), row_key(text_col).alias("row"), F.col(text_col).alias("text"))
-    met = windows(texts, width).withColumn("h", F.xxhash64("win")).join(bench, "h").filter("win = iwin").withColumn("diag", F.col("pos") - F.col("ipos"))
+    met = windows(texts, width, only=only).join(bench, "h").withColumn("diag", F.col("pos") - F.col("ipos"))
     met = staged(met.select("doc", "row", "item", "diag", "ipos", "iwin", "raw", "iraw", "n_windows"), "matches")
 
     (dv, iw), (iv, _) = _values("raw", "iwin"), _values("iraw", "iwin")
@@ -110,7 +119,7 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sql_windows(name: str, source: str, key: str) -> str:
     q = lambda s: s.replace("'", "''")
-    line = f"trim(regexp_replace(translate(text, '{MARKS}', ''), '{BLANKS}', ' ', 'g'))"
+    line = f"trim(regexp_replace(text, '{BLANKS}', ' ', 'g'))"
     return f"""
 {name}_line AS (SELECT {key} AS id, {line} AS line FROM {source}),
 {name}_named AS (SELECT id, line, regexp_replace(regexp_replace(line, '{_NAME}', '\\1{NAME}', 'g'), '{_NAME}', '\\1{NAME}', 'g') AS t FROM {name}_line),

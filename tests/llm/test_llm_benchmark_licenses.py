@@ -1,5 +1,6 @@
 """Operators 1 and 6: literal cases."""
 
+import pytest
 from llm_cases import documents
 
 from careflow.llm import decontaminate, license_scan
@@ -44,8 +45,10 @@ def test_odd_rows(spark):
     assert decontaminate.leaks(documents(spark, rows), bench.limit(0)).count() == 0
 
 
-def test_shuffled_windows_give_the_same(spark, monkeypatch):
+@pytest.mark.parametrize("literals", [0, 20_000])
+def test_shuffled_windows_give_the_same(spark, monkeypatch, literals):
     monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", 0)
+    monkeypatch.setattr(decontaminate, "LITERAL_WINDOWS", literals)
     assert leaks(spark, [(1, "so " + QUESTION)]) == [(1, 1)]
 
 
