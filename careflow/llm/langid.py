@@ -30,6 +30,8 @@ from careflow.llm.common import batches_of, rows_of, table
 UND = "und"
 #: The classifier's bounds: labelled rows in all, landmarks among them, and characters of a labelled row.
 SAMPLE_ROWS, LANDMARKS, SAMPLE_CHARS = 1200, 96, 20_000
+#: Languages that are learned at most, the most frequent first.
+MAX_LANGUAGES = 200
 NGRAM, RIDGE = 3, 1e-2
 _NO_LETTERS = re.compile(r"[\W\d_]+")
 
@@ -119,9 +121,15 @@ def fit(texts: list[str], langs: list[str], n: int = NGRAM, landmarks: int = LAN
 
 def training_sample(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> tuple[list[str], list[str]]:
     """At most ``rows`` labelled rows of at most ``chars`` characters, the same number of each language as far as it
-    goes, chosen by a hash of the id; the first of each language come first. Only ids are ranked and shuffled."""
+    goes, chosen by a hash of the id; the first of each language come first. Only ids are ranked and shuffled, and of
+    a frequent language only those with hashes so small that twice ``rows`` of them are expected."""
     usable = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}") & (F.length(text_col) <= chars))
+    counts = usable.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(MAX_LANGUAGES).collect()
+    if not counts:
+        return [], []
+    share = F.element_at(F.create_map(*(F.lit(x) for r in counts for x in (r[0], 2.0 * rows / r["count"]))), F.col("_lang"))
     ids = usable.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), F.xxhash64(F.lit("langid"), id_col).alias("_h"))
+    ids = ids.filter(F.pmod("_h", F.lit(1 << 40)) / float(1 << 40) < share)
     top = ids.withColumn("_n", F.row_number().over(Window.partitionBy("_lang").orderBy("_h", "_id"))).filter(F.col("_n") <= rows)
     chosen = top.orderBy("_n", "_h", "_lang").limit(rows).select("_id", "_lang", "_n", "_h")
     got = (
