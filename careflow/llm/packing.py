@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from careflow.llm.common import batches_of, rows_of, staged, table
 
 #: Words that a worker keeps at most, as they stand and without marks; a full table is emptied, which changes no result.
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 300_000
 #: Plan rows up to which the plan is broadcast (under 4 MB); beyond it the slots are joined by shuffle.
 BROADCAST_PLAN_ROWS = 65_536
 
