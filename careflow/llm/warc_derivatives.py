@@ -27,8 +27,8 @@ ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#
 
 
 def _steps() -> list[tuple[str, str]]:
-    hidden = [(rf"(?is)<{t}\b.*?(?:</{t}\s*>|\z)", " ") for t in HIDDEN]
-    return [(r"(?s)<!--.*?(?:-->|\z)", " "), *hidden, (rf"(?i)</?(?:{BLOCKS})\b[^>]*>", "\n"), (r"<[a-zA-Z/!?][^>]*>", "")]
+    hidden = "|".join([r"<!--.*?(?:-->|\z)", *(rf"<{t}\b.*?(?:</{t}\s*>|\z)" for t in HIDDEN)])
+    return [(f"(?is){hidden}", " "), (rf"(?i)</?(?:{BLOCKS})\b[^>]*>", "\n"), (r"<[a-zA-Z/!?][^>]*>", "")]
 
 
 _SPACES = [(r"[\x20\t\r\f\x0b\x{a0}]+", " "), (r" ?\n[ \n]*", "\n"), (r"^[ \n]+|[ \n]+$", "")]
