@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from careflow.functions import lexicon as L
 from careflow.functions.text import normalize_scored
-from careflow.operators import transcripts as TR
 from careflow.operators import views as V
 from careflow.plans import domain as D
 from careflow.plans import oracle_text as OT

@@ -24,7 +24,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from careflow.functions import lexicon as L
-from careflow.functions.text import normalize_identifier
 from careflow.plans.sizing import broadcast_if_small, spread
 
 AGE_GROUPS = ["adult", "child", "older_adult", "infant"]
@@ -320,8 +319,8 @@ def register_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 __all__ = [
     "facility_master", "live_status", "facility_match", "manual_overrides", "virtual_queue",
-    "reservation_requests", "intake_sessions", "intake_texts", "intake_origins", "staff_scope",
-    "register_raw", "table", "normalize_identifier",
+    "queue_with_patients", "reservation_requests", "intake_sessions", "intake_texts", "intake_origins", "staff_scope",
+    "register_raw", "table",
 ]
 
 
