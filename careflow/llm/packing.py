@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from careflow.llm.common import batches_of, rows_of, staged, table
 
-#: Words that a worker keeps at most, as they stand and without marks; a full table is emptied, which changes no result.
+#: Words that a task keeps at most, as they stand and without marks; a full table is emptied, which changes no result.
 CACHE_ENTRIES = 300_000
 #: Plan rows up to which the plan is broadcast (under 4 MB); beyond it the slots are joined by shuffle.
 BROADCAST_PLAN_ROWS = 65_536
@@ -84,6 +84,9 @@ class WordEncoder:
         if odd:
             self.words.update(self._encode(odd))
 
+    def forget(self) -> None:
+        self.words, self.stems = {"": b""}, {}
+
     def ids(self, text: str) -> bytes:
         words = text.replace("\n", " ").split(" ")
         if len(self.words) >= CACHE_ENTRIES:
@@ -121,7 +124,10 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 0, id_c
                     part = ids[at : at + 4 * capacity]
                     yield i, n, at // 4, len(part) // 4, zlib.crc32(part)
 
-        yield from batches_of(rows(), schema)
+        try:
+            yield from batches_of(rows(), schema)
+        finally:
+            enc.forget()  # the worker lives on for other stages
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(
         cut, "id long, piece int, start long, length long, ids_crc32 long"
