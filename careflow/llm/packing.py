@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import os
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from itertools import batched
@@ -34,6 +35,15 @@ CACHE_ENTRIES = 300_000
 BROADCAST_PLAN_ROWS = 65_536
 
 
+def _letters(stem: str) -> bool:
+    """Whether a stem is letters alone, also to the tokenizer: composing (NFC) and folding may each turn a letter into
+    a letter and an accent, and an accent is one pre-token with a mark behind it."""
+    if not stem.isalpha():
+        return False
+    composed = unicodedata.normalize("NFC", stem)
+    return composed.isalpha() and composed.lower().isalpha()
+
+
 class WordEncoder:
     """Little-endian 32-bit ids of a text, word by word: this tokenizer drops white space, and neither its
     normalizer nor its pieces reach over it. A word of letters with a full stop or comma behind it is those letters
@@ -71,7 +81,7 @@ class WordEncoder:
             stem = w[:-1] if mark else w
             if stem.isascii() and stem.isalpha():
                 parts.append((w, stem.lower(), mark))
-            elif stem.isalpha() and stem.lower().isalpha():  # folding may turn a letter into a letter and an accent
+            elif _letters(stem):
                 parts.append((w, stem, mark))
             else:
                 odd.append(w)

@@ -139,3 +139,10 @@ def test_packing_by_shuffled_slots(spark, monkeypatch):
     got = packing.pack_documents(documents(spark, [(i, "a b c d"[: i % 8]) for i in range(50)]), 8)
     assert got.count() == got.select("sequence_id", "offset").distinct().count() == 50
     assert got.agg(F.max(F.col("offset") + F.col("length"))).first()[0] <= 8
+
+
+def test_letters_that_composing_takes_apart_get_the_library_ids():
+    lib, enc = Tokenizer.from_file(WORDS), packing.WordEncoder(WORDS)
+    words = [c + m for c in ("হয়", "কक़", "ਲ਼", "שׁ", "aפֿ", "é", "각") for m in (".", ",", "")]
+    for text in [*words, " ".join(words)]:
+        assert enc.ids(text) == np.array(lib.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
