@@ -7,10 +7,13 @@ the benchmark's windows, so a question with other numbers or names still meets i
 if the item says 12 twice and the document says 30 and 31, it is another question and the alignment is dropped. A
 document leaks an item if the windows of its consistent alignments are ``min_share`` of the item's windows or more.
 
-A benchmark window needs a plain word for each placeholder, otherwise it would fit any list of numbers. Benchmark
-items with equal text are one item (the smallest id).
+A template window needs a plain word for each placeholder, otherwise it would fit any list of numbers: a benchmark
+window without them joins by its own words instead (case and punctuation aside, no placeholders). An item under
+``width`` words is one window of its whole length and joins both ways. Benchmark items with equal text are one item
+(the smallest id).
 
-Defined results: null or short texts (documents or items under ``width`` words) have no window and give no row;
+Defined results: null texts and items without a word have no window and give no row, nor do documents shorter than
+every window;
 repeated document rows give one row for each doc_id and item; rows without id are judged like others; empty tables
 give no rows; other columns are neither read nor changed.
 """
@@ -74,30 +77,65 @@ def windows(texts: DataFrame, width: int, with_win: bool = False, only: list[int
     return hashed.select(*keys, F.explode(F.transform(starts, one)).alias("w")).select(*keys, "w.*")
 
 
+def exact_windows(texts: DataFrame, width: int, only: list[int] | None = None) -> DataFrame:
+    """As windows, without placeholders: the columns but text, pos, h (hash of the words in lower case, without
+    punctuation), raw (null)."""
+    keys = [c for c in texts.columns if c != "text"]
+    clean = texts.filter(F.col("text").isNotNull()).select(*keys, _words(flat(F.col("text"))).alias("cw"))
+    hashed = clean.select(*keys, "cw", F.transform("cw", lambda w: F.xxhash64(w)).alias("wh"))
+    starts = F.when(F.size("wh") >= width, F.sequence(F.lit(1), F.size("wh") - (width - 1)))
+    h = lambda i: F.xxhash64(F.slice("wh", i, width))
+    if only is not None:
+        starts = F.filter(starts, lambda i: h(i).isin(only))
+    one = lambda i: F.struct(i.alias("pos"), h(i).alias("h"), F.lit(None).cast("string").alias("raw"))
+    return hashed.select(*keys, F.explode(F.transform(starts, one)).alias("w")).select(*keys, "w.*")
+
+
 def benchmark_windows(items: DataFrame, width: int, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(h, item, ipos, iwin, iraw, n_windows) for the usable windows of distinct item texts."""
+    """(width, exact, h, item, ipos, iwin, iraw, n_windows) for the windows of distinct item texts; iwin and iraw are
+    null if the window joins by its own words (exact)."""
     texts = items.filter(F.col(text_col).isNotNull()).groupBy(F.col(text_col).alias("text")).agg(F.min(id_col).alias("item"))
+    texts = texts.withColumn("n", F.size(F.split(flat(F.col("text")), " ")))
+    short = sorted(r["n"] for r in texts.filter(F.col("n") < width).select("n").distinct().collect())  # under `width` rows
+    each = windows(texts.filter(F.col("n") >= width).drop("n"), width, with_win=True).withColumn("width", F.lit(width))
+    for n in short:
+        each = each.unionByName(windows(texts.filter(F.col("n") == n).drop("n"), n, with_win=True).withColumn("width", F.lit(n)))
     marks = F.length("win") - F.length(F.translate("win", MARKS, ""))
-    usable = windows(texts, width, with_win=True).withColumn("plain", F.size(F.filter(F.split("win", " "), lambda w: w.rlike(r"^[^\x{E001}-\x{E003}]+$")))).filter(F.col("plain") >= marks)
-    usable = usable.select("h", "item", F.col("pos").alias("ipos"), F.col("win").alias("iwin"), F.col("raw").alias("iraw"))
-    return usable.join(usable.groupBy("item").agg(F.count("*").alias("n_windows")), "item")
+    each = each.withColumns({"marks": marks, "plain": F.size(F.filter(F.split("win", " "), lambda w: w.rlike(r"^[^\x{E001}-\x{E003}]+$")))})
+    each = each.filter((F.col("width") == width) | (F.col("plain") + F.col("marks") > 0)).withColumn("usable", F.col("plain") >= F.col("marks"))
+    place = ["item", F.col("pos").alias("ipos")]
+    by_template = each.filter("usable").select("width", F.lit(False).alias("exact"), "h", *place, F.col("win").alias("iwin"), F.col("raw").alias("iraw"))
+    own = F.xxhash64(F.transform(_words(F.coalesce("raw", "win")), lambda w: F.xxhash64(w)))  # without placeholders, win is the words
+    none = F.lit(None).cast("string")
+    by_words = each.filter(~F.col("usable") | (F.col("width") < width)).select("width", F.lit(True).alias("exact"), own.alias("h"), *place, none.alias("iwin"), none.alias("iraw"))
+    return by_template.unionByName(by_words).join(each.groupBy("item").agg(F.countDistinct("pos").alias("n_windows")), "item")
+
+
+def _words(line: Column) -> Column:
+    """Words of a flat text, lower-cased and without punctuation."""
+    return F.split(F.translate(F.lower(line), PUNCTUATION, ""), " ")
 
 
 def _values(raw: str, win: str) -> Column:
     """Words of a window with their canonical form, lower-cased and without punctuation, where it is a placeholder."""
-    clean = F.translate(F.lower(F.col(raw)), PUNCTUATION, "")
-    return F.split(clean, " "), F.split(F.col(win), " ")
+    return _words(F.col(raw)), F.split(F.col(win), " ")
 
 
 def leaks(docs: DataFrame, items: DataFrame, width: int = WIDTH, min_share: float = MIN_SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, row, item, n_windows, n_matched) of leaking documents; row is the hash of the document's text."""
     bench = staged(benchmark_windows(items, width), "benchmark")
-    hashes = [r["h"] for r in bench.select("h").distinct().limit(LITERAL_WINDOWS + 1).collect()]
-    only = hashes if len(hashes) <= LITERAL_WINDOWS else None
-    if bench.count() <= BROADCAST_WINDOWS:
-        bench = F.broadcast(bench)
+    hashes = bench.select("exact", "width", "h").distinct().limit(LITERAL_WINDOWS + 1).collect()
+    literal = len(hashes) <= LITERAL_WINDOWS
+    kinds = [(r["exact"], r["width"]) for r in bench.select("exact", "width").distinct().orderBy("exact", "width").collect()]  # at most two for each width
+    small = bench.count() <= BROADCAST_WINDOWS
     texts = docs.select(F.col(id_col).alias("doc"), row_key(text_col).alias("row"), F.col(text_col).alias("text"))
-    met = windows(texts, width, only=only).join(bench, "h").withColumn("diag", F.col("pos") - F.col("ipos"))
+    met = None
+    for exact, n in kinds or [(False, width)]:
+        only = [r["h"] for r in hashes if (r["exact"], r["width"]) == (exact, n)] if literal else None
+        wanted = bench.filter((F.col("exact") == exact) & (F.col("width") == n)).drop("exact", "width")
+        joined = (exact_windows if exact else windows)(texts, n, only=only).join(F.broadcast(wanted) if small else wanted, "h")
+        met = joined if met is None else met.unionByName(joined)
+    met = met.withColumn("diag", F.col("pos") - F.col("ipos"))
     met = staged(met.select("doc", "row", "item", "diag", "ipos", "iwin", "raw", "iraw", "n_windows"), "matches")
 
     (dv, iw), (iv, _) = _values("raw", "iwin"), _values("iraw", "iwin")

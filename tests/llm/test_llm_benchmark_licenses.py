@@ -79,3 +79,15 @@ def test_close_wording_counts_by_containment(spark):
     far = " ".join(w for i, w in enumerate(grant.split()) if i % 3)
     got = scan(spark, [(1, near), (2, far)])
     assert set(got) == {(1, "MIT-grant")} and 0.85 <= got[1, "MIT-grant"]["containment"] < 1
+
+
+def test_items_without_a_usable_template_are_found_as_they_stand(spark):
+    items = [(1, "Who wrote Hamlet?"), (2, "11 12 13 14 15 16 17 18 19 20"), (3, "12 + 30 = 42"), (4, " ... "), (5, "What is the capital of France?")]
+    rows = [(10, "Intro. 11 12 13 14 15 16 17 18 19 20, end"), (11, "Question Who wrote Hamlet? Nobody"), (12, "so 12 + 30 = 42."), (13, "1 + 2 = 3 or 21 22 23 24 25 26 27 28 29 30"), (14, "What is the capital of Spain?")]
+    assert leaks(spark, rows, items) == [(10, 2), (11, 1), (12, 3), (14, 5)]
+
+
+def test_windows_without_a_usable_template_count(spark):
+    item = "add up 1 2 3 4 5 6 7 8 9 10 11 12 and say what the sum of them is"
+    other = "add up 21 22 23 24 25 26 27 28 29 30 31 32 and say what the sum of them is"
+    assert leaks(spark, [(1, item), (2, other)], [(5, item)]) == [(1, 5)]
