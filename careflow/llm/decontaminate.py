@@ -4,8 +4,9 @@ Texts become templates: numbers, names (capitalised words inside a sentence) and
 typed placeholders, case and punctuation go. Every ``width``-word window of every document is joined by hash with
 the benchmark's windows, so a question with other numbers or names still meets its item. Matches lie on alignments
 (document place minus item place). In an alignment each value of the item must stand for one value of the document:
-if the item says 12 twice and the document says 30 and 31, it is another question and the alignment is dropped. A
-document leaks an item if the windows of its consistent alignments are ``min_share`` of the item's windows or more.
+if the item says 12 twice and the document says 30 and 31, the windows that hold the 12 are dropped. A document leaks
+an item if the windows that are left are ``min_share`` of the item's windows or more, or if ``min_run`` of them follow
+one another in one alignment (a long quote of a longer item).
 
 A template window needs a plain word for each placeholder, otherwise it would fit any list of numbers: a benchmark
 window without them joins by its own words instead (case and punctuation aside, no placeholders). An item under
@@ -20,12 +21,16 @@ give no rows; other columns are neither read nor changed.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from careflow.llm.common import row_key, staged, table
 
 WIDTH, MIN_SHARE = 8, 0.5
+#: Consecutive windows of one alignment that are a leak whatever their share: a quote of 13 words.
+MIN_RUN = 6
 #: Placeholders are private-use characters, so that no text holds them: one for each type.
 NAME, NUMBER, UNIT = "\ue001", "\ue002", "\ue003"
 UNITS = (
@@ -121,7 +126,7 @@ def _values(raw: str, win: str) -> Column:
     return _words(F.col(raw)), F.split(F.col(win), " ")
 
 
-def leaks(docs: DataFrame, items: DataFrame, width: int = WIDTH, min_share: float = MIN_SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, width: int = WIDTH, min_share: float = MIN_SHARE, id_col: str = "doc_id", text_col: str = "text", min_run: int = MIN_RUN) -> DataFrame:
     """(doc, row, item, n_windows, n_matched) of leaking documents; row is the hash of the document's text."""
     bench = staged(benchmark_windows(items, width), "benchmark")
     hashes = bench.select("exact", "width", "h").distinct().limit(LITERAL_WINDOWS + 1).collect()
@@ -139,15 +144,21 @@ def leaks(docs: DataFrame, items: DataFrame, width: int = WIDTH, min_share: floa
     met = staged(met.select("doc", "row", "item", "diag", "ipos", "iwin", "raw", "iraw", "n_windows"), "matches")
 
     (dv, iw), (iv, _) = _values("raw", "iwin"), _values("iraw", "iwin")
-    pairs = met.filter("raw IS NOT NULL").select("doc", "row", "item", "diag", F.explode(F.arrays_zip(dv.alias("d"), iv.alias("i"), iw.alias("t"))).alias("s"))
-    slots = pairs.filter(F.col("s.t").rlike(r"[\x{E001}-\x{E003}]"))
-    torn = slots.groupBy("doc", "row", "item", "diag", F.col("s.i")).agg(F.min("s.d").alias("a"), F.max("s.d").alias("b")).filter("a != b")
-    torn = torn.select(*(F.col(c).alias(f"_{c}") for c in ("doc", "row", "item", "diag"))).distinct()
-    same = F.lit(True)
-    for c in ("doc", "row", "item", "diag"):
-        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    found = met.join(torn, same, "left_anti").groupBy("doc", "row", "item", "n_windows").agg(F.countDistinct("ipos").alias("n_matched"))
-    return found.filter(F.col("n_matched") >= F.lit(min_share) * F.col("n_windows"))
+    where = ["doc", "row", "item", "diag"]
+    pairs = met.filter("raw IS NOT NULL").select(*where, "ipos", F.explode(F.arrays_zip(dv.alias("d"), iv.alias("i"), iw.alias("t"))).alias("s"))
+    slots = pairs.filter(F.col("s.t").rlike(r"[\x{E001}-\x{E003}]")).select(*where, "ipos", F.col("s.i").alias("value"), F.col("s.d").alias("said"))
+    torn = slots.groupBy(*where, "value").agg(F.min("said").alias("a"), F.max("said").alias("b")).filter("a != b")
+    torn = torn.select(*(F.col(c).alias(f"_{c}") for c in (*where, "value")))
+
+    def same(cols: list[str]) -> Column:
+        return reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in cols))
+
+    dropped = slots.join(torn, same([*where, "value"]), "left_semi").select(*(F.col(c).alias(f"_{c}") for c in (*where, "ipos"))).distinct()
+    left = met.join(dropped, same([*where, "ipos"]), "left_anti").select(*where, "ipos", "n_windows").distinct()
+    along = Window.partitionBy(*where).orderBy("ipos")
+    left = left.withColumn("run", F.coalesce(F.lag("ipos", min_run - 1).over(along) == F.col("ipos") - (min_run - 1), F.lit(False)))
+    found = left.groupBy("doc", "row", "item", "n_windows").agg(F.countDistinct("ipos").alias("n_matched"), F.max("run").alias("run"))
+    return found.filter((F.col("n_matched") >= F.lit(min_share) * F.col("n_windows")) | F.col("run")).drop("run")
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -91,3 +91,15 @@ def test_windows_without_a_usable_template_count(spark):
     item = "add up 1 2 3 4 5 6 7 8 9 10 11 12 and say what the sum of them is"
     other = "add up 21 22 23 24 25 26 27 28 29 30 31 32 and say what the sum of them is"
     assert leaks(spark, [(1, item), (2, other)], [(5, item)]) == [(1, 5)]
+
+
+def test_a_long_quote_of_a_longer_item_is_a_leak(spark):
+    words = ["w" + "abcdefghij"[i // 10] + "abcdefghij"[i % 10] for i in range(59)]
+    rows = [(1, "so " + " ".join(words[20:45]) + " and on"), (2, "so " + " ".join(words[20:32])), (3, " x ".join(" ".join(words[a : a + 9]) for a in range(0, 59, 9)))]
+    assert leaks(spark, rows, [(5, " ".join(words))]) == [(1, 5)]
+
+
+def test_one_torn_value_does_not_hide_a_long_copy(spark):
+    words = ["w" + "abcdefghij"[i // 10] + "abcdefghij"[i % 10] for i in range(59)]
+    item = " ".join([*words[:3], "12", *words[3:40], "12", *words[40:]])
+    assert leaks(spark, [(1, item[::-1].replace("21", "31", 1)[::-1])], [(5, item)]) == [(1, 5)]
