@@ -102,3 +102,15 @@ def test_all_queries_are_registered():
     names = e.queries()
     assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language ID", "n-gram Jaccard join", "substring dedup", "benchmark decontamination", "best-fit packing"]
+
+
+def test_language_stage_keeps_documents_without_a_model(spark):
+    rows = [(1, "bala mora"), (2, None), (3, "12 34 !!"), (4, "日本")]
+    assert sorted(r["doc_id"] for r in corpus_pipeline.language_id(spark, documents(spark, rows), "").collect()) == [1, 4]
+
+
+def test_many_languages_reject_no_short_document(spark):
+    rows = [(100 + 12 * i + j, f"{a}{b}{a} {b}{a}{a}{i}", a + b) for i in range(9) for j, (a, b) in enumerate(zip("abcdefghijkl", "mnopqrstuvwx"))]
+    short = [(i, t) for i, t in enumerate(["y", "z yz", "zz", "ö"])]
+    kept = {r["doc_id"] for r in corpus_pipeline.language_id(spark, documents(spark, rows + short), "").collect()}
+    assert kept == {r[0] for r in rows + short}
