@@ -33,6 +33,8 @@ SAMPLE_ROWS, LANDMARKS, SAMPLE_CHARS = 1200, 96, 20_000
 #: Languages that are learned at most, the most frequent first.
 MAX_LANGUAGES = 200
 NGRAM, RIDGE = 3, 1e-2
+#: n-gram codes up to which a table of all of them is kept in memory; beyond it codes are looked up in the landmarks' own.
+MAX_CODES = 1 << 26
 _NO_LETTERS = re.compile(r"[\W\d_]+")
 
 
@@ -57,7 +59,8 @@ class KernelModel:
     alphabet: np.ndarray  # code point -> symbol; last entry: any code point beyond
     width: int
     n: int
-    column: np.ndarray  # n-gram code -> column of the landmark matrix, or -1
+    grams: np.ndarray  # sorted n-gram codes of the landmark matrix
+    column: np.ndarray | None  # n-gram code -> column of the landmark matrix, or -1; None if there are too many codes for a table
     landmarks: np.ndarray  # n-grams x landmarks, presence over root of set size
     weights: np.ndarray  # landmarks x languages
     bias: np.ndarray
@@ -65,9 +68,14 @@ class KernelModel:
     def kernel(self, texts: list[str]) -> np.ndarray:
         """Kernel values, texts x landmarks."""
         x = np.zeros((len(texts), self.landmarks.shape[0]), np.float32)
-        seen = np.zeros(len(self.column), np.int32)
+        seen = np.zeros(0 if self.column is None else len(self.column), np.int32)
         for i, text in enumerate(texts):
             codes = np.concatenate(_codes(text, self.alphabet, self.width, self.n))
+            if self.column is None:
+                distinct = np.unique(codes)
+                at = np.minimum(np.searchsorted(self.grams, distinct), len(self.grams) - 1)
+                x[i, at[self.grams[at] == distinct]] = 1 / np.sqrt(len(distinct))
+                continue
             order = np.arange(1, len(codes) + 1, dtype=np.int32)
             seen[codes] = order  # the last writer of a code stands for it: no sort, no reset
             distinct = codes[seen[codes] == order]
@@ -86,29 +94,32 @@ def has_letter(text: str | None) -> bool:
 
 
 def fit(texts: list[str], langs: list[str], n: int = NGRAM, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> KernelModel | None:
-    """Fit on a bounded sample that is already in driver memory, in the order given (landmarks come first)."""
+    """Fit on a bounded sample that is already in driver memory, in the order given (landmarks come first; the first
+    text of each language is one)."""
     keep = [i for i, t in enumerate(texts) if has_letter(t)]
     texts, langs = [texts[i] for i in keep], [langs[i] for i in keep]
     if not texts:
         return None
     languages = sorted(set(langs))
-    marks = texts[:landmarks]
+    others = sorted({lang: i for i, lang in reversed(list(enumerate(langs)))}.values())
+    marks = [*texts[:landmarks], *(texts[i] for i in others if i >= landmarks)]
     letters = sorted({c for t in marks for c in _NO_LETTERS.sub("", t.lower()) if ord(c) < 0x10000})
     alphabet = np.ones(0x10001, np.int32)
     alphabet[32] = 0
     for k, c in enumerate(letters):
         alphabet[ord(c)] = k + 2
     width = len(letters) + 2
-    n = max(k for k in range(1, n + 1) if k == 1 or width**k <= 1 << 26)  # the code table stays in memory for any alphabet
     size = sum(width**k for k in range(1, n + 1))
     sets = [np.unique(np.concatenate(_codes(t, alphabet, width, n))) for t in marks]
     grams = np.unique(np.concatenate(sets))
-    column = np.full(size, -1, np.int32)
-    column[grams] = np.arange(len(grams))
+    column = None
+    if size <= MAX_CODES:
+        column = np.full(size, -1, np.int32)
+        column[grams] = np.arange(len(grams))
     matrix = np.zeros((len(grams), len(marks)), np.float32)
     for j, g in enumerate(sets):
-        matrix[column[g], j] = 1 / np.sqrt(len(g))
-    model = KernelModel(languages, alphabet, width, n, column, matrix, np.zeros((len(marks), len(languages)), np.float32), np.zeros(len(languages), np.float32))
+        matrix[np.searchsorted(grams, g), j] = 1 / np.sqrt(len(g))
+    model = KernelModel(languages, alphabet, width, n, grams, column, matrix, np.zeros((len(marks), len(languages)), np.float32), np.zeros(len(languages), np.float32))
     values, vectors = np.linalg.eigh((matrix.T @ matrix).astype(float))
     root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-6))) @ vectors.T  # K^(-1/2)
     z = np.concatenate([model.kernel(texts[a : a + 256]) for a in range(0, len(texts), 256)]).astype(float) @ root

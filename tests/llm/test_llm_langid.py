@@ -58,3 +58,22 @@ def test_sample_is_bounded_and_stratified(spark):
     rows = [(i, "bala mora", "xx") for i in range(300)] + [(1000 + i, "klem ptah", "yy") for i in range(7)] + [(2000, "b" * 30_000, "zz"), (2001, "1 2", "zz"), (2002, None, "zz")]
     texts, langs = langid.training_sample(documents(spark, rows), rows=40)
     assert len(texts) == 40 and langs.count("yy") == 7 and "zz" not in langs and langs[:2] in (["xx", "yy"], ["yy", "xx"])
+
+
+def test_large_alphabets_keep_the_order(monkeypatch):
+    rows = [(f"{chr(0x4E00 + 7 * i)}{chr(0x4E01 + 7 * i)} bala mora{chr(0x4E02 + 7 * i)}", "xx" if i % 2 else "yy") for i in range(200)]
+    texts = [t for t, _ in rows]
+    model = langid.fit(texts, [v for _, v in rows], landmarks=150)
+    want = [[len(grams(a) & grams(b)) / np.sqrt(len(grams(a)) * len(grams(b))) for b in texts[:150]] for a in texts[:40]]
+    assert model.n == 3 and model.column is None and np.allclose(model.kernel(texts[:40]), want, atol=1e-5)
+    small = corpus()
+    before = langid.fit([t for _, t, _ in small], [v for *_, v in small]).decide([t for _, t, _ in small])
+    monkeypatch.setattr(langid, "MAX_CODES", 0)
+    after = langid.fit([t for _, t, _ in small], [v for *_, v in small]).decide([t for _, t, _ in small])
+    assert before[0] == after[0] and np.allclose(before[1], after[1], atol=1e-5)
+
+
+def test_each_language_has_a_landmark():
+    rows = [("bala mora", "xx"), ("mora tesi", "xx"), ("bala tesi", "xx"), ("λογος και", "zz"), ("και λογος", "zz")]
+    model = langid.fit([t for t, _ in rows], [v for _, v in rows], landmarks=2)
+    assert model.landmarks.shape[1] == 3 and model.decide(["λογος", "tesi"])[0] == ["zz", "xx"]
