@@ -66,6 +66,11 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return some[np.lexsort((ids[some], -scores[some]))[:k]]
 
 
+def _bound(score: int) -> float:
+    """A score as a float that is not above it (beyond 2^53 a float may round up)."""
+    return float(score) if abs(score) <= 1 << 53 else float(np.nextafter(float(score), -np.inf))
+
+
 def _candidates(q: np.ndarray, q_norm: float, bound: float, norms: np.ndarray, unit: np.ndarray) -> np.ndarray | None:
     """Vectors of a chunk that may reach the bound, or None for all."""
     longest = norms.max()
@@ -141,7 +146,7 @@ def search(vectors: DataFrame, queries: Column, k: int, scale: int, id_col: str
                 if dim in by_dim:
                     ids, matrix = by_dim[dim]
                     scores = np.sort(_products(np.array([v], np.int64), matrix)[0][ids != qid])
-                    bound = float(scores[-k]) if len(scores) >= k else -np.inf
+                    bound = _bound(scores[-k]) if len(scores) >= k else -np.inf
                 for d, b, chunks, longest in all_buckets:
                     if d == dim and norm * longest >= bound * (1 - 1e-9 if bound > 0 else 1):
                         rows += [(qid, qkey, v, dim, norm, bound, b, c) for c in range(chunks)]

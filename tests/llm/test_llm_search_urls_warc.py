@@ -166,3 +166,9 @@ def test_derivatives_are_linked(spark, tmp_path):
         data = data[4:]
         records.append(lines["WARC-Record-ID"])
     assert sorted(records) == sorted(r["record_id"] for r in got)
+
+
+def test_bound_beyond_two_to_the_53_keeps_the_kth(spark):
+    rows = [(0, [2.0**30, 1.0]), (1, [2.0**23, 3.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert [tuple(r) for r in topk_search.search(df, F.col("vec_id") == 0, 1, 1).collect()] == [(0, 1, 1, 2**53 + 3)]
