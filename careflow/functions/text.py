@@ -31,7 +31,7 @@ def _folded(c, more: dict[str, str]) -> Column:
     for several one by one, in texts that hold any."""
     several = F.create_map(*(F.lit(x) for pair in L.FOLD_SEVERAL.items() for x in pair))
     c = F.when(
-        c.rlike("[" + "".join(L.FOLD_SEVERAL) + "]"),
+        F.translate(c, "".join(L.FOLD_SEVERAL), "") != c,  # one lookup a letter; a regular expression's class of this size is searched one by one
         F.array_join(F.transform(F.regexp_extract_all(c, F.lit("(?s)(.)"), 1), lambda ch: F.coalesce(F.try_element_at(several, ch), ch)), ""),
     ).otherwise(c)
     one = L.FOLD | more
