@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from careflow.llm import (
+    conversation_repair,
     decontaminate,
     jaccard_join,
     langid,
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_jaccard_join": jaccard_join.op8_jaccard_join,
     "op9_token_counts": token_counts.op9_token_counts,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
+    "op11_conversation_repair": conversation_repair.op11_conversation_repair,
 }
 
 ORACLE: dict[str, str] = {
@@ -35,4 +37,5 @@ ORACLE: dict[str, str] = {
     "op5_warc_derivatives": warc_derivatives.ORACLE_SQL,
     "op6_license_scan": license_scan.ORACLE_SQL,
     "op8_jaccard_join": jaccard_join.ORACLE_SQL,
+    "op11_conversation_repair": conversation_repair.ORACLE_SQL,
 }
