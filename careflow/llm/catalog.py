@@ -9,6 +9,8 @@ from careflow.llm import (
     langid,
     license_scan,
     packing,
+    secret_scan,
+    spelling_variants,
     substring_dedup,
     token_counts,
     topk_search,
@@ -28,6 +30,8 @@ QUERIES = {
     "op9_token_counts": token_counts.op9_token_counts,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
     "op11_conversation_repair": conversation_repair.op11_conversation_repair,
+    "op12_secret_scan": secret_scan.op12_secret_scan,
+    "op13_spelling_variants": spelling_variants.op13_spelling_variants,
 }
 
 ORACLE: dict[str, str] = {
@@ -38,4 +42,5 @@ ORACLE: dict[str, str] = {
     "op6_license_scan": license_scan.ORACLE_SQL,
     "op8_jaccard_join": jaccard_join.ORACLE_SQL,
     "op11_conversation_repair": conversation_repair.ORACLE_SQL,
+    "op13_spelling_variants": spelling_variants.ORACLE_SQL,
 }
