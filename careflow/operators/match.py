@@ -5,27 +5,36 @@ C5 scores a live site against register rows with
 token-set ratios (0-100) of main-normalized text, and keeps the best register
 row per site (strictly greater wins, so ties go to the earliest register row).
 
-Plan: the sites side is the *distinct* (name, address) keys of the live
-table - one row per emergency room, however many snapshots were scraped - and
-it is broadcast after a count; the register streams past it partition by
-partition. Token arrays, set algebra, lengths and the ratio arithmetic are JVM
-expressions, and so are exact bounds that leave most pairs out; only the
-longest common subsequence of the two leftover token strings of the pairs that
-may be a site's best runs in Python, as an Arrow-batched pandas UDF with a
-bit-parallel LCS. The best row per site is
-``row_number() = 1``, limited in every task before the shuffle.
+Plan: the sites are the *distinct* (name, address) keys of the live table - one
+row per emergency room, however many snapshots were scraped. Sites and register
+are normalized once, staged and counted, and cut into blocks; every block of
+sites meets every block of register rows in one cell of a grid (an equi-join of
+block numbers, each cell of bounded size), and a cell sends on one row for each
+of its sites at most. No pair ever becomes a row, and neither side is broadcast
+or limited in size.
+
+Inside a cell an inverted index from tokens to register rows gives the length
+and number of shared tokens of every pair by adding along posting lists. With
+them and the letter counts of both rows a pair's score has exact bounds in
+array arithmetic: no common subsequence at all, and as long as the letters
+allow - for pairs without a shared token too, whose bound is their letters'
+alone. Pairs are taken in order of the upper bound, and the site is done when
+the bound falls under its best score: only those few get the exact longest
+common subsequence (bit-parallel).
 """
 
 from __future__ import annotations
 
-import pandas as pd
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from careflow.functions import lexicon as L
 from careflow.functions.text import normalize_main
-from careflow.plans.sizing import broadcast_if_small, pair_all
+from careflow.plans.sizing import broadcast_if_small, staged
 
 MATCH_KEY = ["facility_name_raw", "address_raw"]
 
@@ -44,86 +53,149 @@ def _lcs_one(a: str, b: str) -> int:
     return len(a) - bin(v).count("1")
 
 
-@F.pandas_udf(T.IntegerType())
-def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Length of the longest common subsequence of two strings (NULL counts as empty)."""
-    return pd.Series([_lcs_one(x or "", y or "") for x, y in zip(a, b)], dtype="int32")
-
-
 def tokens(norm: Column) -> Column:
     """Distinct whitespace tokens of a normalized string (computed once per row, before any pairing)."""
     return F.array_distinct(F.filter(F.split(norm, " "), lambda t: t != ""))
 
 
-def _token_sets(df: DataFrame, ta: str, tb: str, p: str) -> DataFrame:
-    """Set algebra of two token arrays, as columns so each piece is evaluated once per pair: shared length, the two
-    leftovers as sorted strings and their lengths."""
-    df = df.withColumns({
-        p + "i": F.array_intersect(ta, tb),
-        p + "da": F.array_join(F.array_sort(F.array_except(ta, tb)), " "),
-        p + "db": F.array_join(F.array_sort(F.array_except(tb, ta)), " "),
-    })
-    return df.withColumns({
-        p + "s": F.length(F.array_join(p + "i", " ")).cast("double"),
-        p + "la": F.length(p + "da").cast("double"),
-        p + "lb": F.length(p + "db").cast("double"),
-    })
-
-
-def _ratio(ta: str, tb: str, p: str, lcs: Column) -> Column:
-    """Token-set ratio (0-100, public rapidfuzz definition) for a length of the leftovers' common subsequence; it
-    grows with that length."""
-    s, la, lb = F.col(p + "s"), F.col(p + "la"), F.col(p + "lb")
-    sep = F.when(s > 0, F.lit(1.0)).otherwise(F.lit(0.0))
+#: Rows of either side of a cell, and pairs whose bounds are held at once (some ten arrays of 8 bytes a pair).
+SITE_BLOCK, REGISTER_BLOCK, SLAB = 4096, 16_384, 1 << 18
+#: Letters of normalized text.
+_LETTER = np.full(128, -1)
+_LETTER[list(b"abcdefghijklmnopqrstuvwxyz0123456789")] = range(36)
+
+
+class _Field:
+    """One field of a block of rows: its tokens, and for each row the number of tokens, of letters, and of each letter."""
+
+    def __init__(self, rows: list[list[str]]):
+        self.rows = rows
+        self.letters = np.zeros((len(rows), 36), np.int32)
+        for i, some in enumerate(rows):
+            kinds = _LETTER[np.frombuffer("".join(some).encode(), np.uint8)]
+            self.letters[i] = np.bincount(kinds, minlength=36)
+        self.number = np.array([len(some) for some in rows], float)
+        self.total = self.letters.sum(axis=1).astype(float)
+
+    def index(self) -> dict[str, np.ndarray]:
+        """Token -> the rows that hold it."""
+        lists: dict[str, list[int]] = {}
+        for i, some in enumerate(self.rows):
+            for t in some:
+                lists.setdefault(t, []).append(i)
+        return {t: np.array(ids) for t, ids in lists.items()}
+
+
+class _Shared:
+    """What pairs of rows share in one field: tokens (number, letters) and letters of any token."""
+
+    def __init__(self, some: _Field, part: slice, others: _Field, index: dict[str, np.ndarray]):
+        shape = (len(some.rows[part]), len(others.rows))
+        self.number, self.total, self.bag = np.zeros(shape), np.zeros(shape), np.zeros(shape)
+        for i, tokens_ in enumerate(some.rows[part]):
+            for t in tokens_:
+                if t in index:
+                    self.number[i, index[t]] += 1
+                    self.total[i, index[t]] += len(t)
+        for c in np.flatnonzero(some.letters[part].any(axis=0)):
+            self.bag += np.minimum(some.letters[part, c][:, None], others.letters[:, c][None, :])
+        self.sides = some.number[part][:, None], some.total[part][:, None], others.number[None, :], others.total[None, :]
+
+    def bounds(self) -> tuple[np.ndarray, np.ndarray]:
+        """Lowest and highest possible token-set ratio of every pair."""
+        na, ta, nb, tb = self.sides
+        blanks = np.maximum(np.minimum(na, nb) - self.number - 1, 0)
+        return tuple(_ratio(*self.sides, self.number, self.total, lcs) for lcs in (0.0, self.bag - self.total + blanks))
+
+    def exact(self, i: int, a: list[str], js: np.ndarray, rows: list[list[str]], known: dict) -> np.ndarray:
+        """Token-set ratios of row i (tokens a) with rows js."""
+        lcs, x = [], set(a)
+        for b in rows:
+            y = set(b)
+            pair = " ".join(sorted(x - y)), " ".join(sorted(y - x))
+            if pair not in known:
+                known[pair] = _lcs_one(*pair)
+            lcs.append(known[pair])
+        na, ta, nb, tb = self.sides
+        return _ratio(na[i], ta[i], nb[0, js], tb[0, js], self.number[i, js], self.total[i, js], np.array(lcs, float))
+
+
+def _ratio(na, ta, nb, tb, shared, shared_letters, lcs):
+    """Token-set ratio (0-100, public rapidfuzz definition) of rows with na and nb tokens of ta and tb letters, of which
+    they share some, and a length of the leftovers' common subsequence, up to theirs; the ratio grows with that length."""
+    s = shared_letters + np.maximum(shared - 1, 0)
+    la, lb = (t - shared_letters + np.maximum(n - shared - 1, 0) for n, t in ((na, ta), (nb, tb)))
+    sep = np.where(s > 0, 1.0, 0.0)
     sa, sb = s + sep + la, s + sep + lb
-    indel = la + lb - 2 * lcs
-    base = F.when(sa + sb > 0, F.lit(100.0) - F.lit(100.0) * indel / (sa + sb)).otherwise(F.lit(100.0))
-    r_a = F.lit(100.0) - F.lit(100.0) * (sep + la) / (s + sa)
-    r_b = F.lit(100.0) - F.lit(100.0) * (sep + lb) / (s + sb)
-    return (
-        F.when((F.size(ta) == 0) | (F.size(tb) == 0), F.lit(0.0))
-        .when((F.size(p + "i") > 0) & ((la == 0) | (lb == 0)), F.lit(100.0))
-        .when(s == 0, base)
-        .otherwise(F.greatest(base, r_a, r_b))
-    )
-
-
-def _lcs_bound(p: str) -> Column:
-    """No common subsequence is longer than the letters of either leftover that occur in the other at all."""
-    held = lambda x, y: F.length(x) - F.length(F.call_function("translate", F.col(x), F.col(y), F.lit("")))
-    return F.least(held(p + "da", p + "db"), held(p + "db", p + "da")).cast("double")
-
-
-def with_token_set_ratio(df: DataFrame, ta: str, tb: str, out: str) -> DataFrame:
-    """Add ``out`` = token-set ratio (0-100) of the token arrays ``ta`` and ``tb``."""
-    p = f"_{out}_"
-    df = _token_sets(df, ta, tb, p).withColumn(p + "lcs", lcs_length(F.col(p + "da"), F.col(p + "db")).cast("double"))
-    return df.withColumn(out, _ratio(ta, tb, p, F.col(p + "lcs"))).drop(*[p + x for x in ("i", "da", "db", "s", "la", "lb", "lcs")])
-
-
-def _pair_scores(pairs: DataFrame, lcs) -> Column:
-    """0.55 name + 0.30 address + 0.15 city, with ``lcs(prefix)`` as the length of the common subsequence."""
-    city = F.when(F.col("_rc").isNotNull() & F.col("_la").contains(F.col("_rc")), F.lit(100.0)).otherwise(F.lit(0.0))
-    return (F.lit(L.MATCH_WEIGHTS[0]) * _ratio("_lnt", "_rnt", "_n_", lcs("_n_")) + F.lit(L.MATCH_WEIGHTS[1]) * _ratio("_lat", "_rat", "_a_", lcs("_a_"))
-            + F.lit(L.MATCH_WEIGHTS[2]) * city)
-
-
-def pairs_to_verify(site_side: DataFrame, cand: DataFrame) -> DataFrame:
-    """Site and register pairs whose highest possible score reaches the best lowest score of their site.
-
-    Both bounds are JVM expressions (no common subsequence at all; as long as the letters allow), and the score grows
-    with the subsequence, so the best pair of every site is among them: nothing is lost, and only these pairs go on to
-    the exact length in Python."""
-    bounded = lambda sites: _token_sets(_token_sets(pair_all(cand, sites), "_lnt", "_rnt", "_n_"), "_lat", "_rat", "_a_")
-    lowest = bounded(site_side)
-    floor = lowest.groupBy(*MATCH_KEY).agg(F.max(_pair_scores(lowest, lambda p: F.lit(0.0))).alias("_floor"))
-    same = F.lit(True)
-    for k in MATCH_KEY:
-        same = same & F.col(k).eqNullSafe(F.col(f"_f_{k}"))
-    floor = floor.select(*[F.col(k).alias(f"_f_{k}") for k in MATCH_KEY], "_floor")
-    sites = site_side.join(floor, same).drop(*[f"_f_{k}" for k in MATCH_KEY])
-    pairs = bounded(sites)
-    return pairs.filter(_pair_scores(pairs, _lcs_bound) >= F.col("_floor") - 1e-9)
+    indel = la + lb - 2 * np.minimum(lcs, np.minimum(la, lb))
+    base = 100.0 - 100.0 * indel / np.maximum(sa + sb, 1)
+    r_a = 100.0 - 100.0 * (sep + la) / np.maximum(s + sa, 1)
+    r_b = 100.0 - 100.0 * (sep + lb) / np.maximum(s + sb, 1)
+    with_shared = np.where((la == 0) | (lb == 0), 100.0, np.maximum(np.maximum(base, r_a), r_b))
+    return np.where((na == 0) | (nb == 0), 0.0, np.where(s > 0, with_shared, base))
+
+
+def _sum(name, address, city):
+    return L.MATCH_WEIGHTS[0] * name + L.MATCH_WEIGHTS[1] * address + L.MATCH_WEIGHTS[2] * city
+
+
+def best_in_cell(sites: list[dict], register: list[dict]):
+    """(site number, score, register row number) of each site's best row among these, the earliest of equal ones."""
+    names, addresses = (_Field([r[c] for r in register]) for c in ("rnt", "rat"))
+    by_name, by_address = names.index(), addresses.index()
+    cities: dict[str, int] = {}
+    city_of = np.array([cities.setdefault(r["rc"], len(cities)) if r["rc"] is not None else -1 for r in register])  # -1: the last column below
+    order = np.array([r["ord"] if r["ord"] is not None else np.iinfo(np.int64).max for r in register])
+    of_names, of_addresses = (_Field([r[c] for r in sites]) for c in ("lnt", "lat"))
+    step = max(1, SLAB // len(register))
+    for at in range(0, len(sites), step):
+        part = slice(at, at + step)
+        name, address = _Shared(of_names, part, names, by_name), _Shared(of_addresses, part, addresses, by_address)
+        (n_lo, n_hi), (a_lo, a_hi) = name.bounds(), address.bounds()
+        held = np.array([[100.0 if c in s["la"] else 0.0 for c in cities] + [0.0] for s in sites[part]])[:, city_of]
+        floor, top = _sum(n_lo, a_lo, held).max(axis=1), _sum(n_hi, a_hi, held)
+        for i, site in enumerate(sites[part]):
+            possible = np.flatnonzero(top[i] >= floor[i] - 1e-9)
+            possible = possible[np.lexsort((order[possible], -top[i, possible]))]
+            best, known, done, many = None, {}, 0, 8
+            while done < len(possible) and (best is None or top[i, possible[done]] >= best[0] - 1e-9):
+                js = possible[done : done + many]
+                ratios = (f.exact(i, site[mine], js, [register[j][theirs] for j in js], known) for f, mine, theirs in ((name, "lnt", "rnt"), (address, "lat", "rat")))
+                scores = _sum(*ratios, held[i, js])
+                k = np.lexsort((order[js], -scores))[0]
+                if best is None or (scores[k], -order[js[k]]) > (best[0], -order[best[1]]):
+                    best = float(scores[k]), int(js[k])
+                done, many = done + many, 2 * many
+            yield at + i, *best
+
+
+def _block_numbers(rows: DataFrame, name: str, blocks: int, other: str, others: int, *key: str) -> DataFrame:
+    """Each row with the number of its block, once for every block of the other side."""
+    return rows.withColumn(name, F.pmod(F.xxhash64(*key), F.lit(blocks)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
+
+
+def best_rows(sites: DataFrame, register: DataFrame) -> DataFrame:
+    """Per site: its key and ``_b`` (score, id and name of its best register row)."""
+    sites, register = staged(sites, "sites"), staged(register, "register")
+    cores = sites.sparkSession.sparkContext.defaultParallelism
+    n = sites.count()
+    site_blocks = max(math.ceil(n / SITE_BLOCK), min(3 * cores, math.ceil(n / 64)), 1)
+    register_blocks = max(math.ceil(register.count() / REGISTER_BLOCK), 1)
+    left = _block_numbers(sites, "sb", site_blocks, "rb", register_blocks, *MATCH_KEY)
+    right = _block_numbers(register, "rb", register_blocks, "sb", site_blocks, "rid", "rname", "ord")
+    schema = pa.schema([*((k, pa.string()) for k in MATCH_KEY), ("score", pa.float64()), ("ord", pa.int64()), ("rid", pa.string()), ("rname", pa.string())])
+
+    def cell(some: pa.Table, others: pa.Table) -> pa.Table:
+        some, others = some.to_pylist(), others.to_pylist()
+        found = [({k: some[i][k] for k in MATCH_KEY} | {"score": score} | {c: others[j][c] for c in ("ord", "rid", "rname")}) for i, score, j in best_in_cell(some, others)] if some and others else []
+        return pa.Table.from_pylist(found, schema=schema)
+
+    # explicit counts: adaptive execution would put all small cells into one task
+    tasks = max(2 * cores, site_blocks * register_blocks)
+    cells = left.repartition(tasks, "sb", "rb").groupBy("sb", "rb").cogroup(right.repartition(tasks, "sb", "rb").groupBy("sb", "rb"))
+    best = cells.applyInArrow(cell, ", ".join(f"{k} string" for k in MATCH_KEY) + ", score double, ord long, rid string, rname string")
+    first = F.min(F.struct((-F.col("score")).alias("less"), F.col("ord"), F.col("rid"), F.col("rname")))
+    return best.groupBy(*MATCH_KEY).agg(first.alias("b")).select(*MATCH_KEY, F.struct((-F.col("b.less")).alias("_score"), F.col("b.rid").alias("_rid"), F.col("b.rname").alias("_rname")).alias("_b"))
 
 
 def fuzzy_match(live: DataFrame, register: DataFrame, order_col: str = "register_order") -> DataFrame:
@@ -136,22 +208,20 @@ def fuzzy_match(live: DataFrame, register: DataFrame, order_col: str = "register
     sites = live.groupBy(*MATCH_KEY).agg(F.max("scraped_at").alias("matched_at"))
     site_side = sites.select(
         *MATCH_KEY,
-        tokens(normalize_main(F.col("facility_name_raw"))).alias("_lnt"),
-        normalize_main(F.col("address_raw")).alias("_la"),
-    ).withColumn("_lat", tokens(F.col("_la")))
-    cand = register.select(
-        F.col("facility_id_normalized").alias("_rid"), F.col("facility_name").alias("_rname"), F.col(order_col).alias("_ord"),
-        tokens(normalize_main(F.col("facility_name"))).alias("_rnt"), tokens(normalize_main(F.col("full_address"))).alias("_rat"),
-        F.when(F.coalesce(F.col("city"), F.lit("")) != "", normalize_main(F.col("city"))).alias("_rc"),
+        tokens(normalize_main(F.col("facility_name_raw"))).alias("lnt"),
+        normalize_main(F.col("address_raw")).alias("la"),
+    ).withColumn("lat", tokens(F.col("la")))
+    rows = register.select(
+        F.col("facility_id_normalized").alias("rid"), F.col("facility_name").alias("rname"), F.col(order_col).cast("long").alias("ord"),
+        tokens(normalize_main(F.col("facility_name"))).alias("rnt"), tokens(normalize_main(F.col("full_address"))).alias("rat"),
+        F.when(F.coalesce(F.col("city"), F.lit("")) != "", normalize_main(F.col("city"))).alias("rc"),
     )
-    pairs = pairs_to_verify(site_side, cand)
-    pairs = pairs.withColumns({p + "lcs": lcs_length(F.col(p + "da"), F.col(p + "db")).cast("double") for p in ("_n_", "_a_")})
-    scored = pairs.withColumn("_score", _pair_scores(pairs, lambda p: F.col(p + "lcs")))
-    best = Window.partitionBy(*MATCH_KEY).orderBy(F.col("_score").desc(), F.col("_ord").asc())
-    top = scored.withColumn("_rn", F.row_number().over(best)).filter("_rn = 1").select(
-        *MATCH_KEY, F.struct("_score", "_rid", "_rname").alias("_b"))
-    # a site with no register row at all keeps the reference's "no_match" row
-    j = sites.join(top, MATCH_KEY, "left")
+    top = best_rows(site_side, rows)
+    # a site with no register row at all keeps the reference's "no_match" row; NULL keys are keys like others
+    same = F.lit(True)
+    for k in MATCH_KEY:
+        same = same & sites[k].eqNullSafe(top[k])
+    j = sites.join(top, same, "left").select(*[sites[k] for k in MATCH_KEY], "matched_at", "_b")
     sc = F.col("_b._score")
     hit = F.col("_b").isNotNull()
     return j.select(

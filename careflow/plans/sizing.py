@@ -56,18 +56,3 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/staged/{label}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def pair_all(left: DataFrame, right: DataFrame, max_rows: int = 500_000) -> DataFrame:
-    """Every row of ``left`` with every row of ``right``; ``right`` must be bounded and is broadcast.
-
-    Used only where the operator's definition scores every combination (a site
-    against every register row). ``right`` is staged and counted, so the
-    broadcast rests on its real size; beyond ``max_rows`` this fails. The pair
-    work is far larger than either input, so ``left`` is spread over every core
-    (an explicit count is never coalesced by adaptive execution).
-    """
-    right = staged(right, "pairs")
-    if (n := right.count()) > max_rows:
-        raise ValueError(f"{n} rows on the bounded side of an all-pairs step, which takes at most {max_rows}")
-    return left.repartition(left.sparkSession.sparkContext.defaultParallelism).join(F.broadcast(right), how="cross")
