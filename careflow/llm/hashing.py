@@ -11,10 +11,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from careflow.llm.common import give_back
+
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 #: Bytes of text that are hashed at once (about 40 bytes of memory each).
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -101,6 +103,7 @@ def hashed_rows(batches: Iterator[pa.RecordBatch], *names: str, fold: bool = Fal
                 for k, a, b in zip(keys, cuts.tolist(), cuts[1:].tolist()):
                     yield *k, hashes[a:b]
             row = end
+    give_back()
 
 
 def rolling(w: np.ndarray, k: int) -> np.ndarray:
@@ -178,48 +181,24 @@ def counter_of(keys: np.ndarray) -> np.ndarray:
     return (keys >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
-#: Hashes that a task counts at once (16 MB, and four times that while they are sorted).
-COUNT_BLOCK = 1 << 21
-
-
-def frequent_keys(docs: DataFrame, keys: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]]) -> DataFrame:
-    """(k, n): keys that occur twice or more in a block of COUNT_BLOCK keys of a task, with the sum of those counts.
-
-    Of a key's F occurrences at most one a block goes uncounted, so n >= F minus the number of blocks. Keys that are
-    rare everywhere never leave their task."""
-    schema = pa.schema([("k", pa.int64()), ("n", pa.int64())])
-
-    def count(batches):
-        some, held = [], 0
-        for more in chain(keys(batches), [None]):
-            if more is not None:
-                some.append(more)
-                held += len(more)
-            if some and (more is None or held >= COUNT_BLOCK):
-                k, n = np.unique(np.concatenate(some), return_counts=True)
-                k, n, some, held = k[n > 1].view(np.int64), n[n > 1], [], 0
-                for at in range(0, len(k), 65_536):
-                    yield pa.record_batch([pa.array(k[at : at + 65_536]), pa.array(n[at : at + 65_536])], schema=schema)
-
-    return docs.mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
-
-
-MASK_BITS = 26
+#: Bits of a mask: for few keys and at most (128 MB), and bits a key in between.
+MASK_BITS, BITS_A_KEY = (20, 30), 16
 
 
 def key_mask(keys: DataFrame) -> np.ndarray:
-    """Bits of all keys (a long column ``k``) in a mask of fixed size (8 MB): a key without its bit is none of them.
-    A full mask keeps everything, so it saves work and decides nothing."""
-    bit = F.pmod("k", F.lit(1 << MASK_BITS)) + 1
-    rows = keys.groupBy(F.bitmap_bucket_number(bit).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("m")).collect()
-    mask = np.zeros(1 << (MASK_BITS - 3), np.uint8)
-    for r in rows:  # 2^MASK_BITS / 32768 rows of 4 KB at most
+    """Bits of all keys (a long column ``k``) in a mask whose size follows their number, up to a fixed bound: a key
+    without its bit is none of them. A full mask keeps everything, so it saves work and decides nothing."""
+    size = min(max(MASK_BITS[0], (BITS_A_KEY * keys.count()).bit_length()), MASK_BITS[1])
+    bit = F.pmod("k", F.lit(1 << size)) + 1
+    rows = keys.groupBy(F.bitmap_bucket_number(bit).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("m")).toLocalIterator()
+    mask = np.zeros(1 << (size - 3), np.uint8)
+    for r in rows:  # 2^size / 32768 rows of 4 KB at most
         mask[(r["b"] - 1) * 4096 : r["b"] * 4096] = np.frombuffer(r["m"], np.uint8)
     return mask
 
 
 def in_mask(mask: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    bit = keys.view(np.int64) & ((1 << MASK_BITS) - 1)
+    bit = keys.view(np.int64) & (8 * len(mask) - 1)
     return (mask[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 > 0
 
 

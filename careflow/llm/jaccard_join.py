@@ -2,9 +2,10 @@
 
 A document's set holds its distinct ``width``-word shingles; two documents link when 100 * intersection is at least
 75 * union. With all shingles in one global order, two linked sets share a shingle within their prefixes of
-``n - ceil(3 (n + ceil(3n/4)) / 7) + 1`` shingles. The order puts frequent shingles last: they are counted over all
-documents, as far as they repeat within a task, and kept in masks of fixed size. Any order gives the same links; this
-one keeps the lists short.
+``n - ceil(3 (n + ceil(3n/4)) / 7) + 1`` shingles. The order puts frequent shingles last, so that passages
+which many documents share stay out of most prefixes. They are found in two passes over all texts: shingles in one part
+of the hash range are counted exactly, and then all shingles around those that are frequent. They are kept in masks of
+bounded size. Any order gives the same links; this one keeps the lists short.
 
 1. documents with equal sets are one class; classes with equal prefix and size are one group, and only groups post
    their prefix shingles. Shingles that one group alone posts go in one shuffle (hot ones are salted there);
@@ -34,12 +35,15 @@ from pyspark.sql import functions as F
 
 from careflow.llm.common import batches_of, row_key, rows_of, staged, table
 from careflow.llm.components import roots
-from careflow.llm.hashing import Columns, frequent_keys, hashed_rows, in_mask, key_mask, mix, rolling, sequence_hash, word_hashes
+from careflow.llm.hashing import Columns, hashed_rows, in_mask, key_mask, mix, rolling, sequence_hash, word_hashes
 
 WIDTH = 5
 SALTS = 64
-#: Counts from which a shingle goes behind all rarer ones in the global order: frequent, and very frequent.
-FREQUENT = (32, 1024)
+#: Documents from which a shingle goes behind all rarer ones in the global order: frequent, and very frequent.
+FREQUENT = (8, 256)
+#: Of the shingles one in 2^this is counted first, and the others within so many places of a frequent one after that.
+#: Of a passage that is frequent, one in 5,000 of its shingles has no counted one within those places.
+COUNTED_BITS, AROUND = 3, 64
 
 
 def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -89,6 +93,36 @@ def _one(x: np.ndarray, n: int) -> int:
     return int(mix(sequence_hash(x)[None] + np.uint64(n)).view(np.int64)[0]) if n else 0
 
 
+def frequent_shingles(docs: DataFrame, width: int) -> DataFrame:
+    """(k, n): shingles of FREQUENT[0] documents or more, as far as the two passes find them, with their number."""
+    schema = pa.schema([("k", pa.int64())])
+
+    def counted(pick) -> DataFrame:
+        def keys(batches):
+            out = Columns(schema)
+            for _, _, w in hashed_rows(batches, "doc", "row", fold=True):
+                h = rolling(w, width)
+                if len(some := np.unique(h[pick(h)])) and out.add(some):
+                    yield out.take()
+            if out.rows:
+                yield out.take()
+
+        found = docs.mapInArrow(keys, "k long").groupBy("k").agg(F.count("*").alias("n"))
+        return staged(found.filter(F.col("n") >= FREQUENT[0]), "frequent")
+
+    first = lambda h: h >> np.uint64(64 - COUNTED_BITS) == 0
+    mask = docs.sparkSession.sparkContext.broadcast(key_mask(counted(first).select("k")))
+
+    def near(h: np.ndarray) -> np.ndarray:
+        at = np.flatnonzero(first(h) & in_mask(mask.value, h))
+        edges = np.zeros(len(h) + 1, np.int32)
+        np.add.at(edges, np.maximum(at - AROUND, 0), 1)
+        np.add.at(edges, np.minimum(at + AROUND + 1, len(h)), -1)
+        return np.cumsum(edges[:-1]) > 0
+
+    return counted(near)
+
+
 def parity_bits(s: np.ndarray) -> bytes:
     """Parity of the number of hashes in each of 2^k >= n equal parts of the hash range. Sets differ in at least as
     many members as their bits differ, since a member of one set alone turns one bit."""
@@ -229,13 +263,8 @@ def components(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text
     """Per row: doc, row (hash of the text), n (set size), component_id."""
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"), row_key(text_col).alias("row"))
-
-    def keys(batches):
-        for _, _, s in _sets(batches, width):
-            yield s
-
-    frequent = staged(frequent_keys(docs, keys).filter(F.col("n") >= FREQUENT[0]), "frequent")
-    order = spark.sparkContext.broadcast([key_mask(frequent.filter(F.col("n") >= n).select("k")) for n in FREQUENT])  # 8 MB each, fixed
+    frequent = frequent_shingles(docs, width)
+    order = spark.sparkContext.broadcast([key_mask(frequent.filter(F.col("n") >= n).select("k")) for n in FREQUENT])  # of bounded size
     signed = staged(signatures(docs, width, order), "signatures")
     classes = staged(signed.filter("n > 0 AND doc IS NOT NULL").groupBy("c", "g", "n", "bits").agg(F.min("doc").alias("first"), F.min_by("row", "doc").alias("row")), "classes")
     groups = classes.groupBy("g").agg(F.min("c").alias("lead"), F.count("*").alias("many"))

@@ -143,23 +143,37 @@ def test_word_hashes_follow_the_words(monkeypatch, block):
     assert folded["A"] == folded["a"] != folded["B"] == folded["b"] and folded["É"] != folded["é"]
 
 
-def test_frequent_keys_miss_one_occurrence_a_block(spark, monkeypatch):
-    docs = documents(spark, [(i, "a b" if i % 2 else "q%d a" % i) for i in range(80)]).repartition(5)
+def passage_documents(n):
+    """n documents of 200 words of their own around one passage of 60 words."""
+    rnd = random.Random(9)
+    own = lambda i: [f"w{i}x{rnd.randrange(10**6)}" for _ in range(100)]
+    passage = [f"p{k}" for k in range(60)]
+    return [(i, " ".join(own(i) + passage + own(i))) for i in range(n)], passage
+
+
+def test_shingles_of_a_shared_passage_are_frequent(spark):
+    rows, passage = passage_documents(40)
+    docs = documents(spark, [*rows, (90, None), (91, "p1 p2")]).select(F.col("doc_id").alias("doc"), "text", F.xxhash64("text").alias("row"))
+    got = {r["k"]: r["n"] for r in jaccard_join.frequent_shingles(docs, 5).collect()}
+    assert got == dict.fromkeys(jaccard_join.shingles(" ".join(passage)).view(np.int64).tolist(), 40)
 
-    def keys(batches):
-        for b in batches:
-            for t in b.column("text").to_pylist():
-                yield hashing.word_hashes(t)
 
-    got = {r["k"]: r["n"] for r in hashing.frequent_keys(docs.select("text"), keys).collect()}
-    a, b, q = hashing.word_hashes("a b q4").view(np.int64).tolist()
-    assert 75 <= got[a] <= 80 and 35 <= got[b] <= 40 and q not in got
+def test_a_shared_passage_makes_no_long_lists(spark, monkeypatch):
+    kept = {}
+    stage = jaccard_join.staged
+    monkeypatch.setattr(jaccard_join, "staged", lambda df, label: kept.setdefault(label, stage(df, label)) if label in ("postings", "open") else stage(df, label))
+    rows, _ = passage_documents(120)
+    found = {r["doc"]: r["component_id"] for r in jaccard_join.components(documents(spark, rows)).collect()}
+    assert found == {i: i for i, _ in rows}
+    assert kept["postings"].count() == 0 and kept["open"].count() == 0
 
 
 def test_key_mask_holds_every_key(spark):
     mask = hashing.key_mask(spark.range(1, 2000).select((F.col("id") * 7919 - 9_000_000).alias("k")))
     keys = np.arange(1, 2000) * 7919 - 9_000_000
     assert hashing.in_mask(mask, keys).all() and hashing.in_mask(mask, keys + 1).mean() < 0.01
+    assert len(mask) == 1 << 17 and len(hashing.key_mask(spark.range(200_000).select(F.col("id").alias("k")))) == 1 << 19
+    assert not hashing.key_mask(spark.range(0).select(F.col("id").alias("k"))).any()
 
 
 def test_sketch_counts_bound_every_key(spark):
