@@ -26,10 +26,14 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+#: The characters that stand for several, as one literal of the SQL language (a call for each entry takes a second).
+_SEVERAL = "map(" + ", ".join("'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'" for pair in L.FOLD_SEVERAL.items() for x in pair) + ")"
+
+
 def _folded(c, more: dict[str, str]) -> Column:
     """Lower-case ASCII parts: characters that stand for one ASCII character in one translate pass, those that stand
     for several one by one, in texts that hold any."""
-    several = F.create_map(*(F.lit(x) for pair in L.FOLD_SEVERAL.items() for x in pair))
+    several = F.expr(_SEVERAL)
     c = F.when(
         F.translate(c, "".join(L.FOLD_SEVERAL), "") != c,  # one lookup a letter; a regular expression's class of this size is searched one by one
         F.array_join(F.transform(F.regexp_extract_all(c, F.lit("(?s)(.)"), 1), lambda ch: F.coalesce(F.try_element_at(several, ch), ch)), ""),

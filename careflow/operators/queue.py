@@ -8,12 +8,19 @@ removes the read-then-insert race of one-at-a-time reservation).
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from careflow.functions import lexicon as L
 from careflow.functions.text import haversine_km, make_id
 from careflow.operators.views import active_queue
+from careflow.plans.sizing import broadcast_if_small, staged
 
 
 def next_position(queue: DataFrame) -> DataFrame:
@@ -28,32 +35,47 @@ def call_time(window_start: Column, position: Column) -> Column:
     return F.timestamp_add("MINUTE", (position * L.MINUTES_PER_POSITION).cast("int"), window_start)
 
 
-def assign_positions(requests: DataFrame, queue: DataFrame, bucket_unit: str = "hour") -> DataFrame:
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted rows with their partition and their number (from 1) among the partition's rows of the same facility."""
+    part, last, many = TaskContext.get().partitionId(), None, 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        facility = batch.column("facility_id")
+        code = facility.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        starts = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+        number = np.arange(1, len(code) + 1) - np.repeat(starts, np.diff(starts, append=len(code)))
+        first, end = facility[0].as_py(), facility[-1].as_py()
+        if many and first == last:
+            number[: starts[1] if len(starts) > 1 else len(code)] += many
+        last, many = end, int(number[-1])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(code), part, np.int32)), pa.array(number.astype(np.int64))], names=[*batch.schema.names, "_part", "_rn"])
+
+
+def assign_positions(requests: DataFrame, queue: DataFrame) -> DataFrame:
     """E5: position = base (D3, else 1) + dense rank within the facility by (created_at, request_id) - 1.
 
-    Skew-safe numbering: a facility's requests are split into time buckets;
-    per-bucket counts (a small aggregate) give each bucket its offset by a
-    running sum, and rows are numbered within (facility, bucket). No task ever
-    holds all requests of a hot facility. Requests without a creation time are
-    numbered last in their facility, requests without a facility among
-    themselves.
+    Distributed prefix sum: the requests are dealt by range of (facility, time, id) and numbered inside their
+    partition as they stream by; the written rows' counts per facility and partition, summed up in partition order,
+    give each partition its offset. A hot facility is cut into as many partitions as its share of the rows, whatever
+    its times are: one hour, or no time at all, may hold all of them. Requests without a creation time are numbered
+    last in their facility, requests without a facility among themselves.
     """
-    bucket = F.date_trunc(bucket_unit, F.col("created_at"))
-    req = requests.withColumn("_bucket", bucket)
-    counts = req.groupBy("facility_id", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    wrun = Window.partitionBy("facility_id").orderBy(F.col("_bucket").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(
-        F.col("facility_id").alias("_ofid"), F.col("_bucket").alias("_obucket"), F.coalesce(F.sum("_n").over(wrun), F.lit(0)).alias("_offset"))
+    spark = requests.sparkSession
+    cols = ["request_id", "facility_id", "created_at", "arrival_window_start", "arrival_window_end"]
+    order = [F.col("facility_id").asc_nulls_first(), F.col("created_at").asc_nulls_last(), F.col("request_id").asc()]
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = requests.select(*cols).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    schema = StructType([*dealt.schema.fields, StructField("_part", IntegerType()), StructField("_rn", LongType())])
+    numbered = staged(dealt.mapInArrow(_numbered, schema), "positions")
+    counts = numbered.groupBy("facility_id", "_part").agg(F.max("_rn").alias("_n"))
+    before = Window.partitionBy("facility_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
+    offsets = counts.select(F.col("facility_id").alias("_fid"), F.col("_part").alias("_opart"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     base = next_position(queue).withColumnRenamed("facility_id", "_bid")
-    win = Window.partitionBy("facility_id", "_bucket").orderBy("created_at", "request_id")
-    numbered = req.withColumn("_rn", F.row_number().over(win)).join(
-        offsets, F.col("facility_id").eqNullSafe(F.col("_ofid")) & F.col("_bucket").eqNullSafe(F.col("_obucket")))
-    j = numbered.join(base, numbered.facility_id == base._bid, "left")
-    pos = (F.coalesce(F.col("next_position"), F.lit(1)) + F.col("_offset") + F.col("_rn") - 1).cast("int")
-    return j.select(
-        "request_id", "facility_id", "created_at", "arrival_window_start", "arrival_window_end",
-        pos.alias("queue_position"),
-    ).withColumn("estimated_call_time", call_time(F.col("arrival_window_start"), F.col("queue_position")))
+    bases = offsets.join(base, F.col("_fid") == F.col("_bid"), "left").select("_fid", "_opart", (F.coalesce("next_position", F.lit(1)) + F.col("_offset") - 1).alias("_before"))
+    j = numbered.join(broadcast_if_small(bases), F.col("facility_id").eqNullSafe(F.col("_fid")) & (F.col("_part") == F.col("_opart")))
+    return j.select(*cols, (F.col("_before") + F.col("_rn")).cast("int").alias("queue_position")).withColumn(
+        "estimated_call_time", call_time(F.col("arrival_window_start"), F.col("queue_position")))
 
 
 def remaining_minutes(call: Column, now: Column) -> Column:

@@ -3,15 +3,19 @@
 Plan shape (see README, "Scale"):
 * the ranking of a facility depends on an intake only through its request
   key (CTAS level, patient latitude, longitude), so intakes are first reduced
-  to their distinct request keys, hash-partitioned by that key;
+  to their distinct request keys;
 * the in-region candidate rows (the facility register with its live state) are
-  computed once, staged, counted, and broadcast to the keys: the pairs keep
-  the keys' partitioning, so no pair is ever shuffled;
-* the intake-independent min/max domains (D8) are one aggregate over the
-  staged candidates;
-* per request key a window computes the distance domain, the worst-copy values
-  (C8) and the top 12 (E4); the result is joined back to every intake by an
-  equi-join on the request key.
+  computed once, staged and counted; the intake-independent min/max domains
+  (D8) are one aggregate over them;
+* a spatial tree (``rank_tree``) gives each key the nearest and farthest
+  candidate, which its distance domain needs, and then the few rows that can
+  be among its first twelve: keys and candidates are never paired out;
+* those rows are scored exactly; per key a window takes the worst-copy values
+  (C8) and the top 12 (E4), and the result is joined back to every intake by
+  an equi-join on the request key.
+
+The order of all candidates for one request (E6) scores every row, as it
+returns every row.
 """
 
 from __future__ import annotations
@@ -21,8 +25,9 @@ from pyspark.sql import functions as F
 
 from careflow.functions import lexicon as L
 from careflow.functions.text import haversine_km
+from careflow.operators import rank_tree as RT
 from careflow.operators.views import in_region_or_unknown
-from careflow.plans.sizing import staged
+from careflow.plans.sizing import broadcast_if_small, staged
 
 REQUEST_KEY = ["provisional_ctas_level", "user_latitude", "user_longitude"]
 ROW_KEY = ["facility_id_normalized", "facility_name_raw", "address_raw"]
@@ -34,8 +39,6 @@ METRICS = {  # output name -> candidate column
 }
 #: Further columns of a recommendation.
 SHOWN = ["total_people_er", "avg_wait_room_minutes_prev_day", "avg_stretcher_wait_minutes_prev_day"]
-#: Candidate rows (about 300 bytes each) up to which they are broadcast.
-MAX_CANDIDATES = 500_000
 
 
 def fit_penalty(level: Column, facility_type: Column) -> Column:
@@ -71,33 +74,49 @@ def domain_min_max(candidates: DataFrame) -> DataFrame:
 
 
 def _candidates(live_joined: DataFrame) -> DataFrame:
+    """In-region candidate rows with an id each and the min/max domains of the metrics (staged)."""
     cols = ROW_KEY + ["facility_name", "city", "odhf_facility_type", "latitude", "longitude"] + list(METRICS.values()) + SHOWN
-    rows = staged(in_region_or_unknown(live_joined).select(*cols), "rank-candidates")
-    if (n := rows.count()) > MAX_CANDIDATES:
-        raise ValueError(f"{n} candidate rows; ranking pairs every request with at most {MAX_CANDIDATES} of them, which are broadcast")
-    return rows
+    rows = staged(in_region_or_unknown(live_joined).select(*cols, F.monotonically_increasing_id().alias("_cid")), "rank-candidates")
+    stats = domain_min_max(rows).first().asDict()  # one row
+    return rows.withColumns({k: F.lit(v).cast("double") for k, v in stats.items()})
 
 
-def score_pairs(keys: DataFrame, live_joined: DataFrame) -> DataFrame:
-    """Every in-region candidate row scored for every distinct request key."""
-    cand = _candidates(live_joined)
-    stats = domain_min_max(cand).first().asDict()  # one row
-    cand = cand.withColumns({k: F.lit(v).cast("double") for k, v in stats.items()})
-    parts = keys.sparkSession.sparkContext.defaultParallelism
-    # the partitioning by request key holds for all that follows (an explicit count is not coalesced)
-    parts = max(parts, int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    # one text column stands for the key: windows normalize doubles, and would not see a partitioning by them as theirs
+def _keys(requests: DataFrame) -> DataFrame:
+    """Distinct request keys; one text column stands for the key (windows normalize doubles)."""
     one = F.concat_ws("|", *[F.coalesce((F.col(c) + 0).cast("string"), F.lit("-")) for c in REQUEST_KEY])
-    pairs = keys.select(*REQUEST_KEY).distinct().withColumn("_key", one).repartition(parts, "_key").join(F.broadcast(cand), how="cross")
-    lvl = F.col("provisional_ctas_level")
-    pairs = pairs.withColumn(
-        "distance_km",
-        F.coalesce(haversine_km(F.col("user_latitude"), F.col("user_longitude"), F.col("latitude"), F.col("longitude")), F.lit(0.0)),
-    )
-    w = Window.partitionBy("_key")
-    pairs = pairs.withColumns({"_dist_lo": F.min("distance_km").over(w), "_dist_hi": F.max("distance_km").over(w)})
+    return requests.select(*REQUEST_KEY).distinct().withColumn("_key", one)
+
+
+def _static(level: Column) -> Column:
+    """The score but for its distance part, which is second in order of the sum."""
     n = lambda m: minmax_normalize(F.col(METRICS[m]), F.col(f"_{m}_lo"), F.col(f"_{m}_hi"))
-    pen = fit_penalty(lvl, F.col("odhf_facility_type"))
+    wts = L.RANK_WEIGHTS
+    return F.lit(wts[0]) * n("wait") + F.lit(wts[2]) * n("occupancy") + F.lit(wts[3]) * n("waiting") + F.lit(wts[4]) * n("depth") + F.lit(wts[5]) * fit_penalty(level, F.col("odhf_facility_type"))
+
+
+def _slim(candidates: DataFrame) -> DataFrame:
+    """What the tree needs of a candidate row."""
+    levels = [F.lit(v).cast("int") for v in RT.LEVEL_CLASSES]
+    return staged(candidates.select(
+        F.col("_cid").alias("cid"), F.xxhash64(F.coalesce(F.concat(F.lit("f"), "facility_id_normalized"), F.lit("-"))).alias("unit"),
+        F.col("latitude").cast("double").alias("latitude"), F.col("longitude").cast("double").alias("longitude"), _marked().alias("marked"),
+        *(_static(v).alias(f"static{i}") for i, v in enumerate(levels)), *(fit_penalty(v, F.col("odhf_facility_type")).alias(f"pen{i}") for i, v in enumerate(levels)),
+    ), "rank-tree")
+
+
+def _marked() -> Column:
+    return F.lower(F.coalesce(F.col("odhf_facility_type"), F.lit(""))).contains(L.ACUITY_FILTER_MARKER)
+
+
+def _distance(lat: str, lon: str) -> Column:
+    return F.coalesce(haversine_km(F.col("user_latitude"), F.col("user_longitude"), F.col(lat), F.col(lon)), F.lit(0.0))
+
+
+def _scored(pairs: DataFrame) -> DataFrame:
+    """Pairs of a request key (with its distance domain) and a candidate row with distance, penalty and score."""
+    pairs = pairs.withColumn("distance_km", _distance("latitude", "longitude"))
+    n = lambda m: minmax_normalize(F.col(METRICS[m]), F.col(f"_{m}_lo"), F.col(f"_{m}_hi"))
+    pen = fit_penalty(F.col("provisional_ctas_level"), F.col("odhf_facility_type"))
     wts = L.RANK_WEIGHTS
     raw = (
         F.lit(wts[0]) * n("wait")
@@ -112,24 +131,38 @@ def score_pairs(keys: DataFrame, live_joined: DataFrame) -> DataFrame:
 
 def rank_order(request: tuple[int, float | None, float | None], live_joined: DataFrame) -> DataFrame:
     """All candidates for one request (level, latitude, longitude), ordered by (fit_penalty, score)."""
-    spark = live_joined.sparkSession
-    key = spark.createDataFrame([request], "provisional_ctas_level int, user_latitude double, user_longitude double")
-    w = Window.partitionBy("_key").orderBy("fit_penalty", "score", *[F.col(c).asc_nulls_first() for c in ROW_KEY])
-    return score_pairs(key, live_joined).withColumn("rank_position", F.row_number().over(w)).select(
+    cand = _candidates(live_joined)
+    own = dict(zip(REQUEST_KEY, zip(request, ("int", "double", "double"))))
+    rows = cand.withColumns({c: F.lit(v).cast(t) for c, (v, t) in own.items()})
+    lo, hi = rows.agg(F.min(_distance("latitude", "longitude")), F.max(_distance("latitude", "longitude"))).first()
+    rows = _scored(rows.withColumns({"_dist_lo": F.lit(lo).cast("double"), "_dist_hi": F.lit(hi).cast("double")}))
+    w = Window.orderBy("fit_penalty", "score", *[F.col(c).asc_nulls_first() for c in ROW_KEY])
+    return rows.withColumn("rank_position", F.row_number().over(w)).select(
         "rank_position", *ROW_KEY, "distance_km", "score", "fit_penalty", F.col("odhf_facility_type").alias("facility_type"))
 
 
+def contending_pairs(requests: DataFrame, live_joined: DataFrame, k: int) -> DataFrame:
+    """Scored pairs of every distinct request key and the candidate rows that can be among its first k: all rows of
+    every facility that has one there, and few others."""
+    cand = _candidates(live_joined)
+    slim, keys = _slim(cand), staged(_keys(requests), "rank-keys")
+    ends = RT.extremes(keys, slim).join(keys, "_key")
+    domain = ends.groupBy("_key").agg(F.min(_distance("lat", "lon")).alias("_dist_lo"), F.max(_distance("lat", "lon")).alias("_dist_hi"))
+    keys = staged(keys.join(domain, "_key"), "rank-keys")
+    found = RT.contenders(keys, slim, k)
+    return _scored(found.join(broadcast_if_small(cand), "_cid").join(keys, "_key"))
+
+
 def recommend(requests: DataFrame, live_joined: DataFrame, k: int = L.RECOMMENDATIONS_PER_INTAKE) -> DataFrame:
     """Per intake: worst-copy rank values (C8), acuity filter (B5), enrichment (H38, B10), top k by score."""
-    pairs = score_pairs(requests, live_joined)
+    pairs = contending_pairs(requests, live_joined, k)
     lvl = F.col("provisional_ctas_level")
     # Several candidate rows of one facility take the score, penalty and distance of its worst-ranked copy
     copies = Window.partitionBy("_key", "facility_id_normalized")
     pairs = pairs.withColumn("_worst", F.max(F.struct("fit_penalty", "score", "distance_km")).over(copies))
     pairs = pairs.withColumns({c: F.col(f"_worst.{c}") for c in ("fit_penalty", "score", "distance_km")})
     # Runs after scoring, so dropped rows still shaped the min/max domains
-    t = F.lower(F.coalesce(F.col("odhf_facility_type"), F.lit("")))
-    pairs = pairs.filter(~((lvl <= 3) & t.contains(L.ACUITY_FILTER_MARKER)))
+    pairs = pairs.filter(~((lvl <= 3) & _marked()))
     total = (
         F.coalesce(F.col("wait_time_non_priority_minutes"), F.lit(0))
         + (F.col("distance_km") * 2).cast("int")

@@ -10,7 +10,9 @@ turns' text.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from careflow.functions import lexicon as L
@@ -103,3 +105,23 @@ def validate_payload(payload: Column) -> Column:
     checks.append(F.when(wrong("duration_hours", whole("duration_hours") >= 0), F.lit("range:duration_hours")))
     checks.append(F.when(wrong("risk_score", whole("risk_score").between(0, 100)), F.lit("range:risk_score")))
     return F.array_sort(F.concat(named("missing", F.array_except(expected, keys)), named("extra", F.array_except(keys, expected)), F.array_compact(F.array(*checks))))
+
+
+GOOD, BAD, UNREADABLE = "good", "bad", "unreadable"
+
+
+def judge_replies(replies: DataFrame, reply_col: str = "reply") -> DataFrame:
+    """J5 + J6: every reply with its payload, violations and verdict: good, bad (readable but in violation of the
+    contract) or unreadable (no JSON object in it)."""
+    found = replies.withColumn("payload", extract_json(F.col(reply_col)))
+    found = found.withColumn("violations", F.when(F.col("payload").isNotNull(), validate_payload(F.col("payload"))))
+    return found.withColumn("verdict", F.when(F.col("payload").isNull(), UNREADABLE).when(F.size("violations") > 0, BAD).otherwise(GOOD))
+
+
+def write_by_verdict(judged: DataFrame, path: str) -> dict[str, int]:
+    """Good rows and rejects (G4's table of bad payloads) in one write, partitioned by verdict, so that readers of either
+    read no file of the other; the counts come out of the same pass."""
+    seen = Observation(f"verdicts-{uuid.uuid4().hex[:12]}")
+    counts = [F.count_if(F.col("verdict") == v).alias(v) for v in (GOOD, BAD, UNREADABLE)]
+    judged.observe(seen, *counts).write.mode("overwrite").partitionBy("verdict").parquet(path)
+    return dict(seen.get)

@@ -9,9 +9,6 @@ from __future__ import annotations
 
 import secrets
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from careflow.functions import lexicon as L
@@ -24,6 +21,7 @@ from careflow.operators import views as V
 from careflow.plans import domain as D
 from careflow.plans import oracle_text as OT
 from careflow.plans.oracle_domain import with_ctes
+from careflow.plans.registry import ORACLE, QUERIES, register  # noqa: F401
 
 NOW = "1998-06-01 00:00:00"  # the "current time" parameter of time-relative views
 
@@ -32,20 +30,6 @@ def now_col():
     return F.to_timestamp_ntz(F.lit(NOW))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
-
-def register(name: str, sql: str | None = None):
-    def deco(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            ORACLE[name] = sql
-        return fn
-
-    return deco
-
-
 # --------------------------------------------------------------------------- shared pieces
 def _latest(spark, sf):
     return V.live_latest(D.live_status(spark, sf))

@@ -6,7 +6,7 @@ from careflow.functions import lexicon as L
 from careflow.operators.transcripts import PY_WS
 from careflow.plans import domain as D
 from careflow.plans import oracle_text as OT
-from careflow.plans.catalog import register
+from careflow.plans.registry import register
 from careflow.plans.oracle_domain import _site_address, _site_name
 from careflow.sources import er_pages as ER
 

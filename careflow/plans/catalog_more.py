@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import contextlib
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from careflow.functions import lexicon as L
-from careflow.functions.text import normalize_scored
+from careflow.functions import triage_scored as TS
+from careflow.functions.text import compact_text, normalize_scored
 from careflow.operators import views as V
 from careflow.plans import domain as D
 from careflow.plans import oracle_text as OT
 from careflow.plans.catalog import (
     SQL_RECOMMEND,
+    SQL_TRIAGE_SCORED,
     _dashboard,
     _rank_sql,
     _secure,
@@ -22,6 +27,8 @@ from careflow.plans.catalog import (
 )
 from careflow.plans.catalog_text import SQL_DECISIONS, _decisions
 from careflow.plans.oracle_domain import with_ctes
+from careflow.session import ensure_checkpoint_dir
+from careflow.sources import publish as PB
 
 DETAIL_FACILITY = "fac_1"
 # the secured view repeats a queue row once per matched live row, so the live columns complete the order
@@ -129,3 +136,52 @@ def q_published_views(spark, sf):
     V.register_views(spark, D.live_status(spark, sf), D.virtual_queue(spark, sf), D.facility_master(spark, sf),
                      D.facility_match(spark, sf), D.intake_sessions(spark, sf), D.staff_scope(spark, sf), now_col())
     return spark.sql("SELECT user_name, facility_id, incoming_queue_count FROM vw_staff_dashboard_secure")
+
+
+# --------------------------------------------------------------------------- H35, H43
+@register("partial_views", with_ctes(f"""
+  SELECT intake_session_id, emergency_flags, provisional_ctas_level, provisional_ctas_label, risk_score, risk_band, queue_eligible,
+    recommended_facility_type, recommended_urgency_band FROM ({SQL_TRIAGE_SCORED}) _t"""))
+def q_partial_views(spark, sf):
+    """The flags, level, risk and policy views of every intake, one after the other."""
+    d = D.intake_texts(spark, sf)
+    cols = d.columns
+    out = TS.policy_view(TS.risk_view(TS.level_view(TS.flags_view(d))))
+    return out.select("intake_session_id", *[c for c in out.columns if c not in cols])
+
+
+@register("compact_texts", """
+  SELECT doc_id, nullif(trim(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g'), ' '), '') AS compact FROM documents""")
+def q_compact_texts(spark, sf):
+    """Every document's text with runs of blanks collapsed."""
+    return D.table(spark, sf, "documents").select("doc_id", compact_text("text").alias("compact"))
+
+
+# --------------------------------------------------------------------------- A13, A14, A17, A20, A21
+def _fresh(spark, name: str) -> str:
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+@register("published_live", with_ctes("SELECT * FROM live WHERE scraped_at = (SELECT max(scraped_at) FROM live) OR wait_time_non_priority_minutes > 60"))
+def q_published_live(spark, sf):
+    """A13 + A20: the live table published, then replaced by a selection of itself, then left alone by an empty load."""
+    path = _fresh(spark, "published")
+    PB.publish(D.live_status(spark, sf), path, "live table", "scraped_at")
+    old = spark.read.parquet(path)
+    newest = old.agg(F.max("scraped_at")).first()[0]
+    PB.publish(old.filter((F.col("scraped_at") == F.lit(newest)) | (F.col("wait_time_non_priority_minutes") > 60)), path, "live table", "scraped_at")
+    with contextlib.suppress(PB.EmptyLoad):
+        PB.publish(spark.read.parquet(path).filter("false"), path, "live table", "scraped_at")
+    return spark.read.parquet(path)
+
+
+@register("snapshot_loads", with_ctes("""
+  SELECT CAST(scraped_at AS DATE) AS snapshot_date, CASE WHEN hash_even THEN 'even' ELSE 'odd' END AS load_id, count(*) AS rows_loaded, max(scraped_at) AS snapshot_at
+  FROM (SELECT *, extract(hour FROM scraped_at) % 2 = 0 AS hash_even FROM live) _l GROUP BY ALL"""))
+def q_snapshot_loads(spark, sf):
+    """A14 + A17 + A21: two loads appended by snapshot date, one of them twice; rows and newest snapshot of each day and load."""
+    path, live = _fresh(spark, "snapshots"), D.live_status(spark, sf)
+    even = F.hour("scraped_at") % 2 == 0
+    for load, rows in (("even", live.filter(even)), ("odd", live.filter(~even)), ("even", live.filter(even))):
+        PB.append_load(rows, path, load)
+    return spark.read.parquet(path).groupBy("snapshot_date", "load_id").agg(F.count("*").alias("rows_loaded"), F.max("scraped_at").alias("snapshot_at"))

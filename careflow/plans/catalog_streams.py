@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
+from pyspark.sql import functions as F
+
+from careflow.operators import match as MT
 from careflow.plans.catalog import SQL_TRIAGE_SCORED, register, view_sql
 from careflow.plans.catalog_ingest import _GOLD, _er_sql, match_refresh_sql
 from careflow.plans.oracle_domain import with_ctes
 from careflow.sources import er_pages as ER
 from careflow.streaming import streams as ST
 
+#: Time by which all crawls of the tables are closed.
+CLOSED = dt.datetime(2100, 1, 1)
+
 
 @register("latest_stream", view_sql("SELECT * FROM latest"))
 def q_latest_stream(spark, sf):
@@ -21,10 +29,12 @@ def q_queue_depth_stream(spark, sf):
     return ST.run_depth(spark, sf)
 
 
-@register("dedup_stream", with_ctes("SELECT DISTINCT facility_name_raw, address_raw FROM live"))
+@register("dedup_stream", with_ctes("""
+  SELECT * EXCLUDE (_rn) FROM (SELECT *, row_number() OVER (PARTITION BY facility_name_raw, address_raw ORDER BY scraped_at, scrape_id) AS _rn FROM live) _l WHERE _rn = 1"""))
 def q_dedup_stream(spark, sf):
-    """One row per site survives the streaming dedup (keys compared; which snapshot is kept is arrival order)."""
-    return ST.run_dedup(spark, sf).select("facility_name_raw", "address_raw")
+    """The earliest whole row of every site, sent by event-time timers; the crawls are closed at the end."""
+    got = ST.run_dedup(spark, sf, upto=CLOSED)
+    return got.withColumn("scraped_at", F.col("scraped_at").cast("timestamp_ntz"))
 
 
 @register("refresh_stream_gold", _er_sql(f"SELECT {_GOLD} FROM rec"))
@@ -38,7 +48,7 @@ def q_refresh_stream_gold(spark, sf):
 def q_refresh_stream_matches(spark, sf):
     """The match table after the streamed refresh (stored matches, fuzzy matches of new sites, overrides)."""
     root = ST.run_refresh(spark, sf)
-    return ST.read_keyed(spark, f"{root}/matches")
+    return ST.read_keyed(spark, f"{root}/matches", MT.MATCH_KEY)
 
 
 @register("score_stream", with_ctes(SQL_TRIAGE_SCORED))
@@ -63,5 +73,6 @@ def q_queue_depth_windows(spark, sf):
 
 @register("queue_depth_windows_stream", _SQL_DEPTH_WINDOWS)
 def q_queue_depth_windows_stream(spark, sf):
-    """S3: the same windows from a watermarked stream (update mode, merged into a keyed table)."""
-    return ST.run_windowed_depth(spark, sf)
+    """S3: the same windows from a watermarked stream (update mode, appended to a keyed table); one micro-batch reads
+    the whole table, so no row comes behind the watermark."""
+    return ST.run_windowed_depth(spark, sf, lateness=ST.DEPTH_LATENESS)

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from careflow.functions import triage_scored as TS
 from careflow.operators import transcripts as TR
 from careflow.plans import domain as D
 from careflow.plans import oracle_text as OT
-from careflow.plans.catalog import register
+from careflow.plans.registry import register
+from careflow.session import ensure_checkpoint_dir
 
 _S = TR.PY_WS
 
@@ -172,14 +175,27 @@ SQL_PAYLOADS = f"""
         FROM (SELECT conv_id, {_reply_sql("array_to_string", "chr(10)", OT.q)} AS reply FROM ({SQL_DECISIONS}) _d) _r) _p"""
 
 
+def _replies(spark, sf):
+    """Each conversation's decision as reply text."""
+    reply = F.expr(_reply_sql("array_join", "char(10)", OT.q))
+    return _decisions(spark, sf).select("conv_id", reply.alias("reply"))
+
+
 @register("decision_payloads", "SELECT * FROM (" + SQL_PAYLOADS + ") _q")
 def q_decision_payloads(spark, sf):
     """J5 + J6 + G4: each conversation's decision as reply text, extracted back as JSON and validated over all 16 keys."""
-    reply = F.expr(_reply_sql("array_join", "char(10)", OT.q))
-    d = _decisions(spark, sf).select("conv_id", reply.alias("reply"))
-    p = d.select("conv_id", TR.extract_json(F.col("reply")).alias("payload"))
+    p = TR.judge_replies(_replies(spark, sf))
     return p.select(
         "conv_id", "payload", F.col("payload").isNotNull().alias("accepted"),
-        F.get_json_object("payload", "$.provisional_ctas_level").cast("int").alias("parsed_ctas_level"),
-        F.when(F.col("payload").isNotNull(), TR.validate_payload(F.col("payload"))).alias("violations"),
+        F.get_json_object("payload", "$.provisional_ctas_level").cast("int").alias("parsed_ctas_level"), "violations",
     )
+
+
+@register("decision_rejects", f"""
+  SELECT conv_id, payload, violations, CASE WHEN payload IS NULL THEN 'unreadable' ELSE 'bad' END AS verdict
+  FROM ({SQL_PAYLOADS}) _q WHERE payload IS NULL OR len(violations) > 0""")
+def q_decision_rejects(spark, sf):
+    """J5 + J6 reject table: replies without a JSON object or in violation of the contract, read from the split table."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/decisions-{uuid.uuid4().hex[:12]}"
+    TR.write_by_verdict(TR.judge_replies(_replies(spark, sf)).select("conv_id", "payload", "violations", "verdict"), path)
+    return spark.read.parquet(path).filter(F.col("verdict") != TR.GOOD)

@@ -2,19 +2,20 @@
 
 Each stream reads the same tables as its batch twin as a file stream (a table
 is one Parquet file or a folder of part files) and applies the same
-projection. Results of aggregates go to a Parquet table that is partitioned by
-a hash bucket of its keys: a micro-batch rewrites only the buckets that its
-rows fall in. Stream state (aggregates, dedup keys) lives in Spark's state
-store under the query's checkpoint folder. Every run takes its folder as a
-parameter: run again with the same folder, a stream goes on from the last
-committed batch, and a replayed batch writes the same rows again.
+projection. Results of aggregates go to a keyed table (``keyed_tables``) to
+which a micro-batch appends its changed rows alone. Stream state (aggregates,
+per-key rows and timers) lives in Spark's RocksDB state store under the
+query's checkpoint folder. Every run takes its folder as a parameter: run
+again with the same folder, a stream goes on from the last committed batch,
+and a replayed batch writes the same rows again.
 
 * S2 latest: streaming ``max_by`` per (name, address) in update mode; a late
   snapshot only replaces a stored one when its (scraped_at, scrape_id) is
   newer, because the state keeps the maximum.
-* S3 depth: streaming count/avg per facility over active queue rows.
-* S4 dedup: first arrival per (name, address); with a delay, the state of a
-  key is dropped once the watermark passes it, and later rows count anew.
+* S3 depth: streaming count/avg per facility over active queue rows; by
+  event-time window, with the state of closed windows dropped.
+* S4 dedup: the earliest row per (name, address) by event time, sent when the
+  watermark has passed it (``transformWithState`` with event-time timers).
 * S1 refresh: page stream -> parse -> per micro-batch (one crawl) first
   record per site -> append gold/silver/bronze, match and upsert matches.
 * J9 score stream: stateless scored triage of arriving intake texts.
@@ -22,11 +23,15 @@ committed batch, and a replayed batch writes the same rows again.
 
 from __future__ import annotations
 
+import contextlib
+import datetime as dt
 import uuid
+from collections.abc import Iterator
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StructType
 
 from careflow.functions import triage_scored as TS
 from careflow.operators import match as MT
@@ -34,6 +39,7 @@ from careflow.operators import views as V
 from careflow.plans import domain as D
 from careflow.session import ensure_checkpoint_dir
 from careflow.sources import er_pages as ER
+from careflow.streaming.keyed_tables import append_changes, read_keyed, seed_keyed
 
 LIVE_KEY = ["facility_name_raw", "address_raw"]
 
@@ -52,55 +58,25 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-# --------------------------------------------------------------------------- keyed tables
-BUCKETS = 32
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+@contextlib.contextmanager
+def _state_store(spark: SparkSession, provider: str = ROCKSDB):
+    """State on the executors' disks, uploaded to the checkpoint folder as changes: not bounded by their memory."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, provider)
     try:
-        spark.read.parquet(path)
-    except AnalysisException:
-        return False
-    return True
-
-
-def read_keyed(spark: SparkSession, root: str) -> DataFrame | None:
-    """A keyed table's rows (None when nothing was written yet)."""
-    return spark.read.parquet(f"{root}/rows").drop("_bucket") if _exists(spark, f"{root}/rows") else None
-
-
-def merge_keyed(batch: DataFrame, batch_id: int, root: str, keys: list[str]) -> None:
-    """Upsert a micro-batch (unique keys) into a keyed table: only the buckets that hold its keys are rewritten.
-
-    The merged buckets are first written beside the table, so that no job overwrites what it reads; replaying a
-    batch writes the same rows."""
-    spark = batch.sparkSession
-    incoming = batch.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")).persist()
-    try:
-        touched = [r["_bucket"] for r in incoming.select("_bucket").distinct().collect()]  # BUCKETS at most
-        if not touched:
-            return
-        merged = incoming
-        if _exists(spark, f"{root}/rows"):
-            current = spark.read.parquet(f"{root}/rows").filter(F.col("_bucket").isin(touched))
-            merged = MT.upsert(current.select(*incoming.columns), incoming, keys)
-        beside = f"{root}/merging/{batch_id:09d}"
-        merged.repartition("_bucket").write.mode("overwrite").parquet(beside)
-        new = spark.read.schema(merged.schema).parquet(beside)
-        new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(f"{root}/rows")
+        yield
     finally:
-        incoming.unpersist()
-
-
-def seed_keyed(df: DataFrame, root: str, keys: list[str]) -> None:
-    """Write the initial rows of a keyed table, unless it has rows already (a restart)."""
-    if not _exists(df.sparkSession, f"{root}/rows"):
-        merge_keyed(df, 0, root, keys)
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
 def _run(query_writer, checkpoint: str):
-    q = query_writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
+    with _state_store(SparkSession.active()):
+        q = query_writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        q.awaitTermination()
     return q
 
 
@@ -115,9 +91,9 @@ def latest_stream(live: DataFrame) -> DataFrame:
 def run_latest(spark: SparkSession, sf_dir: str, root: str | None = None, files: int | None = None) -> DataFrame:
     root = root or work_dir(spark, "latest")
     agg = latest_stream(D.live_status_from(table_stream(spark, sf_dir, "events", files)))
-    w = agg.writeStream.outputMode("update").foreachBatch(lambda df, bid: merge_keyed(df, bid, root + "/table", LIVE_KEY))
+    w = agg.writeStream.outputMode("update").foreachBatch(lambda df, bid: append_changes(df, bid, root + "/table", LIVE_KEY))
     _run(w, root + "/checkpoint")
-    return read_keyed(spark, root + "/table")
+    return read_keyed(spark, root + "/table", LIVE_KEY)
 
 
 # --------------------------------------------------------------------------- S3
@@ -129,27 +105,88 @@ def depth_stream(queue: DataFrame) -> DataFrame:
 def run_depth(spark: SparkSession, sf_dir: str, root: str | None = None, files: int | None = None) -> DataFrame:
     root = root or work_dir(spark, "depth")
     agg = depth_stream(D.virtual_queue_from(table_stream(spark, sf_dir, "orders", files)))
-    w = agg.writeStream.outputMode("update").foreachBatch(lambda df, bid: merge_keyed(df, bid, root + "/table", ["facility_id"]))
+    w = agg.writeStream.outputMode("update").foreachBatch(lambda df, bid: append_changes(df, bid, root + "/table", ["facility_id"]))
     _run(w, root + "/checkpoint")
-    return read_keyed(spark, root + "/table")
+    return read_keyed(spark, root + "/table", ["facility_id"])
 
 
 # --------------------------------------------------------------------------- S4
-def dedup_stream(live: DataFrame, delay: str | None = None) -> DataFrame:
-    """First arrival per (name, address), for good or, with ``delay``, within that watermark delay.
+class EarliestRow(StatefulProcessor):
+    """Per key: the row with the smallest (scraped_at, scrape_id), sent once no earlier one can come.
+
+    State: the smallest row so far, until an event-time timer at its time fires (the watermark has passed it); then
+    the time alone, which marks the key as sent, and with ``forget_ms`` not even that after this long."""
+
+    def __init__(self, schema: StructType, forget_ms: int | None = None):
+        self.schema, self.forget_ms = schema, forget_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.best = handle.getValueState("best", self.schema)
+        self.sent = handle.getValueState("sent", "at timestamp")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        first = min((tuple(r[c] for c in self.schema.names) for r in rows if not r["_beat"]), key=self._rank, default=None)
+        if first is not None and not self.sent.exists():
+            kept = tuple(self.best.get()) if self.best.exists() else None
+            if kept is None or self._rank(first) < self._rank(kept):
+                if kept is not None:
+                    self.handle.deleteTimer(self._timer(kept))
+                self.best.update(first)
+                self.handle.registerTimer(self._timer(first))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        if not self.best.exists():
+            self.sent.clear()
+            return
+        row = tuple(self.best.get())
+        self.best.clear()
+        self.sent.update((row[self.schema.names.index("scraped_at")],))
+        if self.forget_ms is not None:
+            self.handle.registerTimer(self._timer(row) + self.forget_ms)
+        yield Row(**dict(zip(self.schema.names, row)))
 
-    Without a delay the state holds one key per site ever seen, as many as the table of sites has rows."""
-    if delay is None:
-        return live.dropDuplicates(LIVE_KEY)
-    return live.withWatermark("scraped_at", delay).dropDuplicatesWithinWatermark(LIVE_KEY)
+    def close(self) -> None:
+        pass
 
+    def _rank(self, row: tuple) -> tuple[float, str]:
+        names = self.schema.names  # times come with a zone from the state, in local time from the input
+        return row[names.index("scraped_at")].timestamp(), row[names.index("scrape_id")] or ""
 
-def run_dedup(spark: SparkSession, sf_dir: str, root: str | None = None, files: int | None = None) -> DataFrame:
+    def _timer(self, row: tuple) -> int:
+        return int(self._rank(row)[0] * 1000) + 1
+
+
+def dedup_stream(live: DataFrame, beats: DataFrame, delay: str, forget_ms: int | None = None) -> DataFrame:
+    """The earliest row per (name, address). Rows may come out of order by ``delay``; later ones are dropped.
+    ``beats`` (scraped_at) are punctuation: no earlier row will come. They drive the watermark when no rows do."""
+    schema = live.schema
+    marks = beats.select(*(F.col("scraped_at") if f.name == "scraped_at" else F.lit("" if f.name in LIVE_KEY else None).cast(f.dataType).alias(f.name) for f in schema), F.lit(True).alias("_beat"))
+    both = live.withColumn("_beat", F.lit(False)).unionByName(marks).withWatermark("scraped_at", delay)
+    return both.groupBy(*LIVE_KEY).transformWithState(EarliestRow(schema, forget_ms), schema, "Append", "eventTime")
+
+
+def punctuate(spark: SparkSession, root: str, at: dt.datetime) -> None:
+    """Say that no row earlier than ``at`` will come to the stream in this folder; its next run sends what is due."""
+    spark.createDataFrame([(at,)], "scraped_at timestamp").coalesce(1).write.mode("append").parquet(f"{root}/beats")
+
+
+def run_dedup(spark: SparkSession, sf_dir: str, root: str | None = None, files: int | None = None, delay: str = "1 hour", upto: dt.datetime | None = None) -> DataFrame:
+    """Earliest rows of the sites, as far as the watermark has come; with ``upto`` the crawls up to then are closed."""
     root = root or work_dir(spark, "dedup")
     live = D.live_status_from(table_stream(spark, sf_dir, "events", files)).withColumn("scraped_at", F.col("scraped_at").cast("timestamp"))
-    w = dedup_stream(live).writeStream.outputMode("append").format("parquet").option("path", root + "/table")
-    _run(w, root + "/checkpoint")
-    return spark.read.parquet(root + "/table")
+    punctuate(spark, root, dt.datetime(1970, 1, 2))
+
+    def run():
+        beats = spark.readStream.schema("scraped_at timestamp").parquet(f"{root}/beats")
+        _run(dedup_stream(live, beats, delay).writeStream.outputMode("append").format("parquet").option("path", root + "/table"), root + "/checkpoint")
+
+    run()
+    if upto is not None:
+        punctuate(spark, root, upto)
+        run()
+    return spark.read.schema(live.schema).parquet(root + "/table")
 
 
 # --------------------------------------------------------------------------- S1
@@ -162,7 +199,7 @@ def refresh_batch(batch: DataFrame, batch_id: int, root: str, register: DataFram
         rows.write.mode("overwrite").parquet(f"{root}/{name}/{part}")  # a replayed batch writes its folder again
     gold = spark.read.parquet(f"{root}/gold/{part}")  # reread the written layer: cuts lineage
     new = MT.apply_overrides(MT.fuzzy_match(gold, register), overrides)
-    merge_keyed(new, batch_id, f"{root}/matches", MT.MATCH_KEY)
+    append_changes(new, batch_id, f"{root}/matches", MT.MATCH_KEY)
 
 
 def run_refresh(spark: SparkSession, sf_dir: str, root: str | None = None, files: int | None = None) -> str:
@@ -211,10 +248,10 @@ def windowed_depth(queue: DataFrame, window: str = DEPTH_WINDOW, lateness: str |
 
 
 def run_windowed_depth(spark: SparkSession, sf_dir: str, root: str | None = None, files: int | None = None, lateness: str | None = None) -> DataFrame:
-    """A backfill arrives in any order, so it runs without a lateness bound; a live stream passes DEPTH_LATENESS."""
+    """A backfill whose files come in any order runs without a lateness bound; a live stream passes DEPTH_LATENESS."""
     root = root or work_dir(spark, "depth-windows")
     agg = windowed_depth(D.virtual_queue_from(table_stream(spark, sf_dir, "orders", files)), lateness=lateness)
     w = agg.writeStream.outputMode("update").foreachBatch(
-        lambda df, bid: merge_keyed(df, bid, root + "/table", ["facility_id", "window_start"]))
+        lambda df, bid: append_changes(df, bid, root + "/table", ["facility_id", "window_start"]))
     _run(w, root + "/checkpoint")
-    return read_keyed(spark, root + "/table")
+    return read_keyed(spark, root + "/table", ["facility_id", "window_start"])
