@@ -30,7 +30,9 @@ from pyspark.sql import functions as F
 from careflow.llm.common import batches_of, rows_of, staged, table
 
 #: Words that a task keeps at most, as they stand and without marks; a full table is emptied, which changes no result.
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 600_000
+#: Characters of text that are encoded at once (a longer text on its own).
+BLOCK_CHARS = 1 << 20
 #: Plan rows up to which the plan is broadcast (under 4 MB); beyond it the slots are joined by shuffle.
 BROADCAST_PLAN_ROWS = 65_536
 
@@ -75,39 +77,35 @@ class WordEncoder:
         return {s: raw[a:b] for s, a, b in zip(stems, [0, *ends], ends)}
 
     def _learn(self, new: set[str]) -> None:
-        parts, odd, marks = [], [], self.marks
-        for w in new:
-            mark = marks.get(w[-1], b"")
-            stem = w[:-1] if mark else w
-            if stem.isascii() and stem.isalpha():
-                parts.append((w, stem.lower(), mark))
-            elif _letters(stem):
-                parts.append((w, stem, mark))
-            else:
-                odd.append(w)
         if len(self.stems) >= CACHE_ENTRIES:
             self.stems.clear()
-        stems = self.stems
-        for some in batched({s for _, s, _ in parts if s not in stems}, 4096):
-            stems.update(self._encode_letters(list(some)))
-        self.words.update((w, stems[s] + m) for w, s, m in parts)
+        stems, odd = self.stems, []
+        by_mark: dict[str, list[str]] = {"": [], **{m: [] for m in self.marks}}
+        for w in new:
+            by_mark.get(w[-1], by_mark[""]).append(w)
+        for mark, some in by_mark.items():
+            cut = [w[:-1] for w in some] if mark else some
+            known = [s.lower() if s.isascii() and s.isalpha() else s if _letters(s) else None for s in cut]
+            for few in batched(set(known).difference(stems, (None,)), 4096):
+                stems.update(self._encode_letters(list(few)))
+            end = self.marks.get(mark, b"")
+            self.words.update({w: stems[s] + end for w, s in zip(some, known) if s is not None})
+            odd += [w for w, s in zip(some, known) if s is None]
         if odd:
             self.words.update(self._encode(odd))
 
     def forget(self) -> None:
         self.words, self.stems = {"": b""}, {}
 
-    def ids(self, text: str) -> bytes:
-        words = text.replace("\n", " ").split(" ")
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text; words that are new to all of them are learned at once."""
+        split = [t.replace("\n", " ").split(" ") for t in texts]
         if len(self.words) >= CACHE_ENTRIES:
             self.words = {"": b""}
-        ids = list(map(self.words.get, words))
-        if None in ids:
-            new = [i for i, known in enumerate(ids) if known is None]
-            self._learn({words[i] for i in new})
-            for i in new:
-                ids[i] = self.words[words[i]]
-        return b"".join(ids)
+        if new := set().union(*split).difference(self.words):
+            self._learn(new)
+        of = self.words.__getitem__
+        return [b"".join(map(of, words)) for words in split]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -119,6 +117,19 @@ def _encoder(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
+def _blocks(rows: Iterator[tuple]) -> Iterator[list[tuple[int, str]]]:
+    """Rows (id, text) in blocks of some million characters; null texts are empty."""
+    some, held = [], 0
+    for i, text in rows:
+        some.append((i, text or ""))
+        held += len(text or "")
+        if held >= BLOCK_CHARS or len(some) == 512:
+            yield some
+            some, held = [], 0
+    if some:
+        yield some
+
+
 def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per piece: id, piece, start, length, ids_crc32."""
     schema = pa.schema([("id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
@@ -128,11 +139,12 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 0, id_c
         enc = _encoder(tokenizer)
 
         def rows():
-            for i, text in rows_of(batches, "id", "text"):
-                ids = memoryview(enc.ids(text or "") + end)
-                for n, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    yield i, n, at // 4, len(part) // 4, zlib.crc32(part)
+            for some in _blocks(rows_of(batches, "id", "text")):
+                for (i, _), found in zip(some, enc.ids([text for _, text in some])):
+                    ids = memoryview(found + end)
+                    for n, at in enumerate(range(0, len(ids), 4 * capacity)):
+                        part = ids[at : at + 4 * capacity]
+                        yield i, n, at // 4, len(part) // 4, zlib.crc32(part)
 
         try:
             yield from batches_of(rows(), schema)

@@ -62,7 +62,7 @@ def test_pipeline_equals_plain_python(spark, fixture):
     enc = packing._encoder(packing.public_tokenizers.path("word_bpe_49k.json"))
     want = []
     for i, t in left.items():
-        ids = np.frombuffer(enc.ids(t) + bytes(4), "<u4")
+        ids = np.frombuffer(enc.ids([t])[0] + bytes(4), "<u4")
         want += [(i, a // 2048, len(p := ids[a : a + 2048]), zlib.crc32(p.tobytes())) for a in range(0, len(ids), 2048)]
     got = corpus_pipeline.run(spark, path)
     assert sorted((r["doc_id"], r["piece"], r["length"], r["ids_crc32"]) for r in got.collect()) == sorted(want)
