@@ -13,6 +13,8 @@ repeated records with equal ids; an empty table gives no rows; other columns are
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,8 +24,12 @@ CRLF = "\r\n"
 #: Elements whose content is no text, and elements that end a line.
 HIDDEN = ("script", "style", "noscript", "template")
 BLOCKS = "address|article|aside|blockquote|body|br|dd|div|dl|dt|figure|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul"
-#: Named entities that are resolved (the ampersand last).
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&"))
+#: All named character references of HTML that end in a semicolon, from the standard library's table.
+ENTITIES = {name[:-1]: text for name, text in html5.items() if name.endswith(";")}
+REFERENCE = "^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+#: Numbers 0x80 to 0x9F stand for the letters of windows-1252, those without one for themselves.
+_C1 = "".join(map(chr, range(0x80, 0xA0)))
+_CP1252 = "".join(bytes([b]).decode("cp1252", "ignore") or chr(b) for b in range(0x80, 0xA0))
 
 
 def _steps() -> list[tuple[str, str]]:
@@ -34,13 +40,38 @@ def _steps() -> list[tuple[str, str]]:
 _SPACES = [(r"[\x20\t\r\f\x0b\x{a0}]+", " "), (r" ?\n[ \n]*", "\n"), (r"^[ \n]+|[ \n]+$", "")]
 
 
+def _literal(text: str) -> str:
+    """A string literal of Spark's SQL, all but letters and digits escaped."""
+    return "'" + "".join(c if c.isascii() and c.isalnum() else f"\\u{ord(c):04x}" if ord(c) < 0x10000 else f"\\U{ord(c):08x}" for c in text) + "'"
+
+
+_TABLE = "map(" + ", ".join(f"'{name}', {_literal(text)}" for name, text in ENTITIES.items()) + ")"
+
+
+def resolved(text: Column) -> Column:
+    """Named and numeric character references replaced, each once (what they give is not read again). Numbers that are
+    no character give U+FFFD; unknown names and references without a semicolon stay."""
+    table = F.expr(_TABLE)
+    parts = F.split(text, "&")
+
+    def one(part: Column) -> Column:
+        name = F.regexp_extract(part, REFERENCE, 1)
+        code = F.when(name.rlike("^#[xX]"), F.conv(F.substring(name, 3, 6), 16, 10)).otherwise(F.substring(name, 2, 7)).try_cast("long")
+        known = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+        char = F.translate(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"), _C1, _CP1252)
+        by = F.when(name.startswith("#"), F.when(known, char).otherwise("\ufffd")).when(name != "", F.try_element_at(table, name))
+        return F.when(by.isNull(), F.concat(F.lit("&"), part)).otherwise(F.concat(by, F.substr(part, F.length(name) + 2)))
+
+    whole = F.concat(parts[0], F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts)), one), ""))
+    return F.when(text.contains("&"), whole).otherwise(text)
+
+
 def plain_text(html: Column) -> Column:
-    """Text of a page: no hidden elements, comments or tags; a line for each block; entities of ENTITIES resolved."""
+    """Text of a page: no hidden elements, comments or tags; a line for each block; character references resolved."""
     text = F.coalesce(html, F.lit(""))
     for pattern, by in _steps():
         text = F.regexp_replace(text, pattern, by)
-    for entity, by in ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(by))
+    text = resolved(text)
     for pattern, by in _SPACES:
         text = F.regexp_replace(text, pattern, by)
     return text
@@ -121,12 +152,28 @@ def op5_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derivatives(page_responses(table(spark, sf_dir, "pages", "page_id", "url", "html")))
 
 
+def _sql_resolved(text: str) -> str:
+    """References replaced, in DuckDB; the names' table is the column ``names``."""
+    name = f"regexp_extract(p, '{REFERENCE}', 1)"
+    code = f"CASE WHEN n ILIKE '#x%' THEN list_reduce([0::BIGINT] || list_transform(string_split(lower(substr(n, 3)), ''), lambda d: instr('0123456789abcdef', d)::BIGINT - 1), lambda x, d: x * 16 + d) ELSE substr(n, 2)::BIGINT END"
+    char = f"CASE WHEN c BETWEEN 1 AND 55295 OR c BETWEEN 57344 AND 1114111 THEN translate(chr(c::INT), {_sql_string(_C1)}, {_sql_string(_CP1252)}) ELSE chr(65533) END"
+    by = f"CASE WHEN n LIKE '#%' THEN list_transform([{code}], lambda c: {char})[1] WHEN n <> '' THEN names[n] END"
+    one = f"list_transform([{name}], lambda n: coalesce({by} || substr(p, length(n) + 2), '&' || p))[1]"
+    return f"list_transform([string_split({text}, '&')], lambda ps: ps[1] || coalesce(array_to_string(list_transform(ps[2:], lambda p: {one}), ''), ''))[1]"
+
+
+def _sql_string(text: str) -> str:
+    return "(" + " || ".join(f"chr({ord(c)})" for c in text) + ")"
+
+
+_NAMES = f"MAP([{', '.join(repr(n) for n in ENTITIES)}], [{', '.join(_sql_string(t) for t in ENTITIES.values())}])"
+
+
 def _sql_text(source: str) -> str:
     out = f"coalesce({source}, '')"
     for pattern, by in _steps():
         out = f"regexp_replace({out}, '{pattern}', '{by}', 'g')".replace("\n", "\\n") if by != "\n" else f"regexp_replace({out}, '{pattern}', chr(10), 'g')"
-    for entity, by in ENTITIES:
-        out = "replace({}, '{}', '{}')".format(out, entity.replace("'", "''"), by.replace("'", "''"))
+    out = _sql_resolved(out)
     for pattern, by in _SPACES:
         out = f"regexp_replace({out}, '{pattern}', {'chr(10)' if by == chr(10) else repr(by)}, 'g')"
     return out
@@ -138,8 +185,8 @@ def _sql_urn(expr: str) -> str:
 
 _TITLE = _sql_text("regexp_extract(payload, '(?is)<title\\b[^>]*>(.*?)</title', 1)")
 ORACLE_SQL = f"""
-WITH r AS (SELECT {_sql_urn("concat_ws('|', 'response', page_id::VARCHAR, url)")} AS src, url AS target_uri, coalesce(html, '') AS payload,
-  strftime(to_timestamp(1704067200 + page_id) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%SZ') AS warc_date FROM pages),
+WITH names AS (SELECT {_NAMES} AS names), r AS (SELECT names, {_sql_urn("concat_ws('|', 'response', page_id::VARCHAR, url)")} AS src, url AS target_uri, coalesce(html, '') AS payload,
+  strftime(to_timestamp(1704067200 + page_id) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%SZ') AS warc_date FROM pages, names),
 t AS (SELECT *, {_sql_text("payload")} AS text, nullif(trim(replace({_TITLE}, chr(10), ' ')), '') AS title,
   {_sql_urn("'conversion|' || src")} AS conv_id, {_sql_urn("'metadata|' || src")} AS meta_id, chr(13) || chr(10) AS nl FROM r),
 f AS (SELECT *, concat_ws(nl, 'source-record-id: ' || src, 'source-payload-digest: sha256:' || sha256(payload), 'source-payload-length: ' || strlen(payload),

@@ -168,6 +168,31 @@ def test_derivatives_are_linked(spark, tmp_path):
     assert sorted(records) == sorted(r["record_id"] for r in got)
 
 
+REFERENCES = {
+    "caf&eacute; &#233; &#x2019; &copy; &middot;": "café é \u2019 © ·",
+    "&amp;lt; &amp;#233; &amp;&amp;": "&lt; &#233; &&",
+    "&bogus; &nbsp &lt a&b; & && &; &#; &#x; &#xZ;": "&bogus; &nbsp &lt a&b; & && &; &#; &#x; &#xZ;",
+    "&#0; &#xD800; &#1114112; &#9999999; &#128; &#x80; &#129;.": "\ufffd \ufffd \ufffd \ufffd € € \x81.",
+    "&lt;b&gt; &quot;x&quot; &apos;y&apos; &#39; &bsol;&dollar;1": "<b> \"x\" 'y' ' \\$1",
+    "&#x1F600;&#128512; &Afr; &NotEqualTilde; &CounterClockwiseContourIntegral;": "\U0001f600\U0001f600 \U0001d504 \u2242\u0338 \u2233",
+    "a&NewLine;b&Tab;c&nbsp;&#160;&#xa0;d": "a\nb c d",
+    "&copy;": "©", "": "",
+}
+
+
+def test_character_references_are_resolved(spark):
+    df = spark.createDataFrame([(t,) for t in REFERENCES], "t string")
+    assert {r[0]: r[1] for r in df.select("t", warc_derivatives.plain_text(F.col("t"))).collect()} == REFERENCES
+    assert len(warc_derivatives.ENTITIES) > 2000
+
+
+def test_long_pages_and_clashing_columns(spark):
+    html = "<p>caf&eacute; &amp; more</p>" * 100_000
+    pages = spark.createDataFrame([(7, "http://a/", html, "r", "h", "p", "d")], "page_id long, url string, html string, record_id string, http string, payload string, warc_date string")
+    found = warc_derivatives.derivatives(warc_derivatives.page_responses(pages)).filter("warc_type = 'conversion'").first()
+    assert found["block"] == "\n".join(["café & more"] * 100_000) and found["target_uri"] == "http://a/" and found["refers_to"].startswith("<urn:uuid:")
+
+
 def test_bound_beyond_two_to_the_53_keeps_the_kth(spark):
     rows = [(0, [2.0**30, 1.0]), (1, [2.0**23, 3.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
