@@ -1,7 +1,7 @@
 """License scan with MinHash bands over overlapping text windows (operator 6, DataFrame functions only).
 
-Templates are license notices; each falls in a window class by its length: windows of W words every W / 4 words,
-so that a notice of up to 3W/4 + 1 words lies whole in a window. A window's and a template's 3-word shingles get
+Templates are license notices and whole license texts; each falls in a window class by its length: windows of W words
+every W / 4 words, so that a template of up to 3W/4 + 1 words lies whole in a window; W doubles as far as needed. A window's and a template's 3-word shingles get
 BANDS MinHash values, one row a band: with Jaccard similarity s they collide in some band with probability
 1 - (1 - s)^BANDS. A notice that is whole in a window of its class has s >= 1/6, and mostly s >= 1/2: missed with
 probability under 2e-4 and under 6e-8. Windows that share a band value with a template of their class are verified:
@@ -18,14 +18,17 @@ doc_id and text); an empty table gives no rows; other columns are neither read n
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from careflow.llm.common import row_key, staged, table
 
 SHINGLE, BANDS, MIN_CONTAINMENT = 3, 24, 0.85
-CLASSES = (8, 16, 32, 64, 128, 256)
-#: Templates (rows) up to which their values are built into the plan.
+CLASSES = tuple(1 << k for k in range(3, 31))
+#: Templates (rows) up to which their values are built into one plan; more are scanned for in several passes.
 MAX_TEMPLATES = 2_000
 BLANKS = r"[\x20\x09-\x0D]+"
 PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'’‘“”«»©"
@@ -46,7 +49,30 @@ NOTICES = [
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-]
+    ("All-rights-reserved", "All rights reserved."),
+    ("AGPL", "GNU Affero General Public License"),
+    ("LGPL-header", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at"),
+    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
+    ("MIT-text", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, "
+     "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, "
+     "subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", "
+     "WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR "
+     "COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER "
+     "DEALINGS IN THE SOFTWARE."),
+    ("ISC-text", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in "
+     "all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE "
+     "AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER "
+     "TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("BSD-3-Clause-text", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain "
+     "the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following "
+     "disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+     "products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, "
+     "BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, "
+     "INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED "
+     "AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF "
+     "SUCH DAMAGE."),
+]
 
 
 def words_of(text: Column) -> Column:
@@ -81,8 +107,12 @@ def scan(docs: DataFrame, templates: DataFrame, id_col: str = "doc_id", text_col
     """(doc, row, license, windows, first_word, containment): per text and license, the verified windows, where the
     first of them starts (from 0), and the best containment. row is the hash of the text."""
     known = staged(template_table(templates), "templates")
-    if known.count() > MAX_TEMPLATES:
-        raise ValueError(f"more than {MAX_TEMPLATES} templates: split them into several scans")
+    passes = 1 if (many := known.count()) <= MAX_TEMPLATES else 2 * math.ceil(many / MAX_TEMPLATES)
+    parts = [known.filter(F.pmod(F.xxhash64("license"), F.lit(passes)) == i) for i in range(passes)]
+    return reduce(DataFrame.unionByName, [_scan(docs, part, id_col, text_col) for part in parts])
+
+
+def _scan(docs: DataFrame, known: DataFrame, id_col: str, text_col: str) -> DataFrame:
     # the shingles that give a template's minimum in some band, by window class; at most BANDS for each template
     lowest = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.array_min(F.transform("hashes", lambda h: F.struct(F.xxhash64(h, k).alias("m"), h.alias("h"))))["h"])
     seeds = known.select("window", F.explode(lowest).alias("h")).distinct()

@@ -62,8 +62,11 @@ def test_notices_are_found_in_any_place(spark):
     rows = [(i, filler[: 7 * i] + " " + text.upper().replace(" ", "\n") + " " + filler) for i, (_, text) in enumerate(license_scan.NOTICES)]
     rows += [(100 + i, text) for i, (_, text) in enumerate(license_scan.NOTICES)] + [(200, filler), (201, "released under the license of")]
     got = scan(spark, rows)
-    assert set(got) == {(i, n) for i, (n, _) in enumerate(license_scan.NOTICES)} | {(100 + i, n) for i, (n, _) in enumerate(license_scan.NOTICES)}
-    assert all(r["containment"] == 1.0 for r in got.values())
+    inside = {"MIT-text": "MIT-grant", "ISC-text": "ISC-grant", "BSD-3-Clause-text": "BSD-clause"}  # whole texts hold their first notice
+    want = {(at + i, m) for at in (0, 100) for i, (n, _) in enumerate(license_scan.NOTICES) for m in (n, inside.get(n)) if m}
+    assert set(got) == want
+    names = [n for n, _ in license_scan.NOTICES]
+    assert all(r["containment"] == 1.0 for (doc, n), r in got.items() if names[doc % 100] == n)
 
 
 def test_license_odd_rows(spark):
@@ -73,6 +76,27 @@ def test_license_odd_rows(spark):
     assert not scan(spark, [])
 
 
+def test_templates_of_any_length_are_found(spark):
+    text = lambda k, n: " ".join(f"w{k}x{i * i % 997}y{i % 89}" for i in range(n))
+    templates = spark.createDataFrame([("short", "all rights go"), ("T400", text(1, 400)), ("T3000", text(2, 3000)), ("torn", text(3, 500))], "license string, text string")
+    torn = " ".join(w if i % 40 else "q" for i, w in enumerate(text(3, 500).split()))
+    rows = [(1, text(1, 400)), (2, "a " * 7001 + text(2, 3000) + " b" * 500), (3, torn), (4, text(1, 300)), (5, text(2, 1500) + " z " + text(1, 400))]
+    got = {(r["doc"], r["license"]): (r["first_word"], r["containment"]) for r in license_scan.scan(documents(spark, rows), templates).collect()}
+    assert set(got) == {(1, "T400"), (2, "T3000"), (3, "torn"), (5, "T400")}
+    assert got[1, "T400"] == (0, 1.0) and got[2, "T3000"][1] == 1.0 and 5000 <= got[2, "T3000"][0] <= 7001 and got[3, "torn"][1] < 0.95
+
+
+def test_many_templates_are_scanned_for_in_passes(spark, monkeypatch):
+    monkeypatch.setattr(license_scan, "MAX_TEMPLATES", 5)
+    templates = [(f"L{i}", f"the terms of license number n{i} apply here") for i in range(23)]
+    rows = [(i, f"see {text} now") for i, (_, text) in enumerate(templates)]
+    got = license_scan.scan(documents(spark, rows), spark.createDataFrame(templates, "license string, text string"))
+    best = {}
+    for r in got.filter("containment = 1").collect():
+        best.setdefault(r["doc"], []).append(r["license"])
+    assert best == {i: [f"L{i}"] for i in range(23)}
+
+
 def test_close_wording_counts_by_containment(spark):
     grant = dict(license_scan.NOTICES)["MIT-grant"]
     near = grant.replace("a copy", "one copy")
