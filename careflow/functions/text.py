@@ -30,33 +30,41 @@ def _col(c) -> Column:
 _SEVERAL = "map(" + ", ".join("'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'" for pair in L.FOLD_SEVERAL.items() for x in pair) + ")"
 
 
-def _folded(c, more: dict[str, str]) -> Column:
-    """Lower-case ASCII parts: characters that stand for one ASCII character in one translate pass, those that stand
-    for several one by one, in texts that hold any."""
+def _folded(c: Column, more: dict[str, str], rest) -> Column:
+    """Lower-case ASCII parts: characters that stand for one ASCII character in one translate pass, which leaves most
+    texts ASCII alone; what is left of the others goes through ``rest`` (told by their length in bytes)."""
+    one = L.FOLD | more
+    t = F.translate(c, "".join(one), "".join(one.values()))
+    return F.lower(F.when(F.length(t) == F.octet_length(t), t).otherwise(rest(t)))
+
+
+def _expanded(c: Column) -> Column:
+    """Characters that stand for several ones, replaced one by one in texts that hold any."""
     several = F.expr(_SEVERAL)
-    c = F.when(
+    return F.when(
         F.translate(c, "".join(L.FOLD_SEVERAL), "") != c,  # one lookup a letter; a regular expression's class of this size is searched one by one
         F.array_join(F.transform(F.regexp_extract_all(c, F.lit("(?s)(.)"), 1), lambda ch: F.coalesce(F.try_element_at(several, ch), ch)), ""),
     ).otherwise(c)
-    one = L.FOLD | more
-    return F.lower(F.translate(c, "".join(one), "".join(one.values())))
 
 
 def normalize_main(c) -> Column:
     """H1: transliterate, lower, runs of non [a-z0-9] -> one space, trim; NULL -> ''."""
     single = {a: b for a, b in L.TRANSLIT_EXTRA if len(b) == 1}
     upper = {a.upper(): b for a, b in single.items()}
-    s = F.regexp_replace(F.coalesce(_col(c), F.lit("")), L.MARKS, "")
-    s = _folded(s, single | upper)
-    for src, dst in L.TRANSLIT_EXTRA:
-        if len(dst) > 1:  # one-to-two letters: a replace pass each
-            s = F.replace(s, F.lit(src), F.lit(dst))
-    return F.trim(F.regexp_replace(s, NON_ALNUM, " "))
+
+    def rest(t: Column) -> Column:
+        t = F.lower(_expanded(F.regexp_replace(t, L.MARKS, "")))
+        for src, dst in L.TRANSLIT_EXTRA:
+            if len(dst) > 1:  # one-to-two letters: a replace pass each
+                t = F.replace(t, F.lit(src), F.lit(dst))
+        return t
+
+    return F.trim(F.regexp_replace(_folded(F.coalesce(_col(c), F.lit("")), single | upper, rest), NON_ALNUM, " "))
 
 
 def normalize_scored(c) -> Column:
     """H2: NFKD fold, drop other non-ASCII, lower, [^a-z0-9\\s] -> space, collapse."""
-    s = F.regexp_replace(_folded(F.coalesce(_col(c), F.lit("")), {}), r"[^\x00-\x7F]", "")
+    s = _folded(F.coalesce(_col(c), F.lit("")), {}, lambda t: F.regexp_replace(_expanded(t), r"[^\x00-\x7F]", ""))
     # with only ASCII left, "each non-alnum -> space, then collapse whitespace
     # runs" is the same as "each run of non-alnum -> one space": one pass
     return F.trim(F.regexp_replace(s, NON_ALNUM, " "))
