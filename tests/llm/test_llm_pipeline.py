@@ -12,6 +12,7 @@ import numpy as np
 import pytest
 from conftest import ROOT
 from llm_cases import components, documents, removed, words
+from pyspark.sql import functions as F
 
 from careflow.llm import langid, packing
 
@@ -79,6 +80,23 @@ def test_stages_keep_the_columns_and_clean_documents(spark, fixture):
         assert stage(spark, empty, path).count() == 0
 
 
+CLASHING = ["score", "lang_pred", "_row", "_k", "_id", "_text", "_doc", "_gone", "row", "doc", "_carry_0", "item", "kept_sha256", "n_words", "n_removed"]
+
+
+def test_further_columns_keep_their_values_whatever_their_names(spark, fixture):
+    """Columns that are called like those which stages use inside pass with their values, whole texts and all."""
+    path, *_ = fixture
+    docs = spark.read.parquet(f"{path}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    named = docs.select("*", *(F.concat(F.lit(f"{c}-"), F.col("doc_id").cast("string")).alias(c) for c in CLASHING))
+    long = docs.limit(1).select(F.lit(10**6).cast("long").alias("doc_id"), F.repeat(F.lit("bala mora tiko "), 60_000).alias("text"), "lang", "source", F.lit(1).cast("long").alias("n_chars"))
+    named = named.unionByName(long.select("*", *(F.lit(f"{c}-1000000").alias(c) for c in CLASHING)))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, named, path)
+        assert out.columns == named.columns
+        rows = out.collect()
+        assert rows and all(r[c] == f"{c}-{r['doc_id']}" for r in rows for c in CLASHING if r["doc_id"] is not None)
+
+
 def test_rows_without_id_pass_dedup(spark, fixture):
     path, *_ = fixture
     text = " ".join(f"w{i}" for i in range(80))
@@ -100,7 +118,7 @@ def test_all_queries_are_registered():
     import __spark_entry__ as e
 
     names = e.queries()
-    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
+    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)) and "pipeline" in names
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language ID", "n-gram Jaccard join", "substring dedup", "benchmark decontamination", "best-fit packing"]
 
 
