@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from careflow.llm.common import batches_of, rows_of, table
+from careflow.llm.common import batches_of, rows_of, staged, table
 
 KINDS = ("assign", "access", "hex", "novel")
 BASE_KINDS = KINDS[:3]
@@ -38,7 +38,9 @@ ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-
 LEAST_ASSIGNED = 12
 ACCESS = r"AKIA[A-Z0-9]{14,}"  # 18 letters or more; a shorter run holds no longer one
 HEX = r"[0-9a-f]{16,}"
-#: Words that make what follows sensitive; all words of ASSIGN are among them.
+#: Words that make what follows sensitive; all words of ASSIGN are among them, and each holds one of the parts, which
+#: are looked for first.
+SENSITIVE_PARTS = ("passw", "passphrase", "passcode", "pwd", "secret", "token", "key", "credential", "bearer", "authorization")
 SENSITIVE = r"pass(?:word|wd|phrase|code)|pwd|secret|token|(?:api|access|private|encryption|signing|account)[\x20_-]?key|credential|bearer|authorization"
 LEAST_CANDIDATE = 12
 CANDIDATE = rf"[A-Za-z0-9+/_.~$!@#%^&*-]{{{LEAST_CANDIDATE},}}={{0,2}}"
@@ -52,6 +54,8 @@ NOVEL_BITS = 6.5
 #: Words of the dictionary, the least length of one, the least number to train with, its size in bytes, and distinct
 #: words that a task counts before it sends sums on.
 DICTIONARY_WORDS, WORD_LENGTH, LEAST_TRAINED, DICTIONARY_BYTES, COUNTED = 4096, 4, 1024, 32_768, 200_000
+#: A word of the dictionary is at least one in so many of all words.
+RAREST = 1 << 16
 
 
 def base_spans(text: str, assign: re.Pattern, access: re.Pattern, hexadecimal: re.Pattern, sensitive: bool = True) -> list[tuple[int, int, int, float | None]]:
@@ -119,8 +123,10 @@ def dictionary(docs: DataFrame) -> list[str]:
                 counts.clear()
         yield from batches_of(iter(counts.items()), schema, 1 << 16)
 
-    sums = docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r["word"] for r in sums.orderBy(F.desc("n"), "word").limit(DICTIONARY_WORDS).collect()]
+    sums = staged(docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    total = sums.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    frequent = sums.filter(F.col("n") * RAREST >= total).collect()  # RAREST rows at most, as their counts add up to the total
+    return [r["word"] for r in sorted(frequent, key=lambda r: (-r["n"], r["word"]))[:DICTIONARY_WORDS]]
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -139,7 +145,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         def rows():
             for i, text in rows_of(batches, "id", "text"):
                 text = text or ""
-                near = list(sensitive.finditer(text))
+                folded = text.lower()
+                near = list(sensitive.finditer(text)) if any(part in folded for part in SENSITIVE_PARTS) else []
                 spans = base_spans(text, assign, access, hexadecimal, bool(near))
                 new = []
                 for start, end in candidates(text, near, candidate, spans):
