@@ -110,7 +110,8 @@ def judged(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str
     rule, verdict = ruled(F.col("host"), F.col("path"), rules)
     split = split.withColumns({"rule": rule, "decided": verdict})
 
-    of_host = staged(host_words(split.select("host").distinct(), word_counts(pages, html_col)), "hostwords")
+    words = staged(word_counts(pages, html_col), "words")  # read twice
+    of_host = staged(host_words(split.select("host").distinct(), words), "hostwords")
     of_path = path_words(split.select("path").distinct())
     per_class = split.filter("rule IS NOT NULL")
     seen_hosts = per_class.groupBy("host", "decided").count().join(of_host, "host").groupBy("word", "decided").agg(F.sum("count").alias("n"))
