@@ -45,25 +45,39 @@ def _literal(text: str) -> str:
     return "'" + "".join(c if c.isascii() and c.isalnum() else f"\\u{ord(c):04x}" if ord(c) < 0x10000 else f"\\U{ord(c):08x}" for c in text) + "'"
 
 
-_TABLE = "map(" + ", ".join(f"'{name}', {_literal(text)}" for name, text in ENTITIES.items()) + ")"
+def _map(entries: dict[str, str]) -> str:
+    return "map(" + ", ".join(f"'{key}', {value}" for key, value in entries.items()) + ")"
+
+
+def _nested(entries: dict[str, str], at: int) -> str:
+    """Entries by their letter at place ``at``."""
+    return _map({c: _map({name: by for name, by in entries.items() if name[at : at + 1] == c}) for c in sorted({name[at : at + 1] for name in entries})})
+
+
+#: A map is searched entry by entry: the names most pages hold come first, the whole table goes by first and second letter.
+COMMON = ("amp", "nbsp", "lt", "gt", "quot", "copy", "middot", "apos", "mdash", "ndash", "rsquo", "lsquo", "rdquo", "ldquo", "hellip", "eacute")
+_LITERALS = {name: _literal(text) for name, text in ENTITIES.items()}
+_COMMON = _map({name: _LITERALS[name] for name in COMMON})
+_TABLE = _map({c: _nested({name: by for name, by in _LITERALS.items() if name[0] == c}, 1) for c in sorted({name[0] for name in ENTITIES})})
 
 
 def resolved(text: Column) -> Column:
     """Named and numeric character references replaced, each once (what they give is not read again). Numbers that are
     no character give U+FFFD; unknown names and references without a semicolon stay."""
-    table = F.expr(_TABLE)
-    parts = F.split(text, "&")
-
-    def one(part: Column) -> Column:
-        name = F.regexp_extract(part, REFERENCE, 1)
+    common, table = F.expr(_COMMON), F.expr(_TABLE)
+    def one(x: Column) -> Column:
+        name, part = x["name"], x["part"]
         code = F.when(name.rlike("^#[xX]"), F.conv(F.substring(name, 3, 6), 16, 10)).otherwise(F.substring(name, 2, 7)).try_cast("long")
         known = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
         char = F.translate(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"), _C1, _CP1252)
-        by = F.when(name.startswith("#"), F.when(known, char).otherwise("\ufffd")).when(name != "", F.try_element_at(table, name))
-        return F.when(by.isNull(), F.concat(F.lit("&"), part)).otherwise(F.concat(by, F.substr(part, F.length(name) + 2)))
-
-    whole = F.concat(parts[0], F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts)), one), ""))
-    return F.when(text.contains("&"), whole).otherwise(text)
+        rarer = F.try_element_at(F.try_element_at(F.try_element_at(table, F.substring(name, 1, 1)), F.substring(name, 2, 1)), name)
+        named = F.coalesce(F.try_element_at(common, name), rarer)
+        by = F.when(name == "", None).when(name.startswith("#"), F.when(known, char).otherwise("\ufffd")).otherwise(named)
+        return F.when(name.isNull(), part).otherwise(F.coalesce(F.concat(by, F.substr(part, F.length(name) + 2)), F.concat(F.lit("&"), part)))
+
+    # the text is named once, and the name is a field of its own: what is repeated here is computed each time
+    cut = lambda p, i: F.struct(F.when(i > 0, F.regexp_extract(p, REFERENCE, 1)).alias("name"), p.alias("part"))
+    return F.array_join(F.transform(F.transform(F.split(text, "&"), cut), one), "")
 
 
 def plain_text(html: Column) -> Column:
