@@ -117,11 +117,11 @@ def _encoder(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
-def _blocks(rows: Iterator[tuple]) -> Iterator[list[tuple[int, str]]]:
-    """Rows (id, text) in blocks of some million characters; null texts are empty."""
+def _blocks(rows: Iterator[tuple]) -> Iterator[list[tuple]]:
+    """Rows (id, text and more) in blocks of some million characters; null texts are empty."""
     some, held = [], 0
-    for i, text in rows:
-        some.append((i, text or ""))
+    for i, text, *more in rows:
+        some.append((i, text or "", *more))
         held += len(text or "")
         if held >= BLOCK_CHARS or len(some) == 512:
             yield some
@@ -130,29 +130,31 @@ def _blocks(rows: Iterator[tuple]) -> Iterator[list[tuple[int, str]]]:
         yield some
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per piece: id, piece, start, length, ids_crc32."""
-    schema = pa.schema([("id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
+def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", group_col: str | None = None) -> DataFrame:
+    """Per piece: id, piece, start, length, ids_crc32, and group_col if given."""
+    schema = pa.schema([("id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), *([(group_col, pa.string())] if group_col else [])])
+    more = ("more",) if group_col else ()
     end = end_id.to_bytes(4, "little")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(tokenizer)
 
         def rows():
-            for some in _blocks(rows_of(batches, "id", "text")):
-                for (i, _), found in zip(some, enc.ids([text for _, text in some])):
+            for some in _blocks(rows_of(batches, "id", "text", *more)):
+                for (i, _, *group), found in zip(some, enc.ids([row[1] for row in some])):
                     ids = memoryview(found + end)
                     for n, at in enumerate(range(0, len(ids), 4 * capacity)):
                         part = ids[at : at + 4 * capacity]
-                        yield i, n, at // 4, len(part) // 4, zlib.crc32(part)
+                        yield i, n, at // 4, len(part) // 4, zlib.crc32(part), *group
 
         try:
             yield from batches_of(rows(), schema)
         finally:
             enc.forget()  # the worker lives on for other stages
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(
-        cut, "id long, piece int, start long, length long, ids_crc32 long"
+    wanted = [F.col(group_col).cast("string").alias(c) for c in more]
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *wanted).mapInArrow(
+        cut, "id long, piece int, start long, length long, ids_crc32 long" + "".join(f", {group_col} string" for _ in more)
     ).withColumnRenamed("id", id_col)
 
 
@@ -186,38 +188,55 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int,
     return out
 
 
-def pack(parts: DataFrame, capacity: int, id_col: str = "doc_id") -> DataFrame:
-    """Add sequence_id and offset to a table of pieces (staged, as it is read three times)."""
+def group_plans(histograms: dict, capacity: int) -> list[tuple]:
+    """The plan of each group's histogram behind that of the group before; rows: group and a plan's row."""
+    out, opened = [], 0
+    for group in sorted(histograms, key=lambda g: (g is not None, g)):
+        rows = plan(histograms[group], capacity)
+        out += [(group, length, rank, taken, opened + first, per, at) for length, rank, taken, first, per, at in rows]
+        opened += max(first - (-taken // per) for _, _, taken, first, per, _ in rows)
+    return out
+
+
+def pack(parts: DataFrame, capacity: int, id_col: str = "doc_id", group_col: str | None = None) -> DataFrame:
+    """Add sequence_id and offset to a table of pieces (staged, as it is read three times). With group_col, a sequence
+    holds pieces of one of its values (null is one of them) and that column stays."""
     spark = parts.sparkSession
     buckets = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
     parts = staged(parts.withColumn("_bucket", F.pmod(F.xxhash64(id_col, "piece"), F.lit(buckets))), "pieces")
-    counts = parts.groupBy("length", "_bucket").count()
-    histogram = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
-    rows = plan(histogram, capacity)
-    slots = spark.createDataFrame(rows or [(0, 0, 0, 0, 1, 0)], "length long, _first long, _ranks long, _seq long, _per long, _at long")
+    by = [group_col] if group_col else []
+    counts = parts.groupBy(*by, "length", "_bucket").count()
+    histograms: dict = {}
+    for r in parts.groupBy(*by, "length").agg(F.count("*").alias("n")).collect():  # at most `capacity` rows a group
+        histograms.setdefault(r[group_col] if group_col else None, {})[r["length"]] = r["n"]
+    rows = group_plans(histograms, capacity)
+    slots = spark.createDataFrame(rows or [(None, 0, 0, 0, 0, 1, 0)], "_group string, length long, _first long, _ranks long, _seq long, _per long, _at long")
     if len(rows) <= BROADCAST_PLAN_ROWS:
         slots = F.broadcast(slots)
     before = counts.withColumn(
-        "_before", F.coalesce(F.sum("count").over(Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ).drop("count")
+        "_before", F.coalesce(F.sum("count").over(Window.partitionBy(*by, "length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ).drop("count").select(*(F.col(c).alias("_of") for c in by), F.col("length").alias("_len"), F.col("_bucket").alias("_in"), "_before")
+    group = F.col(group_col) if group_col else F.lit(None).cast("string")
     ranked = (
-        parts.withColumn("_n", F.row_number().over(Window.partitionBy("length", "_bucket").orderBy(id_col, "piece", "ids_crc32")) - 1)
-        .join(before, ["length", "_bucket"])
+        parts.withColumn("_n", F.row_number().over(Window.partitionBy(*by, "length", "_bucket").orderBy(id_col, "piece", "ids_crc32")) - 1)
+        .join(before, (F.col("length") == F.col("_len")) & (F.col("_bucket") == F.col("_in")) & (group.eqNullSafe(F.col("_of")) if by else F.lit(True)))
         .withColumn("_rank", F.col("_before") + F.col("_n"))
     )
-    placed = ranked.join(slots, (ranked["length"] == slots["length"]) & F.col("_rank").between(F.col("_first"), F.col("_first") + F.col("_ranks") - 1))
+    same = (ranked["length"] == slots["length"]) & (group.eqNullSafe(F.col("_group")) if by else F.lit(True))
+    placed = ranked.join(slots, same & F.col("_rank").between(F.col("_first"), F.col("_first") + F.col("_ranks") - 1))
     return placed.select(
         id_col, "piece", "start", ranked["length"], "ids_crc32",
         (F.col("_seq") + F.floor((F.col("_rank") - F.col("_first")) / F.col("_per"))).cast("long").alias("sequence_id"),
         (F.col("_at") + F.pmod(F.col("_rank") - F.col("_first"), F.col("_per")) * ranked["length"]).cast("long").alias("offset"),
+        *by,
     )
 
 
 CAPACITY = 2048
 
 
-def pack_documents(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    return pack(pieces(docs, public_tokenizers.path("word_bpe_49k.json"), capacity), capacity)
+def pack_documents(docs: DataFrame, capacity: int = CAPACITY, group_col: str | None = None) -> DataFrame:
+    return pack(pieces(docs, public_tokenizers.path("word_bpe_49k.json"), capacity, group_col=group_col), capacity, group_col=group_col)
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

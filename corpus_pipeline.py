@@ -50,14 +50,14 @@ def carrying(stage: Stage) -> Stage:
 
 @carrying
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents in a language that the model knows. The model learns from the labelled rows of its input; if it
-    can learn from none, all documents with a letter stay."""
+    """Keep documents in a language that the model knows and set lang to that language: packing goes by it. The model
+    learns from the labelled rows of its input; if it can learn from none, all documents with a letter stay as they are."""
     cols = docs.columns
     model = langid.train(docs)
     if model is None:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
     judged = langid.predict(docs, model, carry=tuple(c for c in cols if c != "doc_id"))
-    return judged.filter((F.col("lang_pred") != langid.UND) & (F.col("score") >= min_score(model))).select(*cols)
+    return judged.filter((F.col("lang_pred") != langid.UND) & (F.col("score") >= min_score(model))).select(*(F.col("lang_pred").alias(c) if c == "lang" else c for c in cols))
 
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
@@ -108,8 +108,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that are left, in sequences of at most 2048 tokens."""
-    return packing.pack_documents(docs)
+    """The documents that are left, in sequences of at most 2048 tokens that hold one language each."""
+    return packing.pack_documents(docs, group_col="lang")
 
 
 STAGES = [

@@ -132,3 +132,29 @@ def test_many_languages_reject_no_short_document(spark):
     short = [(i, t) for i, t in enumerate(["y", "z yz", "zz", "ö"])]
     kept = {r["doc_id"] for r in corpus_pipeline.language_id(spark, documents(spark, rows + short), "").collect()}
     assert kept == {r[0] for r in rows + short}
+
+
+def test_language_decides_what_is_packed_together(spark, fixture):
+    """The predicted language, not the given one, goes on: unlabelled rows get one, and no sequence mixes two."""
+    path, rows, _ = fixture
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    kept = {r["doc_id"]: r["lang"] for r in corpus_pipeline.language_id(spark, docs, path).collect()}
+    assert kept[305] in VOICES and set(kept.values()) == set(VOICES)
+    out = corpus_pipeline.run(spark, path).collect()
+    by_sequence: dict[int, set] = {}
+    for r in out:
+        by_sequence.setdefault(r["sequence_id"], set()).add(kept[r["doc_id"]])
+    assert {frozenset(s) for s in by_sequence.values()} == {frozenset([v]) for v in VOICES}
+    assert all(r["lang"] == kept[r["doc_id"]] for r in out)
+
+
+def test_groups_are_packed_apart_and_gapless(spark):
+    rows = [(i, 0, 0, 1 + i * 37 % 90, i, [None, "", "a", "b"][i % 4]) for i in range(200)]
+    parts = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long, lang string")
+    sequences: dict[int, list] = {}
+    for r in packing.pack(parts, 100, group_col="lang").collect():
+        sequences.setdefault(r["sequence_id"], []).append((r["offset"], r["length"], r["lang"]))
+    assert sum(map(len, sequences.values())) == 200
+    for some in sequences.values():
+        assert len({lang for *_, lang in some}) == 1 and sum(n for _, n, _ in some) <= 100
+        assert all(at == sum(n for _, n, _ in sorted(some)[:k]) for k, (at, *_) in enumerate(sorted(some)))
