@@ -202,6 +202,12 @@ def in_mask(mask: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (mask[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 > 0
 
 
+def by_mask(batches: Iterator[pa.RecordBatch], mask: np.ndarray, wanted: bool, key: str = "_k") -> Iterator[pa.RecordBatch]:
+    """The rows whose key (a long column) may be one of the mask's, or those whose key is none of them."""
+    for batch in batches:
+        yield batch.filter(pa.array(in_mask(mask, batch.column(key).to_numpy(zero_copy_only=False)) == wanted))
+
+
 class Columns:
     """Collects numpy columns of many small results into Arrow batches of some tens of thousands of rows."""
 

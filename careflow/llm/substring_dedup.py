@@ -14,6 +14,8 @@ Equal windows have equal minimizers, so all copies of an edge meet under its anc
    each of its edges;
 4. each text takes back the edges whose smallest document is smaller than its own, and drops the words they cover.
 
+Texts are shuffled only where a mask over the listed ones says so (steps 3 and 4); all others are judged where they lie.
+
 No group of copies is expanded into pairs, and every window of every text takes part.
 
 Defined results: a null text has no words; texts under ``span`` words have no window; rows with the same doc_id do
@@ -25,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from careflow.llm.common import row_key, split_words, staged, table
-from careflow.llm.hashing import Columns, Spans, count_sketch, counter_of, hashed_rows, hot_counters, mix, rolling
+from careflow.llm.hashing import Columns, Spans, by_mask, count_sketch, counter_of, hashed_rows, hot_counters, key_mask, mix, rolling
 
 SPAN, K = 50, 10
 SALTS = 64
@@ -82,10 +85,21 @@ def path_records(docs: DataFrame, span: int, k: int) -> DataFrame:
     return staged(again.filter((F.col("salt") > 0) | F.col("_same")).drop("_same", "salt"), "paths")
 
 
+def _text_mask(keys: DataFrame):
+    """A broadcast mask over the texts named by doc and row."""
+    return keys.sparkSession.sparkContext.broadcast(key_mask(keys.select(F.xxhash64("doc", "row").alias("k"))))
+
+
+def listed_texts(docs: DataFrame, mask) -> DataFrame:
+    """docs (doc, row and more) without most rows that are not in the mask, so that a join need not shuffle their texts."""
+    keyed = docs.withColumn("_k", F.xxhash64("doc", "row"))
+    return keyed.mapInArrow(lambda batches: by_mask(batches, mask.value, True), keyed.schema).drop("_k")
+
+
 def branching_edges(docs: DataFrame, firsts: DataFrame, span: int) -> DataFrame:
     """(h, c, first, at, e): the edges of branching classes, read at the source coordinates of their first copies."""
     asked = firsts.groupBy("doc", "row").agg(F.collect_list(F.struct("h", "c", "lo", "many")).alias("paths"))  # bounded by the text's own length
-    found = docs.join(asked.hint("shuffle_hash"), ["doc", "row"])
+    found = listed_texts(docs, _text_mask(firsts)).join(asked.hint("shuffle_hash"), ["doc", "row"])
     schema = pa.schema([("h", pa.int64()), ("c", pa.int64()), ("first", pa.int64()), ("at", pa.int32()), ("e", pa.int64())])
 
     def edges(batches):
@@ -149,14 +163,17 @@ def dedup(docs: DataFrame, span: int = SPAN, k: int = K, id_col: str = "doc_id",
     """Per row: id, n_words, n_removed, kept_sha256, the text that is left (if asked for), and ``carry``'s columns."""
     keyed = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"), row_key(text_col).alias("row"))
     full = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"), row_key(text_col).alias("row"), *(F.col(c).alias(f"_carry_{i}") for i, c in enumerate(carry)))
-    joined = full.join(repeated_windows(keyed, span, k).hint("shuffle_hash"), ["doc", "row"], "left").drop("row")
+    found = staged(repeated_windows(keyed, span, k), "runs")
+    mask = _text_mask(found)
+    # most texts have no repeated window: these are judged where they are read, only the others meet their runs by shuffle
+    joined = listed_texts(full, mask).join(found.hint("shuffle_hash"), ["doc", "row"], "left").drop("row")
     kept = [f"_carry_{i}" for i in range(len(carry))]
 
     def judge(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part, rows = batch.slice(at, 512), []
-                for text, runs in zip(part.column("text").to_pylist(), part.column("runs").to_pylist()):
+                for text, runs in zip(part.column("text").to_pylist(), part.column("runs").to_pylist() if "runs" in part.schema.names else repeat(None)):
                     words = split_words(text)
                     gone = _covered(len(words), runs, span) if runs else None
                     left = [w for w, g in zip(words, gone) if not g] if runs else words
@@ -168,7 +185,9 @@ def dedup(docs: DataFrame, span: int = SPAN, k: int = K, id_col: str = "doc_id",
                 )
 
     types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in full.select(*kept).schema) if kept else ""
-    out = joined.mapInArrow(judge, "doc long, n_words long, n_removed long, kept_sha256 string, text string" + (", " + types if types else ""))
+    ddl = "doc long, n_words long, n_removed long, kept_sha256 string, text string" + (", " + types if types else "")
+    whole = full.withColumn("_k", F.xxhash64("doc", "row")).mapInArrow(lambda batches: judge(by_mask(batches, mask.value, False)), ddl)
+    out = whole.unionByName(joined.mapInArrow(judge, ddl))
     cols = [F.col("doc").alias(id_col), "n_words", "n_removed", "kept_sha256"] + ([F.col("text").alias(text_col)] if with_text else [])
     return out.select(*cols, *(F.col(f"_carry_{i}").alias(c) for i, c in enumerate(carry)))
 

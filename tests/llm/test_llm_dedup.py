@@ -187,3 +187,11 @@ def test_sketch_counts_bound_every_key(spark):
     sketch = hashing.count_sketch(docs.select("text"), keys)
     at = hashing.counter_of(hashing.word_hashes("a r"))
     assert sketch.sum() == 270 and sketch[at[0]] >= 60 and sketch[at[1]] >= 30
+
+
+def test_only_listed_texts_are_shuffled(spark):
+    """Texts without a repeated window are judged where they are read: a mask leaves few others to the joins."""
+    docs = spark.range(2000).select(F.when(F.col("id") > 0, F.col("id")).alias("doc"), (F.col("id") * 7).alias("row"), F.lit("a b").alias("text"))
+    listed = docs.filter("doc % 100 = 0")
+    kept = {r["doc"] for r in substring_dedup.listed_texts(docs, substring_dedup._text_mask(listed)).collect()}
+    assert kept >= {r["doc"] for r in listed.collect()} and len(kept) < 40
