@@ -21,6 +21,7 @@ give no rows; other columns are neither read nor changed.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -43,6 +44,8 @@ PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'’‘“”«»„…–—¿
 #: Benchmark windows up to which they are broadcast (about 200 bytes each), and distinct ones up to which documents'
 #: windows are looked up in a set of literals before they become rows. Beyond either, the same join does the work.
 BROADCAST_WINDOWS, LITERAL_WINDOWS = 200_000, 20_000
+#: Benchmark items whose windows make up one file: their number follows the benchmark, not the shuffle's partitions.
+FILE_ITEMS = 10_000
 _NAME = rf"([^.!?:\x20] )\p{{Lu}}\p{{L}}+"
 _NUMBER = r"[0-9]+(?:[.,:/][0-9]+)*"
 _UNIT = rf"({NUMBER} ?)(?:{UNITS})([^\p{{L}}]|$)"
@@ -128,7 +131,7 @@ def _values(raw: str, win: str) -> Column:
 
 def leaks(docs: DataFrame, items: DataFrame, width: int = WIDTH, min_share: float = MIN_SHARE, id_col: str = "doc_id", text_col: str = "text", min_run: int = MIN_RUN) -> DataFrame:
     """(doc, row, item, n_windows, n_matched) of leaking documents; row is the hash of the document's text."""
-    bench = staged(benchmark_windows(items, width), "benchmark")
+    bench = staged(benchmark_windows(items, width).coalesce(max(1, math.ceil(items.count() / FILE_ITEMS))), "benchmark")
     hashes = bench.select("exact", "width", "h").distinct().limit(LITERAL_WINDOWS + 1).collect()
     literal = len(hashes) <= LITERAL_WINDOWS
     kinds = [(r["exact"], r["width"]) for r in bench.select("exact", "width").distinct().orderBy("exact", "width").collect()]  # at most two for each width

@@ -127,3 +127,27 @@ def test_one_torn_value_does_not_hide_a_long_copy(spark):
     words = ["w" + "abcdefghij"[i // 10] + "abcdefghij"[i % 10] for i in range(59)]
     item = " ".join([*words[:3], "12", *words[3:40], "12", *words[40:]])
     assert leaks(spark, [(1, item[::-1].replace("21", "31", 1)[::-1])], [(5, item)]) == [(1, 5)]
+
+
+def test_a_small_benchmark_is_one_file(spark, monkeypatch):
+    """The staged windows follow the benchmark's size, whatever the number of shuffle partitions."""
+    files = {}
+    stage = decontaminate.staged
+
+    def counted(df, label):
+        out = stage(df, label)
+        files[label] = len(out.inputFiles())
+        return out
+
+    monkeypatch.setattr(decontaminate, "staged", counted)
+    items = spark.createDataFrame([(i, " ".join(f"{w}{i}" for w in "pa re mi fo su la ti do".split() * 2)) for i in range(30)], "item_id long, text string")
+    conf = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "13"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        found = decontaminate.leaks(items.withColumnRenamed("item_id", "doc_id"), items).select("doc", "item").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert files["benchmark"] == 1 and {(i, i) for i in range(30)} <= {tuple(r) for r in found}
