@@ -13,14 +13,14 @@ block numbers, each cell of bounded size), and a cell sends on one row for each
 of its sites at most. No pair ever becomes a row, and neither side is broadcast
 or limited in size.
 
-Inside a cell an inverted index from tokens to register rows gives the length
-and number of shared tokens of every pair by adding along posting lists. With
-them and the letter counts of both rows a pair's score has exact bounds in
-array arithmetic: no common subsequence at all, and as long as the letters
-allow - for pairs without a shared token too, whose bound is their letters'
-alone. Pairs are taken in order of the upper bound, and the site is done when
-the bound falls under its best score: only those few get the exact longest
-common subsequence (bit-parallel).
+Inside a cell the register rows, sorted by city and name, are the leaves of a tree of fixed fan-out. A node knows
+the most of each letter, the shortest and the longest length, the cities and, by an inverted index, the tokens of its
+rows: with a site's own they bound the score of every row below. A site starts with the rows that share its rarest
+tokens and the leaf of the highest bound, and then goes down only where a bound reaches its best score so far. A row
+that is left has exact bounds of its own (shared tokens, and as long a common subsequence as the letters allow), and
+only rows whose bound still reaches the best score get the exact longest common subsequence (bit-parallel). So no row
+is passed over that could win, and a site's work follows the rows near its best one, not the register; where all
+register rows are alike to a site, its work is the cell.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,66 +59,130 @@ def tokens(norm: Column) -> Column:
     return F.array_distinct(F.filter(F.split(norm, " "), lambda t: t != ""))
 
 
-#: Rows of either side of a cell, and pairs whose bounds are held at once (some ten arrays of 8 bytes a pair).
-SITE_BLOCK, REGISTER_BLOCK, SLAB = 4096, 16_384, 1 << 18
+#: Rows of either side of a cell, and rows of a node of the tree over its register rows, from the leaves up.
+SITE_BLOCK, REGISTER_BLOCK, NODES = 8192, 393_216, (16, 256, 4096)
+FAN = 16
+#: Tokens in more than one row of this many are kept as a flag a row, others as lists; pairs of leftovers kept; slack of bounds.
+COMMON, KEPT_PAIRS, SLACK = 32, 1 << 17, 1e-6
 #: Letters of normalized text.
 _LETTER = np.full(128, -1)
 _LETTER[list(b"abcdefghijklmnopqrstuvwxyz0123456789")] = range(36)
 
 
-class _Field:
-    """One field of a block of rows: its tokens, and for each row the number of tokens, of letters, and of each letter."""
-
-    def __init__(self, rows: list[list[str]]):
-        self.rows = rows
-        self.letters = np.zeros((len(rows), 36), np.int32)
-        for i, some in enumerate(rows):
-            kinds = _LETTER[np.frombuffer("".join(some).encode(), np.uint8)]
-            self.letters[i] = np.bincount(kinds, minlength=36)
-        self.number = np.array([len(some) for some in rows], float)
-        self.total = self.letters.sum(axis=1).astype(float)
-
-    def index(self) -> dict[str, np.ndarray]:
-        """Token -> the rows that hold it."""
-        lists: dict[str, list[int]] = {}
-        for i, some in enumerate(self.rows):
-            for t in some:
-                lists.setdefault(t, []).append(i)
-        return {t: np.array(ids) for t, ids in lists.items()}
-
-
-class _Shared:
-    """What pairs of rows share in one field: tokens (number, letters) and letters of any token."""
-
-    def __init__(self, some: _Field, part: slice, others: _Field, index: dict[str, np.ndarray]):
-        shape = (len(some.rows[part]), len(others.rows))
-        self.number, self.total, self.bag = np.zeros(shape), np.zeros(shape), np.zeros(shape)
-        for i, tokens_ in enumerate(some.rows[part]):
-            for t in tokens_:
-                if t in index:
-                    self.number[i, index[t]] += 1
-                    self.total[i, index[t]] += len(t)
-        for c in np.flatnonzero(some.letters[part].any(axis=0)):
-            self.bag += np.minimum(some.letters[part, c][:, None], others.letters[:, c][None, :])
-        self.sides = some.number[part][:, None], some.total[part][:, None], others.number[None, :], others.total[None, :]
-
-    def bounds(self) -> tuple[np.ndarray, np.ndarray]:
-        """Lowest and highest possible token-set ratio of every pair."""
-        na, ta, nb, tb = self.sides
-        blanks = np.maximum(np.minimum(na, nb) - self.number - 1, 0)
-        return tuple(_ratio(*self.sides, self.number, self.total, lcs) for lcs in (0.0, self.bag - self.total + blanks))
-
-    def exact(self, i: int, a: list[str], js: np.ndarray, rows: list[list[str]], known: dict) -> np.ndarray:
-        """Token-set ratios of row i (tokens a) with rows js."""
-        lcs, x = [], set(a)
-        for b in rows:
-            y = set(b)
-            pair = " ".join(sorted(x - y)), " ".join(sorted(y - x))
-            if pair not in known:
-                known[pair] = _lcs_one(*pair)
-            lcs.append(known[pair])
-        na, ta, nb, tb = self.sides
-        return _ratio(na[i], ta[i], nb[0, js], tb[0, js], self.number[i, js], self.total[i, js], np.array(lcs, float))
+class _Tokens:
+    """A column of token lists: the tokens' codes, and for each row the number of tokens, of letters, and of each letter."""
+
+    def __init__(self, column: pa.ChunkedArray):
+        many = pc.list_value_length(column).to_numpy()
+        coded = pa.chunked_array(pc.list_flatten(column).chunks, pa.string()).combine_chunks().dictionary_encode()
+        self.vocabulary, self.codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        self.at, self.of = np.concatenate([[0], np.cumsum(many)]), np.repeat(np.arange(len(many), dtype=np.int32), many)
+        sizes = np.array([len(t) for t in self.vocabulary], np.int64)
+        kinds = _LETTER[np.frombuffer("".join(self.vocabulary).encode(), np.uint8)]
+        each = np.bincount(np.repeat(np.arange(len(sizes)), sizes) * 36 + kinds, minlength=36 * len(sizes)).reshape(-1, 36)
+        letters = [np.bincount(self.of, each[self.codes, c], len(many)) for c in range(36)]
+        top = max((x.max(initial=0) for x in letters), default=0)
+        self.letters = np.stack(letters, axis=1).astype(np.min_scalar_type(int(top)))
+        self.number, self.total = many.astype(float), np.bincount(self.of, sizes[self.codes], len(many))
+        self.length = self.total + self.number - 1
+
+    def row(self, j: int) -> list[str]:
+        return [self.vocabulary[c] for c in self.codes[self.at[j] : self.at[j + 1]].tolist()]
+
+
+class _Field(_Tokens):
+    """One field of a cell's register rows, with what the nodes of the tree know of it."""
+
+    def __init__(self, column: pa.ChunkedArray):
+        super().__init__(column)
+        self.code = {t: i for i, t in enumerate(self.vocabulary)}
+        order = np.argsort(self.codes, kind="stable")
+        self.rows_of = self.of[order]
+        self.starts = np.searchsorted(self.codes[order], np.arange(len(self.vocabulary) + 1))
+        cuts = [np.arange(0, len(self.number), size) for size in NODES]
+        self.most = [np.maximum.reduceat(self.letters, at, axis=0) for at in cuts]
+        self.shortest = [np.maximum(np.minimum.reduceat(self.length, at), 1) for at in cuts]
+        self.longest = [np.maximum(np.maximum.reduceat(self.length, at), 1) for at in cuts]
+        self.flags: dict[tuple[int, int], np.ndarray] = {}
+        self.mark = np.zeros(len(self.number), bool)
+        self.known: dict[tuple[str, str], int] = {}
+
+    def holders(self, code: int) -> np.ndarray:
+        return self.rows_of[self.starts[code] : self.starts[code + 1]]
+
+    def shared(self, codes: list[tuple[int, int]], level: int | None, js: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of some rows (or nodes of a level): how many of a site's tokens (code, letters) they hold, and these tokens' letters."""
+        number, total = np.zeros(len(js)), np.zeros(len(js))
+        for code, letters in codes:
+            rows = self.holders(code)
+            if len(rows) * COMMON > len(self.number):
+                key = (-1 if level is None else level, code)
+                if key not in self.flags:
+                    flags = np.zeros(len(self.number) if level is None else len(self.most[level]), bool)
+                    flags[rows if level is None else rows // NODES[level]] = True
+                    self.flags[key] = flags
+                held = self.flags[key][js]
+            else:
+                at = rows if level is None else rows // NODES[level]
+                self.mark[at] = True
+                held = self.mark[js]
+                self.mark[at] = False
+            number += held
+            total += held * float(letters)
+        return number, total
+
+
+class _Side:
+    """One field of a site beside the same field of the cell's register rows."""
+
+    def __init__(self, field: _Field, sites: _Tokens, i: int):
+        self.field, self.tokens = field, set(sites.row(i))
+        self.codes = [(field.code[t], len(t)) for t in sorted(self.tokens) if t in field.code]
+        self.number, self.total, self.length = sites.number[i], sites.total[i], sites.length[i]
+        self.kinds = np.flatnonzero(sites.letters[i])
+        self.counts = sites.letters[i, self.kinds]
+
+    def _bag(self, letters: np.ndarray, js: np.ndarray) -> np.ndarray:
+        return np.minimum(letters[js[:, None], self.kinds], self.counts).sum(axis=1, dtype=np.int64)
+
+    def below(self, level: int, js: np.ndarray) -> np.ndarray:
+        """Highest possible token-set ratio of any row of these nodes.
+
+        Shared text and common subsequence together are no longer than the common letters and the site's blanks, and
+        than either side; shared text alone is no longer than the site's tokens that the node holds."""
+        if not self.number:
+            return np.zeros(len(js))
+        f, length = self.field, self.length
+        common = np.minimum(self._bag(f.most[level], js) + self.number - 1, length)
+        shortest = f.shortest[level][js]
+        other = np.clip(common, shortest, f.longest[level][js])
+        number, total = f.shared(self.codes, level, js)
+        same = total + np.maximum(number - 1, 0)
+        of_same = 200.0 * np.maximum(same / (same + length), same / (same + np.maximum(np.maximum(shortest, same), 1)))
+        return np.maximum(200.0 * np.minimum(common, other) / (length + other), of_same)
+
+    def rows(self, js: np.ndarray):
+        """What this side and some rows share, and their highest possible token-set ratio."""
+        f = self.field
+        number, total = f.shared(self.codes, None, js)
+        nb = f.number[js]
+        blanks = np.maximum(np.minimum(self.number, nb) - number - 1, 0)
+        sides = self.number, self.total, nb, f.total[js], number, total
+        return sides, _ratio(*sides, self._bag(f.letters, js) - total + blanks)
+
+    def exact(self, sides: tuple, at: np.ndarray, js: np.ndarray) -> np.ndarray:
+        """Token-set ratios of rows js, which are at these places of sides."""
+        f, lcs = self.field, []
+        if len(f.known) > KEPT_PAIRS:
+            f.known.clear()
+        for j in js.tolist():
+            other = set(f.row(j))
+            pair = " ".join(sorted(self.tokens - other)), " ".join(sorted(other - self.tokens))
+            if pair not in f.known:
+                f.known[pair] = _lcs_one(*pair)
+            lcs.append(f.known[pair])
+        na, ta, nb, tb, number, total = sides
+        return _ratio(na, ta, nb[at], tb[at], number[at], total[at], np.array(lcs, float))
 
 
 def _ratio(na, ta, nb, tb, shared, shared_letters, lcs):
@@ -139,34 +204,101 @@ def _sum(name, address, city):
     return L.MATCH_WEIGHTS[0] * name + L.MATCH_WEIGHTS[1] * address + L.MATCH_WEIGHTS[2] * city
 
 
-def best_in_cell(sites: list[dict], register: list[dict]):
-    """(site number, score, register row number) of each site's best row among these, the earliest of equal ones."""
-    names, addresses = (_Field([r[c] for r in register]) for c in ("rnt", "rat"))
-    by_name, by_address = names.index(), addresses.index()
-    cities: dict[str, int] = {}
-    city_of = np.array([cities.setdefault(r["rc"], len(cities)) if r["rc"] is not None else -1 for r in register])  # -1: the last column below
-    order = np.array([r["ord"] if r["ord"] is not None else np.iinfo(np.int64).max for r in register])
-    of_names, of_addresses = (_Field([r[c] for r in sites]) for c in ("lnt", "lat"))
-    step = max(1, SLAB // len(register))
-    for at in range(0, len(sites), step):
-        part = slice(at, at + step)
-        name, address = _Shared(of_names, part, names, by_name), _Shared(of_addresses, part, addresses, by_address)
-        (n_lo, n_hi), (a_lo, a_hi) = name.bounds(), address.bounds()
-        held = np.array([[100.0 if c in s["la"] else 0.0 for c in cities] + [0.0] for s in sites[part]])[:, city_of]
-        floor, top = _sum(n_lo, a_lo, held).max(axis=1), _sum(n_hi, a_hi, held)
-        for i, site in enumerate(sites[part]):
-            possible = np.flatnonzero(top[i] >= floor[i] - 1e-9)
-            possible = possible[np.lexsort((order[possible], -top[i, possible]))]
-            best, known, done, many = None, {}, 0, 8
-            while done < len(possible) and (best is None or top[i, possible[done]] >= best[0] - 1e-9):
-                js = possible[done : done + many]
-                ratios = (f.exact(i, site[mine], js, [register[j][theirs] for j in js], known) for f, mine, theirs in ((name, "lnt", "rnt"), (address, "lat", "rat")))
-                scores = _sum(*ratios, held[i, js])
-                k = np.lexsort((order[js], -scores))[0]
-                if best is None or (scores[k], -order[js[k]]) > (best[0], -order[best[1]]):
-                    best = float(scores[k]), int(js[k])
+class _Register:
+    """The register rows of a cell, sorted by city and name, under a tree."""
+
+    def __init__(self, rows: pa.Table):
+        name, address = (pc.binary_join(rows.column(c), " ") for c in ("rnt", "rat"))
+        by = pa.table({"rc": rows.column("rc"), "name": name, "address": address})
+        rows = rows.take(pc.sort_indices(by, sort_keys=[(c, "ascending") for c in by.column_names]))
+        self.table, self.n = rows, rows.num_rows
+        self.name, self.address = _Field(rows.column("rnt")), _Field(rows.column("rat"))
+        ties = pc.sort_indices(rows, sort_keys=[(c, "ascending") for c in ("ord", "rid", "rname")], null_placement="at_end")
+        self.rank = np.empty(self.n, np.int64)
+        self.rank[ties.to_numpy()] = np.arange(self.n)
+        coded = rows.column("rc").combine_chunks().dictionary_encode()
+        self.cities = coded.dictionary.to_pylist()
+        city = pc.fill_null(coded.indices, len(self.cities)).to_numpy()  # sorted, those without at the end
+        self.nodes = [math.ceil(self.n / size) for size in NODES]
+        cuts = [np.arange(0, self.n, size) for size in (1, *NODES)]  # cities of rows, then of the nodes of each level
+        self.first, self.last = ([f.reduceat(city, at) for at in cuts] for f in (np.minimum, np.maximum))
+        self.of_address: tuple[str, np.ndarray] | None = None
+
+    def _held(self, address: str) -> np.ndarray:
+        """How many of the cities up to each an address holds; sites come by address, so the last one is kept."""
+        if self.of_address is None or self.of_address[0] != address:
+            self.of_address = address, np.cumsum([0, *(c in address for c in self.cities), 0])
+        return self.of_address[1]
+
+    def best(self, sides: tuple[_Side, _Side], address: str) -> tuple[float, int]:
+        """Score and number of the site's best row, the first of equal ones."""
+        cities, best = self._held(address), None
+        name, place = sides
+
+        def held(level: int | None, js: np.ndarray) -> np.ndarray:
+            at = 0 if level is None else level + 1
+            return np.where(cities[self.last[at][js] + 1] > cities[self.first[at][js]], 100.0, 0.0)
+
+        def judge(js: np.ndarray) -> None:
+            nonlocal best
+            city = held(None, js)
+            (of_name, n_hi), (of_place, a_hi) = name.rows(js), place.rows(js)
+            top = _sum(n_hi, a_hi, city)
+            possible = np.arange(len(js)) if best is None else np.flatnonzero(top >= best[0] - SLACK)
+            possible = possible[np.lexsort((self.rank[js[possible]], -top[possible]))]
+            done, many = 0, 4
+            while done < len(possible) and (best is None or top[possible[done]] >= best[0] - SLACK):
+                at = possible[done : done + many]
                 done, many = done + many, 2 * many
-            yield at + i, *best
+                by_name = name.exact(of_name, at, js[at])
+                if best is not None:
+                    near = _sum(by_name, a_hi[at], city[at]) >= best[0] - SLACK
+                    at, by_name = at[near], by_name[near]
+                if len(at):
+                    scores = _sum(by_name, place.exact(of_place, at, js[at]), city[at])
+                    k = np.lexsort((self.rank[js[at]], -scores))[0]
+                    if best is None or (scores[k], -self.rank[js[at[k]]]) > (best[0], -self.rank[best[1]]):
+                        best = float(scores[k]), int(js[at[k]])
+
+        def bound(level: int, js: np.ndarray) -> np.ndarray:
+            return _sum(name.below(level, js), place.below(level, js), held(level, js))
+
+        def under(level: int, js: np.ndarray) -> np.ndarray:
+            """The nodes (or at last rows) below some nodes."""
+            js = (js[:, None] * FAN + np.arange(FAN)).ravel()
+            return js[js < (self.nodes[level - 1] if level else self.n)]
+
+        for side in sides:
+            if side.codes:
+                judge(min((side.field.holders(c) for c, _ in side.codes), key=len)[:NODES[0]])
+        nodes = np.arange(self.nodes[-1])
+        for level in (2, 1):
+            high = bound(level, nodes)
+            if level == 2:
+                at = nodes[[high.argmax()]]
+                for lower in (1, 0):
+                    at = under(lower + 1, at)
+                    at = at[[bound(lower, at).argmax()]]
+                judge(under(0, at))
+            nodes = under(level, nodes[high >= best[0] - SLACK])
+        high = bound(0, nodes) if len(nodes) else np.zeros(0)
+        order = np.argsort(-high)
+        done, many = 0, FAN
+        while done < len(order) and high[order[done]] >= best[0] - SLACK:
+            part = order[done : done + many]
+            judge(under(0, nodes[part[high[part] >= best[0] - SLACK]]))
+            done, many = done + many, min(4 * many, 1024)
+        return best
+
+
+def best_in_cell(sites: pa.Table, register: pa.Table):
+    """(site number, score, register row) of each site's best row among these, the earliest of equal ones."""
+    rows = _Register(register)
+    names, addresses = _Tokens(sites.column("lnt")), _Tokens(sites.column("lat"))
+    whole = sites.column("la").to_pylist()
+    for i in sorted(range(len(whole)), key=whole.__getitem__):
+        score, j = rows.best((_Side(rows.name, names, i), _Side(rows.address, addresses, i)), whole[i])
+        yield i, score, {c: rows.table.column(c)[j].as_py() for c in ("ord", "rid", "rname")}
 
 
 def _block_numbers(rows: DataFrame, name: str, blocks: int, other: str, others: int, *key: str) -> DataFrame:
@@ -179,22 +311,22 @@ def best_rows(sites: DataFrame, register: DataFrame) -> DataFrame:
     sites, register = staged(sites, "sites"), staged(register, "register")
     cores = sites.sparkSession.sparkContext.defaultParallelism
     n = sites.count()
-    site_blocks = max(math.ceil(n / SITE_BLOCK), min(3 * cores, math.ceil(n / 64)), 1)
+    site_blocks = max(math.ceil(n / SITE_BLOCK), min(6 * cores, math.ceil(n / 64)), 1)
     register_blocks = max(math.ceil(register.count() / REGISTER_BLOCK), 1)
     left = _block_numbers(sites, "sb", site_blocks, "rb", register_blocks, *MATCH_KEY)
     right = _block_numbers(register, "rb", register_blocks, "sb", site_blocks, "rid", "rname", "ord")
     schema = pa.schema([*((k, pa.string()) for k in MATCH_KEY), ("score", pa.float64()), ("ord", pa.int64()), ("rid", pa.string()), ("rname", pa.string())])
 
     def cell(some: pa.Table, others: pa.Table) -> pa.Table:
-        some, others = some.to_pylist(), others.to_pylist()
-        found = [({k: some[i][k] for k in MATCH_KEY} | {"score": score} | {c: others[j][c] for c in ("ord", "rid", "rname")}) for i, score, j in best_in_cell(some, others)] if some and others else []
+        keys = some.select(MATCH_KEY).to_pylist()
+        found = [keys[i] | {"score": score} | row for i, score, row in best_in_cell(some, others)] if keys and others.num_rows else []
         return pa.Table.from_pylist(found, schema=schema)
 
-    # explicit counts: adaptive execution would put all small cells into one task
-    tasks = max(2 * cores, site_blocks * register_blocks)
+    # explicit counts: adaptive execution would put all small cells into one task; four a cell, so that few meet in one
+    tasks = max(2 * cores, 4 * site_blocks * register_blocks)
     cells = left.repartition(tasks, "sb", "rb").groupBy("sb", "rb").cogroup(right.repartition(tasks, "sb", "rb").groupBy("sb", "rb"))
     best = cells.applyInArrow(cell, ", ".join(f"{k} string" for k in MATCH_KEY) + ", score double, ord long, rid string, rname string")
-    first = F.min(F.struct((-F.col("score")).alias("less"), F.col("ord"), F.col("rid"), F.col("rname")))
+    first = F.min(F.struct((-F.col("score")).alias("less"), F.coalesce("ord", F.lit(2**63 - 1)), F.col("rid"), F.col("rname")))
     return best.groupBy(*MATCH_KEY).agg(first.alias("b")).select(*MATCH_KEY, F.struct((-F.col("b.less")).alias("_score"), F.col("b.rid").alias("_rid"), F.col("b.rname").alias("_rname")).alias("_b"))
 
 
