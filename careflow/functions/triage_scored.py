@@ -29,15 +29,11 @@ def _lits(values) -> Column:
 
 
 def detect_language(norm: Column) -> Column:
-    """Count hint substrings per language; fr only when strictly more."""
-    fr = count_present(norm, L.SCORED_LANGUAGE_HINTS_FR)
-    en = count_present(norm, L.SCORED_LANGUAGE_HINTS_EN)
-    return (
-        F.when(norm == "", F.lit("unknown"))
-        .when((fr == 0) & (en == 0), F.lit("unknown"))
-        .when(fr > en, F.lit("fr"))
-        .otherwise(F.lit("en"))
-    )
+    """Count hint substrings per language; fr only when strictly more.
+
+    One comparison of (count, rank, language), so that every hint is looked for once; no hint at all beats counts of 0."""
+    counted = [(count_present(norm, L.SCORED_LANGUAGE_HINTS_FR), 0, "fr"), (count_present(norm, L.SCORED_LANGUAGE_HINTS_EN), 1, "en"), (F.lit(0), 2, "unknown")]
+    return F.greatest(*(F.struct(n.alias("n"), F.lit(o).alias("o"), F.lit(c).alias("c")) for n, o, c in counted))["c"]
 
 
 def coerce_age_group(age: Column) -> Column:
@@ -56,14 +52,13 @@ def severity_indicators(norm: Column) -> Column:
 
 
 def symptom_category(norm: Column) -> Column:
-    """Category with most keyword hits; earlier category wins ties; none -> other."""
+    """Category with most keyword hits; earlier category wins ties; none -> other.
+
+    The default is a category of 0 hits that wins ties, so that the best is asked for one field alone: with two, every
+    keyword was looked for twice."""
     cats = list(L.SCORED_CATEGORY_KEYWORDS)
-    scored = [
-        F.struct(count_present(norm, L.SCORED_CATEGORY_KEYWORDS[c]).alias("n"), F.lit(-i).alias("o"), F.lit(c).alias("c"))
-        for i, c in enumerate(cats)
-    ]
-    best = F.greatest(*scored)
-    return F.when(best["n"] > 0, best["c"]).otherwise(F.lit(L.SCORED_DEFAULT_CATEGORY))
+    counted = [(count_present(norm, L.SCORED_CATEGORY_KEYWORDS[c]), -i, c) for i, c in enumerate(cats)] + [(F.lit(0), 1, L.SCORED_DEFAULT_CATEGORY)]
+    return F.greatest(*(F.struct(n.alias("n"), F.lit(o).alias("o"), F.lit(c).alias("c")) for n, o, c in counted))["c"]
 
 
 def primary_symptom(norm: Column) -> Column:
