@@ -23,12 +23,29 @@ def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
     return df.select(*cols) if cols else df
 
 
+#: Rows of an Arrow batch while an intermediate result is written: the JVM and the Python worker hold a batch of whole
+#: texts each, and the worker two of them while the next one comes.
+STAGED_BATCH_ROWS = 2048
+
+
+@contextlib.contextmanager
+def _small_batches(spark: SparkSession):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(before), STAGED_BATCH_ROWS) if int(before) > 0 else STAGED_BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet under the shared checkpoint folder and read it back, so that a lost executor
     never costs more than the stage at hand and later steps read instead of recompute."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/llm/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with _small_batches(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -16,7 +16,7 @@ from careflow.llm.common import give_back
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 #: Bytes of text that are hashed at once (about 40 bytes of memory each).
-BLOCK_BYTES = 1 << 19
+BLOCK_BYTES = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -135,6 +135,8 @@ class Spans:
 SKETCH_BITS = 20
 _SHARDS = 64
 _LEVEL = 256
+#: Keys that a task holds before it counts them.
+HELD_KEYS = 1 << 16
 
 
 def count_sketch(docs: DataFrame, keys: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]]) -> np.ndarray:
@@ -151,13 +153,14 @@ def count_sketch(docs: DataFrame, keys: Callable[[Iterator[pa.RecordBatch]], Ite
             if more is not None:
                 some.append(more)
                 held += len(more)
-            if some and (more is None or held > 1 << SKETCH_BITS):
-                total += np.bincount(counter_of(np.concatenate(some)), minlength=len(total))
+            if some and (more is None or held > HELD_KEYS):
+                np.add.at(total, counter_of(np.concatenate(some)), 1)  # in place: no second array of counters
                 some, held = [], 0
         if total.any():
             parts = total.reshape(_SHARDS, -1)
             task = TaskContext.get().partitionId()
-            yield pa.record_batch([pa.array(range(_SHARDS), pa.int32()), pa.array([task // _LEVEL] * _SHARDS, pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], schema=schema)
+            for shard, p in enumerate(parts):  # one at a time: no copy of all counters
+                yield pa.record_batch([pa.array([shard], pa.int32()), pa.array([task // _LEVEL], pa.int32()), pa.array([p.tobytes()], pa.binary())], schema=schema)
 
     def add(t: pa.Table) -> pa.Table:
         total = sum(np.frombuffer(x.as_buffer(), np.int64) for x in t.column("counts"))
